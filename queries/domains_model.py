@@ -8,8 +8,9 @@ from queries import fixture as X
 from queries.catalog import query
 from queries.labelling import _SPLIT, _joined
 from visitweave.config import NO_DOMAIN
-from visitweave.operators import classifier, domains, embeddings, evaluate, labels, sequences, split, stats, transfers, urls
+from visitweave.operators import classifier, domains, embeddings, evaluate, labels, sequences, split, stats, urls
 from visitweave.sources import events as E, models, visits as V
+from visitweave.storage import durable, fresh_path
 
 _DOM = f""", d as (select *, case when event_type='error' then '{NO_DOMAIN}' else "domain" end dom from ev)
 """
@@ -206,13 +207,21 @@ def g4(spark, sf):
 
 # -- embeddings and features -------------------------------------------------------------
 
-def _url_vectors(spark, sf, ev):
-    return embeddings.vector_table(embeddings.fit(embeddings.url_sentences(ev, X.rules(spark)), seed=1, size=20))
+SIZE = 20
 
 
-def _domain_vectors(spark, sf):
-    chains = domains.chains(domains.replace_rare(_with_domain(spark, sf)), hot=X.hot_users(spark, sf))
-    return embeddings.vector_table(embeddings.fit(chains, "chain", seed=1, size=20))
+def _stored_events(spark, sf, hot=None):
+    """Events written once, since the embeddings read them several times."""
+    return durable(X.events(spark, sf, hot))
+
+
+def _url_vectors(spark, ev):
+    return embeddings.vector_table(embeddings.fit(embeddings.url_sentences(ev, X.rules(spark)), seed=1, size=SIZE))
+
+
+def _domain_vectors(views, hot=None):
+    chains = domains.chains(domains.replace_rare(views), hot=hot)
+    return embeddings.vector_table(embeddings.fit(chains, "chain", seed=1, size=SIZE))
 
 
 def _head(df, col="vector"):
@@ -221,58 +230,59 @@ def _head(df, col="vector"):
 
 @query("m1_m3_url_embedding")
 def m1(spark, sf):
-    return _head(_url_vectors(spark, sf, X.events(spark, sf)))
+    return _head(_url_vectors(spark, X.events(spark, sf)))
 
 
 @query("m2_m3_domain_embedding")
 def m2(spark, sf):
-    return _head(_domain_vectors(spark, sf))
+    return _head(_domain_vectors(durable(_with_domain(spark, sf)), X.hot_users(spark, sf)))
 
 
 @query("j4_token_vectors")
 def j4(spark, sf):
-    ev = X.events(spark, sf)
+    ev = _stored_events(spark, sf)
     dim = urls.url_dimension(ev, ["request_url"], X.rules(spark))
-    return _head(embeddings.token_vectors(dim, _url_vectors(spark, sf, ev), 20))
+    return _head(embeddings.token_vectors(dim, _url_vectors(spark, ev), SIZE))
 
 
 @query("a5_url_means")
 def a5(spark, sf):
-    ev = X.events(spark, sf)
-    dim = urls.url_dimension(ev, ["request_url"], X.rules(spark))
-    return _head(embeddings.url_means(dim.select("url", "vector_tokens"), _url_vectors(spark, sf, ev), 20)
-                 .drop("vector_tokens"), "url_vec")
+    ev = _stored_events(spark, sf)
+    dim = urls.url_dimension(ev, ["request_url"], X.rules(spark)).select("url", "vector_tokens")
+    return _head(embeddings.url_means(dim, _url_vectors(spark, ev), SIZE).drop("vector_tokens"), "url_vec")
 
 
 @query("j5_domain_vectors")
 def j5(spark, sf):
-    names = _with_domain(spark, sf).select("domain").distinct()
-    return _head(embeddings.with_domain_vector(names, _domain_vectors(spark, sf), "domain", 20), "domain_vec")
+    views = durable(_with_domain(spark, sf))
+    names = views.select("domain").distinct()
+    return _head(embeddings.with_domain_vector(names, _domain_vectors(views), "domain", SIZE), "domain_vec")
 
 
-def _features(spark, sf, ev):
-    ids = domains.dictionary(_with_domain(spark, sf))
-    return embeddings.url_features(urls.url_dimension(ev, E.URL_COLUMNS, X.rules(spark)),
-                                   _url_vectors(spark, sf, ev), _domain_vectors(spark, sf), ids, 20)
+def _features(spark, ev):
+    views = durable(urls.domains(ev.drop("domain"), "request_url", X.rules(spark)))
+    return embeddings.url_features(
+        urls.url_dimension(ev, E.URL_COLUMNS, X.rules(spark)), _url_vectors(spark, ev), _domain_vectors(views),
+        domains.dictionary(views), SIZE)
 
 
 @query("p12_url_features")
 def p12(spark, sf):
-    return _head(_features(spark, sf, X.events(spark, sf)), "features")
+    return _head(_features(spark, _stored_events(spark, sf)), "features")
 
 
 @query("p13_event_features")
 def p13(spark, sf):
-    ev = X.events(spark, sf)
-    out = embeddings.event_features(ev, _features(spark, sf, ev))
+    ev = _stored_events(spark, sf)
+    out = embeddings.event_features(ev, _features(spark, ev))
     return out.select("user_id", "event_id", *[F.size(c).alias(c) for c in ("request_vec", "href_vec", "prev_vec")])
 
 
 @query("p11_model_rows")
 def p11(spark, sf):
     hot = X.hot_users(spark, sf)
-    ev = X.events(spark, sf, hot)
-    with_vec = embeddings.event_features(ev, _features(spark, sf, ev))
+    ev = _stored_events(spark, sf, hot)
+    with_vec = embeddings.event_features(ev, _features(spark, ev))
     marked = labels.label_events(with_vec, V.first_visits(X.visit_rows(spark, sf, hot)), matched_only=False)
     rows = sequences.since_start(marked, hot).filter("visit_rank > 0").withColumnRenamed("visit_rank", "label")
     return embeddings.model_rows(rows).select("user_id", "event_id", F.size("model_row").alias("n"),
@@ -281,10 +291,9 @@ def p11(spark, sf):
 
 @query("s5_s6_embedding_write_read")
 def s5(spark, sf):
-    from visitweave.storage import fresh_path
     path = fresh_path(spark, "embedding")
     chains = domains.chains(_with_domain(spark, sf))
-    models.save_embedding(embeddings.fit(chains, "chain", seed=1, size=20), path)
+    models.save_embedding(embeddings.fit(chains, "chain", seed=1, size=SIZE), path)
     back = embeddings.vector_table(models.load_embedding(path))
     return models.load_vectors(spark, path).join(back.select("token"), "token").select(
         "token", F.size("vector").alias("n"))
@@ -300,7 +309,6 @@ def _samples(spark, sf, mode):
 
 
 def _trained(spark, sf, mode, iterations=5):
-    from visitweave.storage import durable
     samples = durable(_samples(spark, sf, mode))
     return samples, classifier.fit(samples.filter("split = 'train'"), mode, 1, iterations)
 
@@ -321,7 +329,6 @@ def m7(spark, sf):
 
 @query("m5_s8_train_and_log")
 def m5(spark, sf):
-    from visitweave.storage import fresh_path
     root = fresh_path(spark, "classifier")
     samples, model = _trained(spark, sf, "multi-visit", 3)
     models.save_classifier(model, f"{root}/model")

@@ -111,8 +111,8 @@ def u02(spark, sf):
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     twice = X.table(spark, sf, "pages").select("page_id", F.concat(
         F.lit("x.com/?t="), F.replace(title, F.lit("&"), F.lit("&amp;"))).alias("t"))
-    once = twice.select("page_id", unescape_if_needed(F.col("t")).alias("t"))
-    return once.select("page_id", unescape_if_needed(F.col("t")).alias("value"))
+    once = twice.selectExpr("page_id", f"{unescape_if_needed('t')} as t")
+    return once.selectExpr("page_id", f"{unescape_if_needed('t')} as value")
 
 
 @query("u26_percent_encode_decode", r"""

@@ -1,4 +1,4 @@
-"""Array expressions: vectors, one-hot labels, padding, Java-like splitting."""
+"""Array expressions: vectors, one-hot labels, padding."""
 
 from __future__ import annotations
 
@@ -35,13 +35,3 @@ def arg_max(scores: Column) -> Column:
 def pad_left(values: Column, size: int, fill: Column) -> Column:
     return F.concat(F.array_repeat(fill, F.greatest(F.lit(0), F.lit(size) - F.size(values))), values)
 
-
-def split_trimmed(text: Column, chars: str, pattern: str) -> Column:
-    """Split on single characters, dropping trailing empty pieces.
-
-    The empty text gives one empty piece, a text of separators only gives none.
-    """
-    body = F.rtrim(text, F.lit(chars))
-    return (F.when(text == "", F.array(F.lit("")))
-            .when(body == "", F.array().cast("array<string>"))
-            .otherwise(F.split(body, pattern)))

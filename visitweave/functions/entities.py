@@ -1,44 +1,28 @@
-"""HTML 4.01 entity references in URLs."""
+"""HTML 4.01 entity references in URLs, as a SQL expression."""
 
 from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+# Entity name -> character as one text constant, which Spark folds into a map literal.
+_NAMES = "\x01".join(f"{name}\x02{chr(code)}" for name, code in sorted(name2codepoint.items()))
+_MAP = f"str_to_map('{_NAMES}', '\x01', '\x02')"
 
+_BODY = "substring_index(p, ';', 1)"
+# ``#60`` or ``#x3c``; above 65535, and for surrogate halves, the text stays as it is.
+_CODE = f"""case when {_BODY} rlike '^#[xX][0-9A-Fa-f]{{1,8}}$' then cast(conv(substring({_BODY}, 3), 16, 10) as bigint)
+ when {_BODY} rlike '^#[0-9]{{1,9}}$' then cast(substring({_BODY}, 2) as bigint) end"""
+_CHAR = f"""case when ({_CODE}) <= 65535 and not ({_CODE}) between 55296 and 57343
+ then decode(unhex(lpad(hex({_CODE}), 4, '0')), 'UTF-16BE') end"""
+_VALUE = f"coalesce(try_element_at({_MAP}, {_BODY}), {_CHAR})"
+# ``p`` is the text after one ``&`` up to the next.
+_PIECE = f"""case when contains(p, ';') and {_VALUE} is not null
+ then concat({_VALUE}, substring(p, length({_BODY}) + 2)) else concat('&', p) end"""
 
-def _names() -> Column:
-    """Entity name -> character; one text constant, which Spark folds into a map literal."""
-    text = "\x01".join(f"{name}\x02{chr(code)}" for name, code in sorted(name2codepoint.items()))
-    return F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02"))
 
-
-def _numeric(body: Column) -> Column:
-    """Character for ``#60`` or ``#x3c``; null when it is no 16-bit character."""
-    is_hex = body.rlike("^#[xX][0-9A-Fa-f]{1,8}$")
-    is_dec = body.rlike("^#[0-9]{1,9}$")
-    code = F.when(is_hex, F.conv(F.substring(body, 3, 8), 16, 10).cast("long")).when(
-        is_dec, F.substring(body, 2, 9).cast("long"))
-    # Above 65535, and the surrogate halves, the reference text stays as it is.
-    ok = (code <= 0xFFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
-
-
-def _piece(piece: Column, names: Column) -> Column:
-    """``piece`` is the text after one ``&`` up to the next."""
-    body = F.substring_index(piece, ";", 1)
-    value = F.coalesce(F.try_element_at(names, body), _numeric(body))
-    rest = F.substring(piece, F.length(body) + 2, F.length(piece))
-    return F.when(F.contains(piece, F.lit(";")) & value.isNotNull(), F.concat(value, rest)).otherwise(
-        F.concat(F.lit("&"), piece))
-
-
-def unescape(text: Column) -> Column:
+def unescape(text: str) -> str:
     """Replace named and numeric references that end in a semicolon, once."""
-    pieces = F.split(text, "&")
-    names = _names()
-    done = F.concat(F.element_at(pieces, 1), F.array_join(
-        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))),
-                    lambda p: _piece(p, names)), ""))
-    return F.when(text.rlike("&[^&;]+;"), done).otherwise(text)
+    pieces = f"split({text}, '&')"
+    rest = f"slice({pieces}, 2, greatest(size({pieces}) - 1, 1))"
+    return f"""case when {text} rlike '&[^&;]+;' then concat({pieces}[0],
+ array_join(transform({rest}, p -> {_PIECE}), '')) else {text} end"""

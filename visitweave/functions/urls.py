@@ -1,16 +1,12 @@
-"""URL expressions: canonical form and its parts.
+"""URL rules as SQL expressions over a URL column: canonical form and its parts.
 
-All are Spark column expressions over one URL.  ``operators.urls`` chains them in
-stages, so a part used by many columns is computed once.
+Each function takes column names (or SQL) and gives SQL.  ``operators.urls`` chains them in
+projections, so a part used by many columns is computed once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from visitweave.config import MAX_URL_LENGTH
-from visitweave.functions.arrays import split_trimmed
 from visitweave.functions.entities import unescape
 
 # What a host name may look like.
@@ -20,123 +16,127 @@ _HOST = rf"^(?:{_LABEL}\.){{0,126}}(?![0-9]){_LABEL}$"
 _DOTS = "。．｡"
 
 
-def lower_host(url: Column) -> Column:
+def lower_host(url: str) -> str:
     """Lower-case up to the first slash after the protocol; all of it when there is none."""
-    slashes = F.position(F.lit("//"), url)
-    start = F.when(slashes.between(2, 8), slashes + 2).otherwise(F.lit(1))
-    end = F.position(F.lit("/"), url, start)
-    return F.when(end == 0, F.lower(url)).otherwise(
-        F.concat(F.lower(F.substring(url, F.lit(1), end - 1)), F.substring(url, end, F.length(url))))
+    start = f"if(position('//', {url}) between 2 and 8, position('//', {url}) + 2, 1)"
+    end = f"position('/', {url}, {start})"
+    return f"""case when {end} = 0 then lower({url})
+ else concat(lower(substring({url}, 1, {end} - 1)), substring({url}, {end})) end"""
 
 
-def protocol(lowered: Column) -> Column:
-    return F.when(lowered.startswith("https://"), "https").otherwise("http")
+def protocol(lowered: str) -> str:
+    return f"if(startswith({lowered}, 'https://'), 'https', 'http')"
 
 
-def strip_ends(lowered: Column) -> Column:
+def strip_ends(lowered: str) -> str:
     """Without protocol, leading ``www.`` and trailing ``/ # ? &``."""
-    return F.rtrim(F.regexp_replace(lowered, r"^(?:https?://)?(?:www\.)*", ""), F.lit("/#?&"))
+    return rf"rtrim('/#?&', regexp_replace({lowered}, r'^(?:https?://)?(?:www\.)*', ''))"
 
 
-def unescape_if_needed(text: Column) -> Column:
-    return F.when(F.position(F.lit(";"), text) > 1, unescape(text)).otherwise(text)
+def unescape_if_needed(text: str) -> str:
+    return f"case when position(';', {text}) > 1 then {unescape(text)} else {text} end"
 
 
-def drop_controls(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\t\n\r\x00]", "")
+def drop_controls(text: str) -> str:
+    return rf"regexp_replace({text}, r'[\t\n\r\x00]', '')"
 
 
-def authority(raw: Column) -> Column:
-    return F.regexp_extract(raw, r"^([^/?#]*)", 1)
+def authority(raw: str) -> str:
+    return f"regexp_extract({raw}, '^([^/?#]*)', 1)"
 
 
-def host(auth: Column) -> Column:
-    return F.regexp_extract(auth, r"^(?:[^@]*@)?([^:]*)", 1)
+def host(auth: str) -> str:
+    return f"regexp_extract({auth}, '^(?:[^@]*@)?([^:]*)', 1)"
 
 
-def domain_name(host_: Column) -> Column:
+def domain_name(host_: str) -> str:
     """Host as a lower-case domain name with plain dots."""
-    return F.translate(F.lower(host_), _DOTS, "...")
+    return f"translate(lower({host_}), '{_DOTS}', '...')"
 
 
-def path(raw: Column) -> Column:
-    return remove_dots(F.regexp_extract(F.rtrim(raw), r"^[^/?#]*([^?#]*)", 1))
+def path(raw: str) -> str:
+    return remove_dots(f"regexp_extract(rtrim({raw}), '^[^/?#]*([^?#]*)', 1)")
 
 
-def query(raw: Column) -> Column:
+def query(raw: str) -> str:
     """Text between the first ``?`` and the fragment, null without one."""
-    main = F.substring_index(F.rtrim(raw), "#", 1)
-    at = F.position(F.lit("?"), main)
-    return F.when(at > 0, F.substring(main, at + 1, F.length(main)))
+    main = f"substring_index(rtrim({raw}), '#', 1)"
+    return f"if(contains({main}, '?'), substring({main}, position('?', {main}) + 1), null)"
 
 
-def remove_dots(text: Column) -> Column:
+def remove_dots(text: str) -> str:
     """Resolve ``.`` and ``..`` segments of an absolute path.
 
     ``..`` with nothing before it stays, as does a leading run of them.
     """
-    def step(acc, seg):
-        last = F.try_element_at(acc, F.lit(-1))
-        up = (seg == "..") & (F.size(acc) > 1) & (last != "..")
-        return (F.when(seg == ".", acc)
-                .when(up, F.slice(acc, F.lit(1), F.size(acc) - 1))
-                .otherwise(F.concat(acc, F.array(seg))))
-    kept = F.aggregate(F.split(text, "/"), F.array().cast("array<string>"), step)
-    closing = F.when(text.rlike(r"/\.{1,2}$") & (F.element_at(kept, -1) != ".."), "/").otherwise("")
-    return F.when(text.rlike(r"/\.{1,2}(?:/|$)"), F.concat(F.array_join(kept, "/"), closing)).otherwise(text)
-
-
-def syntax_reason(original: Column, auth: Column, name: Column, lenient: bool = False) -> Column:
+    kept = f"""aggregate(split({text}, '/'), cast(array() as array<string>), (acc, seg) -> case
+ when seg = '.' then acc
+ when seg = '..' and size(acc) > 1 and try_element_at(acc, -1) <> '..' then slice(acc, 1, size(acc) - 1)
+ else concat(acc, array(seg)) end)"""
+    closing = rf"if({text} rlike r'/\.{{1,2}}$' and element_at({kept}, -1) <> '..', '/', '')"
+    return rf"""case when {text} rlike r'/\.{{1,2}}(?:/|$)'
+ then concat(array_join({kept}, '/'), {closing}) else {text} end"""
+
+
+def syntax_reason(original: str, auth: str, name: str, lenient: bool = False) -> str:
     """Why a URL is rejected before its suffix is looked up; null when it is not."""
-    port = F.regexp_extract(auth, r":(.*)$", 1)
-    bad_port = (port != "") & ~port.rlike(r"^(\+?[0-9]+|-1)$") | (
-        port.rlike(r"^\+?[0-9]+$") & port.try_cast("int").isNull())
-    user = F.regexp_extract(auth, r"^(.*)@", 1)
-    reason = F.when(original.isNull() | (F.trim(F.regexp_replace(original, r"\s", "")) == ""), "blank")
-    if not lenient:
-        reason = reason.when(F.length(original) > MAX_URL_LENGTH, "too_long")
-    return (reason.when((F.trim(user) != ""), "user_info")
-            .when(bad_port, "bad_port")
-            .when(name.endswith("."), "trailing_dot")
-            .when((F.length(name) > 253) | ~name.rlike(_HOST), "bad_domain"))
-
-
-def query_params(raw: Column) -> Column:
+    port = f"regexp_extract({auth}, ':(.*)$', 1)"
+    bad_port = rf"""({port} <> '' and ({port} not rlike r'^(?:\+?[0-9]+|-1)$' or try_cast({port} as int) is null))"""
+    too_long = "" if lenient else f"when length({original}) > {MAX_URL_LENGTH} then 'too_long'"
+    return rf"""case when {original} is null or {original} not rlike r'\S' then 'blank' {too_long}
+ when trim(regexp_extract({auth}, '^(.*)@', 1)) <> '' then 'user_info'
+ when {bad_port} then 'bad_port'
+ when endswith({name}, '.') then 'trailing_dot'
+ when length({name}) > 253 or {name} not rlike r'{_HOST}' then 'bad_domain' end"""
+
+
+def _split_trimmed(text: str, chars: str, pattern: str) -> str:
+    """Split on single characters, dropping trailing empty pieces.
+
+    The empty text gives one empty piece, a text of separators only gives none.
+    """
+    body = f"rtrim('{chars}', {text})"
+    return f"""case when {text} = '' then array('') when {body} = '' then cast(array() as array<string>)
+ else split({body}, '{pattern}') end"""
+
+
+def query_params(raw: str) -> str:
     """Pieces after the first ``?`` of the raw URL, cut at ``&`` or ``#``; null without any."""
-    at = F.position(F.lit("?"), raw)
-    text = F.substring(raw, at + 1, F.length(raw))
-    return F.when((at > 0) & (text != ""), split_trimmed(text, "&#", "[&#]"))
+    text = f"substring({raw}, position('?', {raw}) + 1)"
+    return f"case when contains({raw}, '?') and {text} <> '' then {_split_trimmed(text, '&#', '[&#]')} end"
 
 
-def folders(raw: Column) -> Column:
+def folders(raw: str) -> str:
     """Path pieces of the raw URL without its host."""
-    pieces = split_trimmed(F.regexp_extract(raw, r"^([^?#]*)", 1), "/", "/")
-    return F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)))
+    pieces = _split_trimmed(f"regexp_extract({raw}, '^([^?#]*)', 1)", "/", "/")
+    return f"slice({pieces}, 2, {MAX_URL_LENGTH})"
+
+
+def path_segments(path_: str) -> str:
+    return _split_trimmed(path_, "/", "/")
 
 
-def path_segments(path_: Column) -> Column:
-    return split_trimmed(path_, "/", "/")
+def param_names(params: str) -> str:
+    return f"transform({params}, p -> substring_index(p, '=', 1))"
 
 
-def param_names(params: Column) -> Column:
-    return F.transform(params, lambda p: F.substring_index(p, "=", 1))
+def only_equals(params: str) -> str:
+    """Whether some parameter is made of ``=`` signs only."""
+    return f"exists({params}, p -> p rlike '^=+$')"
 
 
-def url_tokens(fld: Column, path_: Column, params: Column, literal: bool = False) -> Column:
+def url_tokens(fld: str, path_: str, params: str, literal: bool = False) -> str:
     """First-level domain, path pieces and parameter names, in order.
 
     ``literal`` gives the published program's result, which is empty when the URL has
     no parameters or one made of ``=`` signs only.
     """
-    names = F.coalesce(param_names(params), F.array().cast("array<string>"))
-    tokens = F.concat(F.array(fld), path_segments(path_), names)
-    none = F.array().cast("array<string>")
-    if literal:
-        bad = params.isNull() | F.exists(params, lambda p: p.rlike("^=+$"))
-        return F.when(fld.isNull() | bad, none).otherwise(tokens)
-    return F.when(fld.isNull(), none).otherwise(tokens)
+    none = "cast(array() as array<string>)"
+    tokens = f"concat(array({fld}), {path_segments(path_)}, coalesce({param_names(params)}, {none}))"
+    void = f"{fld} is null" + (f" or {params} is null or {only_equals(params)}" if literal else "")
+    return f"case when {void} then {none} else {tokens} end"
 
 
-def strip_key(site: Column) -> Column:
+def strip_key(site: str) -> str:
     """Site without the one-character suffix of an aggregated key."""
-    return F.regexp_replace(site, r"[*#]$", "")
+    return f"regexp_replace({site}, '[*#]$', '')"

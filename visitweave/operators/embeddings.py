@@ -11,6 +11,7 @@ from visitweave.config import LIST_ROWS, MIN_COUNT, NO_DOMAIN, URL_TOKENS, VECTO
 from visitweave.functions.arrays import scale, vector_sum, zeros
 from visitweave.operators import urls
 from visitweave.sources.events import URL_COLUMNS, url_rows
+from visitweave.storage import durable
 
 
 def url_sentences(events: DataFrame, rules: DataFrame, literal: bool = False) -> DataFrame:
@@ -24,9 +25,12 @@ def fit(sentences: DataFrame, column: str = "words", seed: int = 0, min_count: i
     """Train on all partitions at once.
 
     Spark ML keeps one weight matrix, so vocabulary x size is bounded by its own limit and
-    ``min_count`` is the knob for it; sentences stay distributed.
+    ``min_count`` is the knob for it; sentences stay distributed.  They are stored first:
+    training reads them several times and deals them out anew, which a recomputed task
+    must not change.
     """
     partitions = partitions or sentences.sparkSession.sparkContext.defaultParallelism
+    sentences = durable(sentences.select(column))
     return Word2Vec(vectorSize=size, minCount=min_count, maxIter=iterations, seed=seed, inputCol=column,
                     outputCol="vector", numPartitions=partitions, maxSentenceLength=LIST_ROWS).fit(sentences)
 

@@ -2,42 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from visitweave.functions import urls as U
 from visitweave.operators import urls
 
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["\']([^"\']*)["\']"""
 
 
 def page_links(pages: DataFrame, *keep: str) -> DataFrame:
     """Every anchor of every page: ``page_id``, kept columns, ``link_no, href``."""
-    found = F.regexp_extract_all("html", F.lit(HREF), 1)
-    return pages.select("page_id", *keep, F.posexplode(found).alias("link_no", "href"))
-
-
-def resolve(protocol: Column, authority: Column, path: Column, query: Column, href: Column) -> Column:
-    """Absolute URL of ``href`` on a page; null for a protocol that is neither http nor https."""
-    link = F.trim(href)
-    site = F.concat(protocol, F.lit("://"), authority)
-    folder = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, "^(.*/)[^/]*$", 1)).otherwise("/")
-    file = F.regexp_extract(link, "^([^?#]*)", 1)
-    rest = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
-    own_query = F.coalesce(F.concat(F.lit("?"), query), F.lit(""))
-    return (F.when(link.rlike("(?i)^https?://"), link)
-            .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-            .when(link.startswith("//"), F.concat(protocol, F.lit(":"), link))
-            .when((link == "") | link.startswith("#"), F.concat(site, path, own_query, link))
-            .when(link.startswith("?"), F.concat(site, folder, link))
-            .when(link.startswith("/"), F.concat(site, U.remove_dots(file), rest))
-            .otherwise(F.concat(site, U.remove_dots(F.concat(folder, file)), rest)))
+    pattern = HREF.replace("\\", "\\\\").replace("\\\\'", "\\'")
+    return pages.selectExpr("page_id", *keep, f"posexplode(regexp_extract_all(html, '{pattern}', 1)) as (link_no, href)")
+
+
+def resolve(protocol: str, auth: str, path: str, query: str, href: str) -> str:
+    """Absolute URL of ``href`` on a page; null for a protocol that is neither http nor https.
+
+    A bare query is resolved against the page's folder, an empty link against the page.
+    """
+    link = f"trim({href})"
+    site = f"concat({protocol}, '://', {auth})"
+    folder = f"if(contains({path}, '/'), regexp_extract({path}, '^(.*/)[^/]*$', 1), '/')"
+    file = f"regexp_extract({link}, '^([^?#]*)', 1)"
+    rest = f"regexp_extract({link}, '^[^?#]*(.*)$', 1)"
+    return f"""case when {link} rlike '(?i)^https?://' then {link}
+ when {link} rlike '^[A-Za-z][A-Za-z0-9+.-]*:' then null
+ when startswith({link}, '//') then concat({protocol}, ':', {link})
+ when {link} = '' or startswith({link}, '#')
+   then concat({site}, {path}, coalesce(concat('?', {query}), ''), {link})
+ when startswith({link}, '?') then concat({site}, {folder}, {link})
+ when startswith({link}, '/') then concat({site}, {U.remove_dots(file)}, {rest})
+ else concat({site}, {U.remove_dots(f'concat({folder}, {file})')}, {rest}) end"""
 
 
 def link_edges(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``(page_id, link_no, href, link_url)`` for pages with a valid URL."""
-    base = urls.enrich(pages.select("page_id", "url", "html"), "url", rules).filter("is_valid").select(
-        "page_id", "html", "protocol", U.authority(F.col("raw_url")).alias("auth"), "path", "query")
-    return page_links(base, "protocol", "auth", "path", "query").select(
-        "page_id", "link_no", "href",
-        resolve(F.col("protocol"), F.col("auth"), F.col("path"), F.col("query"), F.col("href")).alias("link_url"))
+    base = urls.enrich(pages.select("page_id", "url", "html"), "url", rules).filter("is_valid").selectExpr(
+        "page_id", "html", "protocol", f"{U.authority('raw_url')} as auth", "path", "query")
+    return page_links(base, "protocol", "auth", "path", "query").selectExpr(
+        "page_id", "link_no", "href", f"{resolve('protocol', 'auth', 'path', 'query', 'href')} as link_url")

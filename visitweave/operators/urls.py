@@ -2,7 +2,7 @@
 
 Everything is a narrow projection.  The public suffix comes from one lookup join per
 name length (two or three for real rule sets) against the rules, which Spark broadcasts
-when their measured size allows and shuffles otherwise.
+when their size allows and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -24,49 +24,41 @@ def public_suffix(df: DataFrame, name: str, rules: DataFrame, out: str = "suffix
     """Number of labels in the longest matching suffix of domain ``name``; null if none."""
     depth = depth or suffix_depth(rules)
     flags = rules.groupBy("suffix").agg(
-        F.bool_or(F.col("kind") == "exact").alias("_exact"),
-        F.bool_or(F.col("kind") == "exception").alias("_except"),
-        F.bool_or(F.col("kind") == "wildcard").alias("_wild"))
-    labels = F.split(name, r"\.")
-    count = F.size(labels)
+        *[F.bool_or(F.col("kind") == k).alias(k) for k in ("exact", "exception", "wildcard")])
+    count = rf"size(split({name}, r'\.'))"
     joined = df
     for d in range(1, depth + 1):
-        side = flags.select(F.col("suffix").alias(f"_s{d}"), F.col("_exact").alias(f"_exact{d}"),
-                            F.col("_except").alias(f"_except{d}"), F.col("_wild").alias(f"_wild{d}"))
-        tail = F.when(count >= d, F.substring_index(name, ".", -d))
-        joined = joined.join(side, tail == F.col(f"_s{d}"), "left")
+        side = flags.selectExpr(*[f"{c} as _{c}{d}" for c in flags.columns])
+        tail = F.expr(f"if({count} >= {d}, substring_index({name}, '.', -{d}), null) = _suffix{d}")
+        joined = joined.join(side, tail, "left")
     choice = []
     for c in range(depth + 1, 0, -1):
         if c <= depth:
-            choice += [F.when(F.col(f"_exact{c}"), c), F.when(F.col(f"_except{c}"), c - 1)]
+            choice += [f"if(_exact{c}, {c}, null)", f"if(_exception{c}, {c - 1}, null)"]
         if c > 1:
-            choice.append(F.when(F.col(f"_wild{c - 1}") & (count >= c), c))
-    return joined.select(*df.columns, F.coalesce(*choice).alias(out))
+            choice.append(f"if(_wildcard{c - 1} and {count} >= {c}, {c}, null)")
+    return joined.selectExpr(*df.columns, f"coalesce({', '.join(choice)}) as {out}")
 
 
 def canonical(df: DataFrame, url: str, rules: DataFrame, prefix: str = "",
               lenient: bool = False, depth: int | None = None) -> DataFrame:
     """Add ``raw_url`` ('' when invalid), ``reject_reason`` and the pieces they come from."""
     p = prefix
-    c = lambda n: F.col(p + n)
-    step = df.select("*", U.lower_host(F.col(url)).alias(p + "_low"))
-    step = step.select("*", U.strip_ends(c("_low")).alias(p + "_bare"))
-    step = step.select("*", U.unescape_if_needed(c("_bare")).alias(p + "_once"))
-    # The second pass only follows a first one that left a semicolon.
-    again = F.when(F.position(F.lit(";"), c("_bare")) > 1, U.unescape_if_needed(c("_once"))).otherwise(c("_once"))
-    step = step.select("*", U.drop_controls(again).alias(p + "_raw"))
-    step = step.select("*", U.authority(c("_raw")).alias(p + "_auth"))
-    step = step.select("*", U.host(c("_auth")).alias(p + "_host"))
-    step = step.select("*", U.domain_name(c("_host")).alias(p + "_name"))
-    step = step.select("*", U.syntax_reason(F.col(url), c("_auth"), c("_name"), lenient).alias(p + "_syntax"))
-    step = public_suffix(step, p + "_name", rules, p + "_suffix_labels", depth)
-    reason = (F.when(c("_syntax").isNotNull(), c("_syntax"))
-              .when(c("_suffix_labels").isNull(), "no_suffix")
-              .when(~F.contains(c("_name"), F.lit(".")), "no_dot").otherwise("ok"))
-    step = step.select("*", reason.alias(p + "reject_reason"))
-    return step.select(*df.columns, p + "_raw", p + "_low", p + "_host", p + "_name",
-                       p + "_suffix_labels", p + "reject_reason",
-                       F.when(c("reject_reason") == "ok", c("_raw")).otherwise("").alias(p + "raw_url"))
+    low, bare, once, raw = p + "_low", p + "_bare", p + "_once", p + "_raw"
+    auth, host, name, n = p + "_auth", p + "_host", p + "_name", p + "_suffix_labels"
+    # The second unescaping only follows a first one that left a semicolon.
+    again = f"case when position(';', {bare}) > 1 then {U.unescape_if_needed(once)} else {once} end"
+    step = df
+    for expr in (f"{U.lower_host(url)} as {low}", f"{U.strip_ends(low)} as {bare}",
+                 f"{U.unescape_if_needed(bare)} as {once}", f"{U.drop_controls(again)} as {raw}",
+                 f"{U.authority(raw)} as {auth}", f"{U.host(auth)} as {host}", f"{U.domain_name(host)} as {name}"):
+        step = step.selectExpr("*", expr)
+    step = public_suffix(step, name, rules, n, depth)
+    reason = f"""coalesce({U.syntax_reason(url, auth, name, lenient)},
+ case when {n} is null then 'no_suffix' when not contains({name}, '.') then 'no_dot' else 'ok' end)"""
+    step = step.selectExpr("*", f"{reason} as {p}reject_reason")
+    return step.selectExpr(*df.columns, raw, low, host, name, n, f"{p}reject_reason",
+                           f"if({p}reject_reason = 'ok', {raw}, '') as {p}raw_url")
 
 
 def standardise(df: DataFrame, columns: list[str], rules: DataFrame) -> DataFrame:
@@ -74,66 +66,51 @@ def standardise(df: DataFrame, columns: list[str], rules: DataFrame) -> DataFram
     depth = suffix_depth(rules)
     out = df
     for col in columns:
-        out = canonical(out, col, rules, prefix=f"_{col}_", depth=depth).select(
-            *[F.col(f"_{col}_raw_url").alias(col) if c == col else F.col(c) for c in df.columns])
+        out = canonical(out, col, rules, prefix=f"_{col}_", depth=depth).selectExpr(
+            *[f"_{col}_raw_url as {col}" if c == col else c for c in df.columns])
     return out
 
 
 def domains(df: DataFrame, url: str, rules: DataFrame, out: str = "domain") -> DataFrame:
     """Add only the first-level domain of ``url``, the no-domain mark when invalid."""
-    step = canonical(df, url, rules, prefix="_d_")
-    fld = F.expr("substring_index(_d__name, '.', -(_d__suffix_labels + 1))")
-    return step.select(*df.columns, F.when(F.col("_d_reject_reason") == "ok", fld)
-                       .otherwise(NO_DOMAIN).alias(out))
+    fld = "substring_index(_d__name, '.', -(_d__suffix_labels + 1))"
+    return canonical(df, url, rules, prefix="_d_").selectExpr(
+        *df.columns, f"if(_d_reject_reason = 'ok', {fld}, '{NO_DOMAIN}') as {out}")
 
 
 def enrich(df: DataFrame, url: str, rules: DataFrame, literal: bool = False) -> DataFrame:
     """Add all derived URL columns; they are null for an invalid URL (tolerant creation)."""
-    step = canonical(df, url, rules)
-    ok = F.col("reject_reason") == "ok"
-    raw, name, n_suffix = F.col("_raw"), F.col("_name"), F.col("_suffix_labels")
-    step = step.select(
-        *df.columns, "raw_url", "reject_reason",
-        F.when(ok, raw).alias("_u"), F.when(ok, U.protocol(F.col("_low"))).alias("protocol"),
-        F.when(ok, F.col("_host")).alias("host"), F.when(ok, name).alias("_name"),
-        F.when(ok, F.split(name, r"\.")).alias("_labels"), F.when(ok, n_suffix).alias("_n_suffix"))
-    u, labels = F.col("_u"), F.col("_labels")
-    n, ns = F.size(labels), F.col("_n_suffix")
-    n_fld = F.when(n == ns, n).otherwise(ns + 1)
-    step = step.select("*", n.alias("_n"), n_fld.alias("_n_fld"), U.path(u).alias("path"),
-                       U.query(u).alias("query"), U.query_params(u).alias("query_params"),
-                       U.folders(u).alias("folders"))
-    tail = "substring_index(_name, '.', -({0}))"
-    head = "substring_index(_name, '.', {0})"
-    has_sub, under = F.expr("_n > _n_fld"), F.expr("_n > _n_suffix")
-    step = step.select(
-        "*", F.expr(tail.format("_n_fld")).alias("first_level_domain"),
-        F.when(under, F.expr(tail.format("_n_suffix"))).alias("public_suffix"),
-        F.when(under, F.expr(head.format("_n - _n_suffix"))).alias("domain"),
-        F.when(has_sub, F.expr(head.format("_n - _n_fld"))).alias("sub_domain"),
-        F.when(has_sub, F.expr(tail.format("_n_fld + 1"))).alias("second_level_domain"),
-        F.expr("_n > _n_fld").alias("is_subdomain"), F.expr("_n = _n_fld").alias("is_first_level_domain"),
-        F.expr("_n = _n_fld + 1").alias("is_second_level_domain"))
-    short = F.when(F.col("is_subdomain"), F.lower("host")).otherwise(F.col("first_level_domain"))
-    step = step.select("*", short.alias("short_url"),
-                       F.concat("path", F.coalesce(F.concat(F.lit("?"), "query"), F.lit(""))).alias("page"))
-    www = F.when(F.col("is_first_level_domain"), F.concat(F.lit("www."), "short_url")).otherwise(F.col("short_url"))
-    fragment = F.when(F.contains(u, F.lit("#")), F.substring(u, F.position(F.lit("#"), u), F.length(u)))
-    step = step.select(
-        "*", www.alias("short_url_www"), F.substring_index("short_url", ".", -1).alias("top_level_domain"),
-        F.concat("page", F.coalesce(fragment, F.lit(""))).alias("raw_page"))
-    return step.select(
-        *df.columns, "raw_url", "reject_reason", ok.alias("is_valid"), "protocol", "host", "path", "query",
-        "page", "raw_page", "query_params", "folders", "public_suffix", "top_level_domain",
-        (F.length("top_level_domain") == 2).alias("is_country_domain"), "first_level_domain",
-        F.concat("first_level_domain", F.lit("*")).alias("first_level_domain_key"), "second_level_domain",
-        F.concat("second_level_domain", F.lit("#")).alias("second_level_domain_key"),
-        F.substring_index("first_level_domain", ".", 1).alias("main_domain"), "domain", "sub_domain",
-        "is_subdomain", "is_first_level_domain", "is_second_level_domain", "short_url", "short_url_www",
-        F.concat("protocol", F.lit("://"), "short_url_www").alias("short_url_www_http"),
-        (F.col("query").isNull() & F.col("path").isin("", "/")).alias("is_homepage"),
-        F.coalesce("first_level_domain", F.lit(NO_DOMAIN)).alias("domain_or_default"),
-        U.url_tokens(F.col("first_level_domain"), F.col("path"), F.col("query_params"), literal).alias("url_tokens"))
+    keep = [*df.columns, "raw_url", "reject_reason"]
+    step = canonical(df, url, rules).selectExpr(
+        *keep, "reject_reason = 'ok' as is_valid", "if(is_valid, _raw, null) as _u",
+        f"if(is_valid, {U.protocol('_low')}, null) as protocol", "if(is_valid, _host, null) as host",
+        "if(is_valid, _name, null) as _dns", r"size(split(_dns, r'\.')) as _n",
+        "if(is_valid, _suffix_labels, null) as _ns", "if(_n = _ns, _n, _ns + 1) as _nf")
+    step = step.selectExpr(
+        "*", f"{U.path('_u')} as path", f"{U.query('_u')} as query", f"{U.query_params('_u')} as query_params",
+        f"{U.folders('_u')} as folders", "substring_index(_dns, '.', -_nf) as first_level_domain",
+        "_n > _nf as is_subdomain", "_n = _nf as is_first_level_domain", "_n = _nf + 1 as is_second_level_domain",
+        "if(_n > _ns, substring_index(_dns, '.', -_ns), null) as public_suffix",
+        "if(_n > _ns, substring_index(_dns, '.', _n - _ns), null) as domain",
+        "if(_n > _nf, substring_index(_dns, '.', _n - _nf), null) as sub_domain",
+        "if(_n > _nf, substring_index(_dns, '.', -(_nf + 1)), null) as second_level_domain")
+    step = step.selectExpr(
+        "*", "if(is_subdomain, lower(host), first_level_domain) as short_url",
+        "concat(path, coalesce(concat('?', query), '')) as page")
+    fragment = "if(contains(_u, '#'), substring(_u, position('#', _u)), '')"
+    return step.selectExpr(
+        *keep, "is_valid", "protocol", "host", "path", "query", "page", f"concat(page, {fragment}) as raw_page",
+        "query_params", "folders", "public_suffix", "substring_index(short_url, '.', -1) as top_level_domain",
+        "length(top_level_domain) = 2 as is_country_domain", "first_level_domain",
+        "concat(first_level_domain, '*') as first_level_domain_key", "second_level_domain",
+        "concat(second_level_domain, '#') as second_level_domain_key",
+        "substring_index(first_level_domain, '.', 1) as main_domain", "domain", "sub_domain",
+        "is_subdomain", "is_first_level_domain", "is_second_level_domain", "short_url",
+        "if(is_first_level_domain, concat('www.', short_url), short_url) as short_url_www",
+        "concat(protocol, '://', short_url_www) as short_url_www_http",
+        "query is null and path in ('', '/') as is_homepage",
+        f"coalesce(first_level_domain, '{NO_DOMAIN}') as domain_or_default",
+        f"{U.url_tokens('first_level_domain', 'path', 'query_params', literal)} as url_tokens")
 
 
 def url_dimension(df: DataFrame, columns: list[str], rules: DataFrame) -> DataFrame:
@@ -142,13 +119,10 @@ def url_dimension(df: DataFrame, columns: list[str], rules: DataFrame) -> DataFr
     ``vector_tokens`` are the first token positions that enter the URL vector.  A parameter
     made of ``=`` signs only voids the parameter positions there.
     """
-    stacked = df.select(F.explode(F.array(*columns)).alias("url")).distinct()
-    dim = enrich(stacked, "url", rules)
-    void = F.exists("query_params", lambda p: p.rlike("^=+$"))
-    usable = F.when(F.coalesce(void, F.lit(False)), F.lit(None).cast("array<string>")).otherwise(
-        F.col("query_params"))
-    tokens = U.url_tokens(F.col("first_level_domain"), F.col("path"), usable)
-    return dim.withColumn("vector_tokens", F.slice(tokens, 1, URL_TOKENS))
+    dim = enrich(df.select(F.explode(F.array(*columns)).alias("url")).distinct(), "url", rules)
+    usable = f"if({U.only_equals('query_params')}, null, query_params)"
+    tokens = U.url_tokens("first_level_domain", "path", usable)
+    return dim.selectExpr("*", f"slice({tokens}, 1, {URL_TOKENS}) as vector_tokens")
 
 
 def same_url(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
@@ -163,4 +137,4 @@ def reject_counts(df: DataFrame, url: str, rules: DataFrame, lenient: bool = Fal
 
 def percent_coding(df: DataFrame, text: str) -> DataFrame:
     """Form encoding of a text and back; undecodable text gives null."""
-    return df.select("*", F.url_encode(text).alias("encoded"), F.try_url_decode(F.col(text)).alias("decoded"))
+    return df.selectExpr("*", f"url_encode({text}) as encoded", f"try_url_decode({text}) as decoded")

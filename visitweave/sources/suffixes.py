@@ -26,8 +26,8 @@ blogspot.com github.io
 
 def suffixes(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
     """Rules in list notation (``com``, ``*.ck``, ``!www.ck``) as a DataFrame."""
-    rows = [(r,) for r in (DEFAULT_RULES if rules is None else rules)]
-    return parse_rules(spark.createDataFrame(rows, "value string"))
+    text = " ".join(DEFAULT_RULES if rules is None else rules)
+    return parse_rules(spark.range(1).select(F.explode(F.split(F.lit(text), " ")).alias("value")))
 
 
 def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
@@ -42,5 +42,4 @@ def parse_rules(lines: DataFrame) -> DataFrame:
             .select(F.regexp_replace("rule", r"^(\*\.|!)", "").alias("suffix"),
                     F.when(F.col("rule").startswith("*."), "wildcard")
                     .when(F.col("rule").startswith("!"), "exception")
-                    .otherwise("exact").alias("kind"))
-            .distinct())
+                    .otherwise("exact").alias("kind")))

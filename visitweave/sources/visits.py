@@ -89,6 +89,5 @@ def user_visit_lists(rows: DataFrame, size: int = LIST_ROWS, hot=None) -> DataFr
 
 def site_keys(df: DataFrame, first_level: str, second_level: str) -> DataFrame:
     """Aggregation keys of both domain levels, and the domains back from the keys."""
-    return df.withColumn("first_key", F.concat(first_level, F.lit("*"))).withColumn(
-        "second_key", F.concat(second_level, F.lit("#"))).withColumn(
-        "first_back", strip_key(F.col("first_key"))).withColumn("second_back", strip_key(F.col("second_key")))
+    return df.selectExpr("*", f"concat({first_level}, '*') as first_key", f"concat({second_level}, '#') as second_key",
+                         f"{strip_key('first_key')} as first_back", f"{strip_key('second_key')} as second_back")
