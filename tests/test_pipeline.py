@@ -1,0 +1,205 @@
+"""Sources, embeddings, feed, classifier and the two jobs from end to end."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from queries import fixture as X
+from queries.labelling import payloads
+from visitweave.config import NO_DOMAIN
+from visitweave.operators import classifier, domains, embeddings, evaluate, sequences, split, urls
+from visitweave.plans import prepare as P, train as T
+from visitweave.sources import combined, events as E, models, suffixes, visits as V
+
+LINE = "\t".join(["1.5", *[""] * 9, "http://r.com/", "", "http://www.q.com/a"])
+
+
+@pytest.fixture(scope="module")
+def history(spark, sf):
+    """Fixture events and visits, written once."""
+    ev = X.events(spark, sf).cache()
+    return ev, X.visits(spark, sf).cache()
+
+
+def _payload(spark, *lines):
+    return spark.createDataFrame([("u", "\n".join(lines))], "user_id string, payload string")
+
+
+def test_parse_and_standardise(spark):
+    parsed = E.parse_events(_payload(spark, LINE, "x\ty", "", LINE.replace("1.5", "abc"), "\t".join(["2", *[""] * 12])))
+    rows = E.standardised(parsed, suffixes.suffixes(spark)).collect()
+    assert [(r.event_id, r.timestamp, r.ts_ms, r.request_url, r.referrer_url, r.prev_url) for r in rows] == [
+        (0, 1.5, 1500, "q.com/a", "r.com", "")]
+    bad = E.reject_count(_payload(spark, LINE, "x\ty", LINE)).first()
+    assert (bad.n_lines, bad.n_rejected) == (3, 1)
+
+
+def test_failfast(spark):
+    assert E.parse_events(_payload(spark, LINE), "failfast").count() == 1
+    with pytest.raises(Exception, match="malformed event line"):
+        E.parse_events(_payload(spark, LINE, "x\ty"), "failfast").collect()
+    with pytest.raises(ValueError):
+        E.parse_events(_payload(spark, LINE), "other")
+
+
+def test_parse_is_streamable(spark, tmp_path):
+    _payload(spark, LINE, LINE).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id string, payload string").parquet(str(tmp_path / "in"))
+    run = E.parse_events(stream).writeStream.format("memory").queryName("parsed").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert spark.table("parsed").count() == 2
+
+
+def test_user_filters(spark):
+    ev = spark.createDataFrame([("a", "-"), ("a", "x.com"), ("b", "y.com")], "user_id string, request_url string")
+    assert {r.user_id for r in E.keep_users(ev).collect()} == {"a"} and E.keep_users(ev).count() == 2
+    assert {r.user_id for r in E.keep_users(ev, "clean").collect()} == {"b"}
+    assert {r.user_id for r in E.limit_users(ev, 2).collect()} == {"b"}
+
+
+def test_dictionary_is_stable(spark):
+    ev = spark.createDataFrame([("b.com",), ("a.com",), ("b.com",)], "domain string")
+    want = {NO_DOMAIN: 0, "a.com": 1, "b.com": 2}
+    assert {r.domain: r.domain_id for r in domains.dictionary(ev).collect()} == want
+    from visitweave.operators.grouped import find_hot
+    names = ev.select("domain").union(spark.createDataFrame([(NO_DOMAIN,)], "domain string")).distinct()
+    split_up = domains.dictionary(ev, find_hot(names, [], 1))
+    assert {r.domain: r.domain_id for r in split_up.collect()} == want
+
+
+def test_long_chain_continues(spark):
+    ev = spark.createDataFrame([("u", i, i, f"d{i}") for i in range(7)], "user_id string, ts_ms long, event_id long, domain string")
+    got = sorted((r.part, r.chain) for r in domains.chains(ev, size=3).collect())
+    assert got == [(0, ["d0", "d1", "d2"]), (1, ["d3", "d4", "d5"]), (2, ["d6"])]
+
+
+def test_embeddings(spark):
+    words = [(["a", "b", "c"],)] * 5 + [(["a", "rare"],)]
+    df = spark.createDataFrame(words, "words array<string>")
+    one, two = (embeddings.vector_table(embeddings.fit(df, seed=4, partitions=1)).collect() for _ in range(2))
+    assert {r.token for r in one} == {"a", "b", "c"} and all(len(r.vector) == 100 for r in one)
+    assert sorted(one) == sorted(two)
+
+
+def test_url_vectors(spark):
+    rng = np.random.default_rng(0)
+    vecs = {t: rng.random(100, dtype=np.float32) for t in ["x.com", "", "a", NO_DOMAIN, "y.com"]}
+    table = spark.createDataFrame([(t, v.tolist()) for t, v in vecs.items()], "token string, vector array<float>")
+    rules = suffixes.suffixes(spark)
+    df = spark.createDataFrame([("x.com/a/zz", "", "y.com/a?==&a=1")], "request_url string, referrer_url string, prev_url string")
+    dim = urls.url_dimension(df, E.URL_COLUMNS, rules)
+    ids = spark.createDataFrame([("x.com", 7), (NO_DOMAIN, 0)], "domain string, domain_id long")
+    got = {r.url: np.array(r.features, dtype=np.float32)
+           for r in embeddings.url_features(dim, table, table, ids).collect()}
+    tenth = np.float32(0.1)
+    want = {"x.com/a/zz": ((vecs["x.com"] + vecs[""] + vecs["a"]) * tenth, vecs["x.com"], 7),
+            "": (np.zeros(100, np.float32), vecs[NO_DOMAIN], 0),
+            "y.com/a?==&a=1": ((vecs["y.com"] + vecs[""] + vecs["a"]) * tenth, vecs["y.com"], -1)}
+    assert set(got) == set(want)
+    for u, (mean, dom, number) in want.items():
+        assert np.allclose(got[u], np.concatenate([mean, dom, [number]]), rtol=1e-6)
+
+
+def test_unknown_domain_without_fallback_vector(spark):
+    dim = spark.createDataFrame([("q.com",)], "domain string")
+    empty = spark.createDataFrame([], "token string, vector array<float>")
+    assert embeddings.with_domain_vector(dim, empty, "domain").first().domain_vec == [0.0] * 100
+
+
+def test_event_features_and_dense(spark):
+    width = 201
+    feats = spark.createDataFrame([(u, [float(i)] * width) for i, u in enumerate(["a", "b", ""])],
+                                  "url string, features array<float>")
+    ev = spark.createDataFrame([("u", 1, "a", "", "b"), ("u", 2, "b", "a", "a")],
+                               "user_id string, event_id long, request_url string, referrer_url string, prev_url string")
+    wide = embeddings.event_features(ev, feats)
+    got = {r.event_id: (r.request_vec[0], r.href_vec[0], r.prev_vec[0]) for r in wide.collect()}
+    assert got == {1: (0.0, 2.0, 1.0), 2: (1.0, 0.0, 0.0)}
+    rows = embeddings.model_rows(wide.withColumn("rel_time", F.lit(3.5)).withColumn("label", F.lit(4)))
+    seq = spark.createDataFrame([("u", 2, [(-1, -1), (1, 5), (2, -1)])],
+                                "user_id string, event_id long, sequence array<struct<event_id:long,label:int>>")
+    x = np.array(embeddings.dense(seq, rows, 3).first().x)
+    assert x.shape == (3, 404) and (x[0] == -1).all()
+    assert (x[1, 0], x[1, 201], x[1, 402], x[1, 403]) == (0.0, 2.0, 3.5, 5.0) and x[2, 403] == -1
+
+
+def test_split_and_feed(spark):
+    users = spark.createDataFrame([(f"u{i}", i % 7 + 1) for i in range(300)], "user_id string, n_rows long")
+    parts = split.with_split(users).groupBy("split").count().collect()
+    assert sum(r["count"] for r in parts) == 300 and 10 < {r.split: r["count"] for r in parts}["test"] < 60
+    drawn = split.with_split(users, method="rand", seed=3)
+    assert drawn.collect() == drawn.collect()
+    rows = split.batches(users, 20, 3, 1).collect()
+    lit = split.batches(users, 20, 3, 1, literal=True).collect()
+    assert len(rows) == len(lit) == 300
+    for got, greedy in ((rows, False), (lit, True)):
+        for shard in range(3):
+            batch = filled = before = 0
+            for r in sorted((r for r in got if r.shard == shard), key=lambda r: r.feed_rank):
+                assert r.batch_id == (batch if greedy else before // 20)
+                before += r.n_rows
+                filled += r.n_rows
+                if filled > 20:
+                    batch, filled = batch + 1, 0
+    assert split.sample(users, 1.0).count() == 300
+    assert split.epochs(users, 2, 0.5, 1).select("epoch").distinct().count() == 2
+
+
+def test_votes_and_matrix(spark):
+    pred = spark.createDataFrame([("u", 1, 3, 2), ("u", 1, 2, 2), ("u", 1, 2, 2), ("u", 1, 3, 2), ("u", 2, 0, 0)],
+                                 "user_id string, visit_rank int, predicted int, actual int")
+    assert {(r.visit_rank, r.referral) for r in evaluate.referral_votes(pred).collect()} == {(1, 2), (2, 0)}
+    cells = evaluate.confusion(pred)
+    assert cells.count() == 64 and cells.agg(F.sum("n")).first()[0] == 5
+    assert math.isclose(evaluate.confusion_share(cells).agg(F.sum("share")).first()[0], 1.0)
+    a = evaluate.accuracy(pred).first()
+    assert (a.accuracy, a.n_samples) == (0.6, 5)
+    assert evaluate.confusion_share(evaluate.confusion(pred.limit(0))).agg(F.sum("share")).first()[0] == 0
+    votes = spark.createDataFrame([("u", 1, 2, 0), ("u", 1, 2, 0), ("u", 1, 1, 0), ("u", 2, 1, 1), ("u", 3, 2, 0), ("u", 3, 1, 0)],
+                                  "user_id string, event_id long, visit_rank int, predicted int")
+    assert {(r.event_id, r.voted_visit) for r in evaluate.visit_votes(votes).collect()} == {(1, 2), (2, 0), (3, 1)}
+    scores = spark.createDataFrame([([0.1, 0.5, 0.5],)], "scores array<double>")
+    assert evaluate.predicted_class(scores).first().predicted == 1
+
+
+def test_fixture_is_the_same_for_hot_users(spark, sf):
+    hot = X.hot_users(spark, sf, 10)
+    assert hot.rows
+    plain, cut = X.visits(spark, sf), X.visits(spark, sf, hot)
+    assert plain.exceptAll(cut).count() == 0 and plain.count() == cut.count()
+
+
+def test_jobs(spark, history, tmp_path):
+    ev, vs = history
+    root = str(tmp_path)
+    rules = X.rules(spark)
+    src = payloads(spark, "/root/testdata/sf0.001")
+    done = P.prepare(spark, src, vs, rules, root, keep="clean")
+    assert {f"split={s}" for s in ("train", "test")} == {p.name for p in (tmp_path / "combined").glob("split=*")}
+    row = done.select(F.explode("events").alias("e")).select("e.*").first()
+    assert len(row.request_vec) == len(row.href_vec) == len(row.prev_vec) == 201
+    assert done.select("user_id").distinct().count() == ev.select("user_id").distinct().count()
+    # The records give the same labels as the flat tables they came from.
+    back = sequences.multi_visit(combined.events_of(done), combined.visits_of(done))
+    flat = sequences.multi_visit(ev, V.visit_rows(vs))
+    counts = lambda df: sorted((r.user_id, r.ts_ms, r.label) for r in df.collect())
+    assert counts(back) == counts(flat)
+    test, learn = (combined.read_combined(spark, f"{root}/combined", s) for s in ("test", "train"))
+    model = T.train(spark, learn, test, "multi-visit", f"{root}/model", f"{root}/log", n_epochs=2, fraction=0.9, iterations=3)
+    log = models.read_metrics(spark, f"{root}/log").collect()
+    assert sorted(r.type for r in log) == ["batch", "batch", "epoch", "epoch"] and all(r.loss > 0 for r in log)
+    cells, total = T.evaluate_model(test, "multi-visit", model)
+    n = cells.agg(F.sum("n")).first()[0]
+    assert n == total.first().n_samples > 0
+    again = T.train(spark, learn, test, "multi-visit", f"{root}/model", f"{root}/log", fraction=1.0, iterations=3)
+    assert len(again.weights) == len(model.weights)
+
+
+@pytest.mark.parametrize("mode", ["visit", "multi-transfer"])
+def test_other_modes_train(spark, history, mode):
+    ev, vs = history
+    samples = classifier.window_summary(sequences.learning_set(mode)(ev, V.visit_rows(vs))).cache()
+    scored = classifier.score(samples, classifier.fit(samples, mode, iterations=2))
+    assert scored.filter(F.size("scores") != 8).count() == 0 and classifier.losses(scored).first().loss > 0

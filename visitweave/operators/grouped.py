@@ -161,14 +161,14 @@ def trailing(df: DataFrame, keys: list[str], order: list[str], size: int, item:
         block = max(hot.limit, size)
         # Positions are consecutive, so a row's block and the block it spills into follow
         # from its place alone.
-        placed = _running_sliced(large.withColumn("_item", item), keys, order,
-                                 {"_pos": Running("count")}, hot)
-        first = F.floor((F.col("_pos") - 1) / block)
-        spread = placed.withColumn("_own", first).withColumn(
-            "_block", F.explode(F.sequence(first, F.floor((F.col("_pos") - 1 + back) / block))))
-        w = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(-back, 0)
-        parts.append(spread.withColumn(name, F.collect_list("_item").over(w))
-                     .filter("_block = _own").select(*df.columns, name))
+        placed = _running_sliced(large.withColumn("_tw_item", item), keys, order,
+                                 {"_tw_pos": Running("count")}, hot)
+        first = F.floor((F.col("_tw_pos") - 1) / block)
+        spread = placed.withColumn("_tw_home", first).withColumn(
+            "_tw_block", F.explode(F.sequence(first, F.floor((F.col("_tw_pos") - 1 + back) / block))))
+        w = Window.partitionBy(*keys, "_tw_block").orderBy("_tw_pos").rowsBetween(-back, 0)
+        parts.append(spread.withColumn(name, F.collect_list("_tw_item").over(w))
+                     .filter("_tw_block = _tw_home").select(*df.columns, name))
     return reduce(DataFrame.unionByName, parts)
 
 

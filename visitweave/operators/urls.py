@@ -127,7 +127,8 @@ def url_dimension(df: DataFrame, columns: list[str], rules: DataFrame) -> DataFr
 
 def same_url(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """One row per URL identity, which is the canonical URL."""
-    return canonical(df, url, rules).filter("reject_reason = 'ok'").select("raw_url").distinct()
+    return canonical(df.select(F.col(url).alias("url")), "url", rules).filter(
+        "reject_reason = 'ok'").select("raw_url").distinct()
 
 
 def reject_counts(df: DataFrame, url: str, rules: DataFrame, lenient: bool = False) -> DataFrame:
