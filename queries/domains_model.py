@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries import fixture as X
+from queries import fixture as X, url_columns
 from queries.catalog import query
 from queries.labelling import _SPLIT, _joined
 from visitweave.config import NO_DOMAIN
 from visitweave.operators import classifier, domains, embeddings, evaluate, labels, sequences, split, stats, urls
-from visitweave.sources import events as E, models, visits as V
+from visitweave.sources import models, visits as V
 from visitweave.storage import durable, fresh_path
 
 _DOM = f""", d as (select *, case when event_type='error' then '{NO_DOMAIN}' else "domain" end dom from ev)
@@ -190,7 +190,13 @@ def g3(spark, sf):
     return split.batches(_user_rows(spark, sf), 100, 4, 7)
 
 
-@query("g3_user_batches_literal")
+@query("g3_user_batches_literal", X.sql(_FEED + """
+, walk as (with recursive r as (
+    select shard, feed_rank, user_id, n_rows, 0::bigint batch_id, n_rows filled from o where feed_rank = 1
+    union all select o.shard, o.feed_rank, o.user_id, o.n_rows, r.batch_id + (r.filled > 100)::int,
+      case when r.filled > 100 then o.n_rows else r.filled + o.n_rows end
+    from r join o on o.shard = r.shard and o.feed_rank = r.feed_rank + 1) select * from r)
+select user_id, n_rows, shard, feed_rank, batch_id from walk"""))
 def g3_literal(spark, sf):
     return split.batches(_user_rows(spark, sf), 100, 4, 7, literal=True)
 
@@ -210,93 +216,140 @@ def g4(spark, sf):
 SIZE = 20
 
 
-def _stored_events(spark, sf, hot=None):
-    """Events written once, since the embeddings read them several times."""
-    return durable(X.events(spark, sf, hot))
-
-
-def _url_vectors(spark, ev):
-    return embeddings.vector_table(embeddings.fit(embeddings.url_sentences(ev, X.rules(spark)), seed=1, size=SIZE))
-
-
-def _domain_vectors(views, hot=None):
-    chains = domains.chains(domains.replace_rare(views), hot=hot)
-    return embeddings.vector_table(embeddings.fit(chains, "chain", seed=1, size=SIZE))
-
-
 def _head(df, col="vector"):
     return df.withColumn("n", F.size(col)).withColumn(col, F.round(F.element_at(col, 1).cast("double"), 4))
 
 
 @query("m1_m3_url_embedding")
 def m1(spark, sf):
-    return _head(_url_vectors(spark, X.events(spark, sf)))
+    sentences = embeddings.url_sentences(X.events(spark, sf), X.rules(spark))
+    return _head(embeddings.vector_table(embeddings.fit(sentences, seed=1, size=SIZE)))
 
 
 @query("m2_m3_domain_embedding")
 def m2(spark, sf):
-    return _head(_domain_vectors(durable(_with_domain(spark, sf)), X.hot_users(spark, sf)))
+    chains = domains.chains(domains.replace_rare(durable(_with_domain(spark, sf))), hot=X.hot_users(spark, sf))
+    return _head(embeddings.vector_table(embeddings.fit(chains, "chain", seed=1, size=SIZE)))
+
+
+@query("s5_s6_embedding_write_read")
+def s5(spark, sf):
+    path = fresh_path(spark, "embedding")
+    chains = domains.chains(_with_domain(spark, sf))
+    models.save_embedding(embeddings.fit(chains, "chain", seed=1, size=SIZE), path)
+    back = embeddings.vector_table(models.load_embedding(path))
+    return models.load_vectors(spark, path).join(back.select("token"), "token").select(
+        "token", F.size("vector").alias("n"))
+
+
+# The lookups below take vectors made from a token's md5, four numbers each, for tokens
+# seen at least five times in the page URLs, so that SQL can follow every value.
+DIM = 4
+_MD5_VEC = "[" + ",".join(f"(('0x'||substr(md5({{0}}),{2 * i + 1},2))::int/256.0)::float" for i in range(DIM)) + "]"
+_ZEROS = "[0,0,0,0]::float[]"
+_VECTORS = f"""
+, tok as (select page_id, url, unnest(tokens[:10]) token, generate_subscripts(tokens[:10],1)-1 pos from w),
+vt as (select token, {_MD5_VEC.format('token')} vec from (select token from tok group by 1 having count(*) >= 5)),
+dv as (select fld token, {_MD5_VEC.format('fld')} vec from (select fld from w group by 1 having count(*) >= 5)
+       union all select '{NO_DOMAIN}', {_MD5_VEC.format("'" + NO_DOMAIN + "'")}),
+ids as (select dom, row_number() over (order by dom)-1 domain_id from (
+        select fld dom from w union select '{NO_DOMAIN}')),
+known as (select url, pos, vec from tok join vt using (token)),
+mean as (select url, [{','.join(f"(sum(vec[{i + 1}])::float*0.1::float)" for i in range(DIM))}] url_vec from known group by 1),
+feat as (select w.url, coalesce(mean.url_vec,{_ZEROS}) url_vec,
+                coalesce(dv.vec,(select vec from dv where token='{NO_DOMAIN}')) domain_vec, coalesce(domain_id,-1) domain_id
+         from w left join mean using (url) left join dv on dv.token = w.fld left join ids on ids.dom = w.fld)
+"""
+_LIST = "array_to_string(list_transform({0}, lambda x: round(x::double*1000)::bigint),',')"
+
 
+def _digits(col):
+    return F.array_join(F.transform(col, lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",")
 
-@query("j4_token_vectors")
+
+def _md5_vectors(tokens, min_count):
+    """``(token, vector)`` for tokens with at least ``min_count`` rows."""
+    kept = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+    pair = lambda i: F.conv(F.substring(F.md5("token"), 2 * i + 1, 2), 16, 10).cast("float")
+    return kept.select("token", F.array(*[(pair(i) / 256).cast("float") for i in range(DIM)]).alias("vector"))
+
+
+def _page_lookup(spark, sf):
+    """URL dimension of the page table, its token and domain vectors, and domain ids."""
+    dim = durable(urls.url_dimension(X.table(spark, sf, "pages"), ["url"], X.rules(spark)).select(
+        "url", "domain_or_default", "vector_tokens"))
+    tokens = _md5_vectors(dim.select(F.explode("vector_tokens").alias("token")), 5)
+    names = dim.select(F.col("domain_or_default").alias("domain"))
+    doms = _md5_vectors(names.select(F.col("domain").alias("token")), 5).unionByName(
+        _md5_vectors(spark.range(1).select(F.lit(NO_DOMAIN).alias("token")), 1))
+    return dim, tokens, doms, domains.dictionary(names)
+
+
+@query("j4_token_vectors", url_columns._PARTS + _VECTORS + f"""
+select url, pos, token, {_LIST.format(f'coalesce(vec,{_ZEROS})')} vector from tok left join vt using (token)""")
 def j4(spark, sf):
-    ev = _stored_events(spark, sf)
-    dim = urls.url_dimension(ev, ["request_url"], X.rules(spark))
-    return _head(embeddings.token_vectors(dim, _url_vectors(spark, ev), SIZE))
+    dim, tokens, _, _ = _page_lookup(spark, sf)
+    return embeddings.token_vectors(dim, tokens, DIM).withColumn("vector", _digits("vector"))
 
 
-@query("a5_url_means")
+@query("a5_url_means", url_columns._PARTS + _VECTORS + f"select url, {_LIST.format('url_vec')} url_vec from feat")
 def a5(spark, sf):
-    ev = _stored_events(spark, sf)
-    dim = urls.url_dimension(ev, ["request_url"], X.rules(spark)).select("url", "vector_tokens")
-    return _head(embeddings.url_means(dim, _url_vectors(spark, ev), SIZE).drop("vector_tokens"), "url_vec")
+    dim, tokens, _, _ = _page_lookup(spark, sf)
+    return embeddings.url_means(dim.select("url", "vector_tokens"), tokens, DIM).select(
+        "url", _digits("url_vec").alias("url_vec"))
 
 
-@query("j5_domain_vectors")
+@query("j5_domain_vectors", url_columns._PARTS + _VECTORS + f"select url, {_LIST.format('domain_vec')} domain_vec from feat")
 def j5(spark, sf):
-    views = durable(_with_domain(spark, sf))
-    names = views.select("domain").distinct()
-    return _head(embeddings.with_domain_vector(names, _domain_vectors(views), "domain", SIZE), "domain_vec")
+    dim, _, doms, _ = _page_lookup(spark, sf)
+    return embeddings.with_domain_vector(dim.select("url", "domain_or_default"), doms, size=DIM).select(
+        "url", _digits("domain_vec").alias("domain_vec"))
 
 
-def _features(spark, ev):
-    views = durable(urls.domains(ev.drop("domain"), "request_url", X.rules(spark)))
-    return embeddings.url_features(
-        urls.url_dimension(ev, E.URL_COLUMNS, X.rules(spark)), _url_vectors(spark, ev), _domain_vectors(views),
-        domains.dictionary(views), SIZE)
+@query("p12_url_features", url_columns._PARTS + _VECTORS + f"""
+select url, {_LIST.format('list_concat(list_concat(url_vec,domain_vec),[domain_id::float])')} features from feat""")
+def p12(spark, sf):
+    dim, tokens, doms, ids = _page_lookup(spark, sf)
+    return embeddings.url_features(dim, tokens, doms, ids, DIM).select("url", _digits("features").alias("features"))
 
 
-@query("p12_url_features")
-def p12(spark, sf):
-    return _head(_features(spark, _stored_events(spark, sf)), "features")
+_EVENT_FEAT = X.sql(url_columns._PARTS.replace("\nwith ", "\n, ", 1) + _VECTORS)
+_HREF = f"coalesce(h.domain_id, (select domain_id from ids where dom='{NO_DOMAIN}'))"
 
 
-@query("p13_event_features")
-def p13(spark, sf):
-    ev = _stored_events(spark, sf)
-    out = embeddings.event_features(ev, _features(spark, ev))
-    return out.select("user_id", "event_id", *[F.size(c).alias(c) for c in ("request_vec", "href_vec", "prev_vec")])
+def _event_features(spark, ev, sf):
+    dim, tokens, doms, ids = _page_lookup(spark, sf)
+    missing = urls.url_dimension(spark.range(1).select(F.lit("").alias("url")), ["url"], X.rules(spark)).select(*dim.columns)
+    return embeddings.event_features(ev, embeddings.url_features(dim.unionByName(missing), tokens, doms, ids, DIM))
 
 
-@query("p11_model_rows")
+@query("p13_event_features", _EVENT_FEAT + f"""
+select e.user_id, e.event_id, round(r.url_vec[1]::double*1000)::bigint request_first, r.domain_id request_domain,
+       {_HREF} href_domain, 9 n_prev
+from ev e join feat r on r.url = e.request_url left join feat h on h.url = e.referrer_url""")
+def p13(spark, sf):
+    out = _event_features(spark, X.events(spark, sf), sf)
+    last = lambda c: F.element_at(c, -1).cast("long")
+    return out.select("user_id", "event_id", F.round(F.col("request_vec")[0].cast("double") * 1000).cast("long")
+                      .alias("request_first"), last("request_vec").alias("request_domain"),
+                      last("href_vec").alias("href_domain"), F.size("prev_vec").alias("n_prev"))
+
+
+@query("p11_model_rows", _EVENT_FEAT + f"""
+, st as (select user_id, min(ts_ms) start_ms from ev group by 1)
+select l.user_id, l.event_id, 20 n, r.domain_id::double request_domain, {_HREF}::double href_domain,
+       round((l.ts_ms-start_ms)/1000.0::double,3) rel_time, l.visit_rank::double "label"
+from lab l join st using (user_id) join feat r on r.url = l.request_url left join feat h on h.url = l.referrer_url""")
 def p11(spark, sf):
     hot = X.hot_users(spark, sf)
-    ev = _stored_events(spark, sf, hot)
-    with_vec = embeddings.event_features(ev, _features(spark, ev))
+    with_vec = _event_features(spark, X.events(spark, sf, hot), sf)
     marked = labels.label_events(with_vec, V.first_visits(X.visit_rows(spark, sf, hot)), matched_only=False)
     rows = sequences.since_start(marked, hot).filter("visit_rank > 0").withColumnRenamed("visit_rank", "label")
-    return embeddings.model_rows(rows).select("user_id", "event_id", F.size("model_row").alias("n"),
-                                              F.element_at("model_row", -1).alias("label"))
-
-
-@query("s5_s6_embedding_write_read")
-def s5(spark, sf):
-    path = fresh_path(spark, "embedding")
-    chains = domains.chains(_with_domain(spark, sf))
-    models.save_embedding(embeddings.fit(chains, "chain", seed=1, size=SIZE), path)
-    back = embeddings.vector_table(models.load_embedding(path))
-    return models.load_vectors(spark, path).join(back.select("token"), "token").select(
-        "token", F.size("vector").alias("n"))
+    row, at = F.col("model_row"), 2 * DIM + 1
+    return embeddings.model_rows(rows).select(
+        "user_id", "event_id", F.size(row).alias("n"), F.element_at(row, at).alias("request_domain"),
+        F.element_at(row, 2 * at).alias("href_domain"), F.round(F.element_at(row, -2), 3).alias("rel_time"),
+        F.element_at(row, -1).alias("label"))
 
 
 # -- classifier --------------------------------------------------------------------------

@@ -22,21 +22,24 @@ VISIT_PAGES = 500
 ORDER = ["ts_ms", "event_id"]
 
 
+SCHEMAS = {"events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+           "pages": "page_id bigint, url string, html string"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is stated, so no job has to look it up."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def rules(spark: SparkSession) -> DataFrame:
+def rules(spark: SparkSession) -> suffixes.SuffixRules:
     return suffixes.suffixes(spark, RULES)
 
 
 def _base(spark, sf):
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return table(spark, sf, "events").select(
-        "event_id", "event_type", F.col("user_id").alias("_user"), F.expr("{0} div 1000".format(
-            "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).alias("ts_ms")).select(
-        "*", F.concat_ws("-", F.col("_user").cast("string"), F.expr(f"(ts_ms div {WEEK_MS})").cast("string"))
-        .alias("user_id"))
+    us = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+    return table(spark, sf, "events").selectExpr(
+        "event_id", "event_type", "user_id as _user", f"{us} div 1000 as ts_ms").selectExpr(
+        "*", f"concat(_user, '-', ts_ms div {WEEK_MS}) as user_id")
 
 
 def hot_users(spark: SparkSession, sf: str, limit: int = grouped.HOT_ROWS) -> grouped.HotGroups:

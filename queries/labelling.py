@@ -9,7 +9,7 @@ from queries.catalog import query
 from visitweave.config import MAX_T, MAX_VISITS, VISIT_MAX_T
 from visitweave.functions.arrays import one_hot
 from visitweave.operators import grouped, labels, sequences, split, transfers
-from visitweave.plans.prepare import prepare_visits
+from visitweave.plans.prepare import prepare_events, prepare_visits
 from visitweave.sources import combined, events as E, visits as V
 from visitweave.storage import fresh_path
 
@@ -47,11 +47,13 @@ def p1_rejects(spark, sf):
     return E.reject_count(X.events(spark, sf).select("user_id", line.alias("payload")))
 
 
-@query("s1_sequence_file")
+@query("s1_sequence_file", X.sql("""
+select user_id, ts_ms, "timestamp", request_url, coalesce(referrer_url,'') referrer_url,
+       coalesce(prev_url,'') prev_url from ev"""))
 def s1(spark, sf):
     path = fresh_path(spark, "events-seq")
     payloads(spark, sf, X.hot_users(spark, sf)).rdd.map(lambda r: (r[0], r[1])).saveAsSequenceFile(path)
-    return E.parse_events(E.read_sequence_file(spark, path))
+    return E.parse_events(E.read_sequence_file(spark, path)).drop("event_id")
 
 
 @query("s2_visit_parquet", X.sql("""
@@ -80,7 +82,7 @@ def p2(spark, sf):
 select user_id, event_id, ts_ms, request_url from ev
 where user_id in (select user_id from ev group by 1 having count(*) < 800)"""))
 def p3(spark, sf):
-    bags = E.event_bags(X.page_views(spark, sf), ["ts_ms", "event_id", "request_url"])
+    bags = E.event_bags(X.page_views(spark, sf), ["ts_ms", "event_id", "request_url"], hot=X.hot_users(spark, sf))
     return E.flatten(bags).select("user_id", "event_id", "ts_ms", "request_url")
 
 
@@ -269,7 +271,7 @@ w as (select user_id, count(*) n_visits from vs group by 1)
 select user_id, n_events, n_visits from e join w using (user_id)"""))
 def j1(spark, sf):
     hot = X.hot_users(spark, sf)
-    bags = E.event_bags(X.page_views(spark, sf), ["ts_ms", "event_id", "request_url"])
+    bags = E.event_bags(X.page_views(spark, sf), ["ts_ms", "event_id", "request_url"], hot=hot)
     both = combined.combine(bags, V.user_visit_lists(X.visit_rows(spark, sf, hot), hot=hot))
     return both.groupBy("user_id").agg(F.max(F.size("events")).cast("long").alias("n_events"),
                                        F.sum(F.size("visits")).alias("n_visits"))
@@ -389,6 +391,14 @@ def f8(spark, sf):
     return sequences.non_empty(out).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_samples"))
 
 
+@query("l1_prepare_events", X.sql("select user_id, count(*) n_events, 201 n_features from ev group by 1"))
+def l1(spark, sf):
+    source = payloads(spark, sf, X.hot_users(spark, sf))
+    bags = prepare_events(spark, source, X.rules(spark), fresh_path(spark, "prepared"), keep="clean")
+    return bags.select("user_id", F.size("events").cast("long").alias("n_events"),
+                       F.size(F.col("events")[0]["request_vec"]).alias("n_features"))
+
+
 @query("l2_prepare_visits", X.sql("""
 select user_id, visit_rank, site, sending_page, landing_page, round(first_ts/1000.0::double,3) first_second,
        len(pages) n_pages from vs"""))
@@ -425,7 +435,7 @@ select case when {_SPLIT} = 0 then 'test' else 'train' end split, count(*) n_use
 def l3(spark, sf):
     hot = X.hot_users(spark, sf)
     path = fresh_path(spark, "combined")
-    bags = E.event_bags(X.events(spark, sf, hot))
+    bags = E.event_bags(X.events(spark, sf, hot), hot=hot)
     both = combined.combine(bags, V.user_visit_lists(X.visit_rows(spark, sf, hot), hot=hot))
     combined.write_combined(split.with_split(both), path)
     back = combined.read_combined(spark, path)

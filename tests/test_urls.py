@@ -141,8 +141,13 @@ def test_links(spark):
 def test_suffix_file_format(spark, tmp_path):
     f = tmp_path / "list.dat"
     f.write_text("// comment\n\ncom\n*.ck\n!www.ck\nCO.UK  trailing\n")
-    got = {(r.suffix, r.kind) for r in suffixes.read_suffixes(spark, str(f)).collect()}
-    assert got == {("com", "exact"), ("ck", "wildcard"), ("www.ck", "exception"), ("co.uk", "exact")}
+    rules = suffixes.read_suffixes(spark, str(f))
+    got = {tuple(r) for r in rules.frame.select("suffix", "exact", "exception", "wildcard").collect()}
+    assert got == {("com", True, False, False), ("ck", False, False, True), ("www.ck", False, True, False),
+                   ("co.uk", True, False, False)}
+    assert rules.depth == 2
+    listed = suffixes.suffixes(spark, ["com", "*.ck", "!www.ck", "co.uk"])
+    assert {tuple(r) for r in listed.frame.collect()} == got and listed.depth == 2
 
 
 def test_percent_coding(spark):
@@ -154,6 +159,6 @@ def test_percent_coding(spark):
 def test_dimension_tokens(spark, rules):
     df = spark.createDataFrame([("x.com/a?==&b=1", None, "x.com/1/2/3/4/5/6/7/8/9/10")], "a string, b string, c string")
     got = {r.url: r.vector_tokens for r in urls.url_dimension(df, ["a", "b", "c"], rules).collect()}
-    assert got == {"x.com/a?==&b=1": ["x.com", "", "a"], None: [],
+    assert got == {"x.com/a?==&b=1": ["x.com", "", "a"], "": [],
                    "x.com/1/2/3/4/5/6/7/8/9/10": ["x.com", "", "1", "2", "3", "4", "5", "6", "7", "8"]}
     assert dict(urls.enrich(df.select(F.col("a")), "a", rules).dtypes)["folders"] == "array<string>"

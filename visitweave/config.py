@@ -18,6 +18,8 @@ TEST_PERCENT = 10
 
 # Rows of one group that a single task is asked to sort; larger groups are split.
 HOT_ROWS = 1_000_000
+# Up to this many counted keys are broadcast; more go through an ordinary join.
+BROADCAST_KEYS = 100_000
 # Rows per array when a per-user list is written out (also the sentence length
 # at which Word2Vec cuts its input).
 LIST_ROWS = 1000

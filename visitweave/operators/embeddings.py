@@ -11,10 +11,11 @@ from visitweave.config import LIST_ROWS, MIN_COUNT, NO_DOMAIN, URL_TOKENS, VECTO
 from visitweave.functions.arrays import scale, vector_sum, zeros
 from visitweave.operators import urls
 from visitweave.sources.events import URL_COLUMNS, url_rows
+from visitweave.sources.suffixes import SuffixRules
 from visitweave.storage import durable
 
 
-def url_sentences(events: DataFrame, rules: DataFrame, literal: bool = False) -> DataFrame:
+def url_sentences(events: DataFrame, rules: SuffixRules, literal: bool = False) -> DataFrame:
     """Token sequence of every URL occurrence (three per event)."""
     tokens = urls.enrich(url_rows(events).select("url"), "url", rules, literal)
     return tokens.filter(F.size("url_tokens") > 0).select(F.col("url_tokens").alias("words"))
@@ -85,7 +86,7 @@ def event_features(events: DataFrame, features: DataFrame) -> DataFrame:
     The three URLs of an event are looked up in one join and put back together, rather than
     moving ever wider events through three.
     """
-    found = url_rows(events).join(features, "url").groupBy("user_id", "event_id").agg(
+    found = url_rows(events).withColumn("url", F.coalesce("url", F.lit(""))).join(features, "url").groupBy("user_id", "event_id").agg(
         F.collect_list(F.struct("url_kind", "features")).alias("_f"))
     pick = lambda kind: F.filter("_f", lambda x: x["url_kind"] == kind)[0]["features"]
     vecs = found.select("user_id", "event_id", *[

@@ -15,15 +15,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitweave.config import HOT_ROWS
+from visitweave.config import BROADCAST_KEYS, HOT_ROWS
 from visitweave.storage import durable
 
 
 class HotGroups(NamedTuple):
-    """Groups too large for one task: their keys (a DataFrame) and their row total."""
+    """Groups too large for one task: their keys (a DataFrame), number and row total."""
 
     keys: list[str]
     frame: DataFrame | None
+    groups: int
     rows: int
     limit: int
 
@@ -47,13 +48,13 @@ def find_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> HotGroups
     """
     if not keys:
         rows = df.count()
-        return HotGroups([], None, rows if rows > limit else 0, limit)
+        return HotGroups([], None, int(rows > limit), rows if rows > limit else 0, limit)
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    rows = big.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    if not rows:
-        return HotGroups(list(keys), None, 0, limit)
-    return HotGroups(list(keys), durable(big.select(*[F.col(k).alias(f"_h_{k}") for k in keys])),
-                     rows, limit)
+    groups, rows = big.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    if not groups:
+        return HotGroups(list(keys), None, 0, 0, limit)
+    frame = durable(big.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    return HotGroups(list(keys), frame, groups, rows, limit)
 
 
 def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame | None, DataFrame | None]:
@@ -63,7 +64,8 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame | None, DataFram
     if not hot.keys:
         return None, df
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in hot.keys])
-    return df.join(hot.frame, cond, "left_anti"), df.join(hot.frame, cond, "left_semi")
+    side = F.broadcast(hot.frame) if hot.groups <= BROADCAST_KEYS else hot.frame
+    return df.join(side, cond, "left_anti"), df.join(side, cond, "left_semi")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Running],

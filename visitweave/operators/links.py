@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from visitweave.functions import urls as U
 from visitweave.operators import urls
+from visitweave.sources.suffixes import SuffixRules
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["\']([^"\']*)["\']"""
 
@@ -36,7 +37,7 @@ def resolve(protocol: str, auth: str, path: str, query: str, href: str) -> str:
  else concat({site}, {U.remove_dots(f'concat({folder}, {file})')}, {rest}) end"""
 
 
-def link_edges(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def link_edges(pages: DataFrame, rules: SuffixRules) -> DataFrame:
     """``(page_id, link_no, href, link_url)`` for pages with a valid URL."""
     base = urls.enrich(pages.select("page_id", "url", "html"), "url", rules).filter("is_valid").selectExpr(
         "page_id", "html", "protocol", f"{U.authority('raw_url')} as auth", "path", "query")

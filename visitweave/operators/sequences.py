@@ -75,12 +75,15 @@ def multi_visit(events: DataFrame, visit_rows: DataFrame, max_t: int = MAX_T, ma
 
 def multi_transfer(events: DataFrame, visit_rows: DataFrame, max_t: int = MAX_T, match: str = "ms",
                    hot: HotGroups | None = None) -> DataFrame:
-    """Event -> referring visit of its visit, 0 = direct; labels stay visible."""
+    """Event -> referring visit of its visit, 0 = direct; labels stay visible.
+
+    ``hot`` users are found by their events; their visits are about the same events.
+    """
     hot = hot or grouped.find_hot(events, ["user_id"])
     ranked = V.first_visits(visit_rows)
     kept = _labelled(events, ranked, match, hot)
     out = event_windows(kept, max_t, F.col("visit_rank"), hot=hot)
-    sent = transfers.referrals(ranked).select("user_id", F.col("visit_rank").cast("int").alias("visit_rank"),
+    sent = transfers.referrals(ranked, hot).select("user_id", F.col("visit_rank").cast("int").alias("visit_rank"),
                                               "referrer_rank")
     label = F.col("referrer_rank")
     return out.join(sent, ["user_id", "visit_rank"]).select(
@@ -100,7 +103,7 @@ def single_visit(events: DataFrame, visit_rows: DataFrame, max_t: int = VISIT_MA
     ranked = V.first_visits(visit_rows)
     kept = labels.label_events(events, ranked, match)
     own = grouped.trailing(kept, ["user_id", "visit_rank"], ORDER, max_t - 1, F.col("event_id"), "_own", hot)
-    menu = (transfers.referrals(ranked).groupBy("user_id")
+    menu = (transfers.referrals(ranked, hot).groupBy("user_id")
             .agg(F.array_sort(F.collect_list(F.struct("visit_rank", "referrer_rank"))).alias("_menu")))
     pairs = own.join(menu, "user_id").select(
         "user_id", "event_id", "ts_ms", F.col("visit_rank").alias("event_visit"), "_own",

@@ -12,36 +12,28 @@ from pyspark.sql import functions as F
 
 from visitweave.config import NO_DOMAIN, URL_TOKENS
 from visitweave.functions import urls as U
+from visitweave.sources.suffixes import SuffixRules
 
 
-def suffix_depth(rules: DataFrame) -> int:
-    """Labels in the longest rule (the rules are a small dimension)."""
-    return rules.agg(F.max(F.size(F.split("suffix", r"\.")))).first()[0] or 1
-
-
-def public_suffix(df: DataFrame, name: str, rules: DataFrame, out: str = "suffix_labels",
-                  depth: int | None = None) -> DataFrame:
+def public_suffix(df: DataFrame, name: str, rules: SuffixRules, out: str = "suffix_labels") -> DataFrame:
     """Number of labels in the longest matching suffix of domain ``name``; null if none."""
-    depth = depth or suffix_depth(rules)
-    flags = rules.groupBy("suffix").agg(
-        *[F.bool_or(F.col("kind") == k).alias(k) for k in ("exact", "exception", "wildcard")])
     count = rf"size(split({name}, r'\.'))"
     joined = df
-    for d in range(1, depth + 1):
-        side = flags.selectExpr(*[f"{c} as _{c}{d}" for c in flags.columns])
+    for d in range(1, rules.depth + 1):
+        side = rules.frame.selectExpr(*[f"{c} as _{c}{d}" for c in rules.frame.columns])
         tail = F.expr(f"if({count} >= {d}, substring_index({name}, '.', -{d}), null) = _suffix{d}")
         joined = joined.join(side, tail, "left")
     choice = []
-    for c in range(depth + 1, 0, -1):
-        if c <= depth:
+    for c in range(rules.depth + 1, 0, -1):
+        if c <= rules.depth:
             choice += [f"if(_exact{c}, {c}, null)", f"if(_exception{c}, {c - 1}, null)"]
         if c > 1:
             choice.append(f"if(_wildcard{c - 1} and {count} >= {c}, {c}, null)")
     return joined.selectExpr(*df.columns, f"coalesce({', '.join(choice)}) as {out}")
 
 
-def canonical(df: DataFrame, url: str, rules: DataFrame, prefix: str = "",
-              lenient: bool = False, depth: int | None = None) -> DataFrame:
+def canonical(df: DataFrame, url: str, rules: SuffixRules, prefix: str = "",
+              lenient: bool = False) -> DataFrame:
     """Add ``raw_url`` ('' when invalid), ``reject_reason`` and the pieces they come from."""
     p = prefix
     low, bare, once, raw = p + "_low", p + "_bare", p + "_once", p + "_raw"
@@ -53,7 +45,7 @@ def canonical(df: DataFrame, url: str, rules: DataFrame, prefix: str = "",
                  f"{U.unescape_if_needed(bare)} as {once}", f"{U.drop_controls(again)} as {raw}",
                  f"{U.authority(raw)} as {auth}", f"{U.host(auth)} as {host}", f"{U.domain_name(host)} as {name}"):
         step = step.selectExpr("*", expr)
-    step = public_suffix(step, name, rules, n, depth)
+    step = public_suffix(step, name, rules, n)
     reason = f"""coalesce({U.syntax_reason(url, auth, name, lenient)},
  case when {n} is null then 'no_suffix' when not contains({name}, '.') then 'no_dot' else 'ok' end)"""
     step = step.selectExpr("*", f"{reason} as {p}reject_reason")
@@ -61,24 +53,23 @@ def canonical(df: DataFrame, url: str, rules: DataFrame, prefix: str = "",
                            f"if({p}reject_reason = 'ok', {raw}, '') as {p}raw_url")
 
 
-def standardise(df: DataFrame, columns: list[str], rules: DataFrame) -> DataFrame:
+def standardise(df: DataFrame, columns: list[str], rules: SuffixRules) -> DataFrame:
     """Replace URL columns by their canonical form, '' where invalid."""
-    depth = suffix_depth(rules)
     out = df
     for col in columns:
-        out = canonical(out, col, rules, prefix=f"_{col}_", depth=depth).selectExpr(
+        out = canonical(out, col, rules, prefix=f"_{col}_").selectExpr(
             *[f"_{col}_raw_url as {col}" if c == col else c for c in df.columns])
     return out
 
 
-def domains(df: DataFrame, url: str, rules: DataFrame, out: str = "domain") -> DataFrame:
+def domains(df: DataFrame, url: str, rules: SuffixRules, out: str = "domain") -> DataFrame:
     """Add only the first-level domain of ``url``, the no-domain mark when invalid."""
     fld = "substring_index(_d__name, '.', -(_d__suffix_labels + 1))"
     return canonical(df, url, rules, prefix="_d_").selectExpr(
         *df.columns, f"if(_d_reject_reason = 'ok', {fld}, '{NO_DOMAIN}') as {out}")
 
 
-def enrich(df: DataFrame, url: str, rules: DataFrame, literal: bool = False) -> DataFrame:
+def enrich(df: DataFrame, url: str, rules: SuffixRules, literal: bool = False) -> DataFrame:
     """Add all derived URL columns; they are null for an invalid URL (tolerant creation)."""
     keep = [*df.columns, "raw_url", "reject_reason"]
     step = canonical(df, url, rules).selectExpr(
@@ -113,25 +104,26 @@ def enrich(df: DataFrame, url: str, rules: DataFrame, literal: bool = False) ->
         f"{U.url_tokens('first_level_domain', 'path', 'query_params', literal)} as url_tokens")
 
 
-def url_dimension(df: DataFrame, columns: list[str], rules: DataFrame) -> DataFrame:
-    """One enriched row per distinct URL found in ``columns``.
+def url_dimension(df: DataFrame, columns: list[str], rules: SuffixRules) -> DataFrame:
+    """One enriched row per distinct URL found in ``columns`` ('' for a missing one).
 
     ``vector_tokens`` are the first token positions that enter the URL vector.  A parameter
     made of ``=`` signs only voids the parameter positions there.
     """
-    dim = enrich(df.select(F.explode(F.array(*columns)).alias("url")).distinct(), "url", rules)
+    stacked = df.select(F.explode(F.array(*[F.coalesce(c, F.lit("")) for c in columns])).alias("url"))
+    dim = enrich(stacked.distinct(), "url", rules)
     usable = f"if({U.only_equals('query_params')}, null, query_params)"
     tokens = U.url_tokens("first_level_domain", "path", usable)
     return dim.selectExpr("*", f"slice({tokens}, 1, {URL_TOKENS}) as vector_tokens")
 
 
-def same_url(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+def same_url(df: DataFrame, rules: SuffixRules, url: str = "url") -> DataFrame:
     """One row per URL identity, which is the canonical URL."""
     return canonical(df.select(F.col(url).alias("url")), "url", rules).filter(
         "reject_reason = 'ok'").select("raw_url").distinct()
 
 
-def reject_counts(df: DataFrame, url: str, rules: DataFrame, lenient: bool = False) -> DataFrame:
+def reject_counts(df: DataFrame, url: str, rules: SuffixRules, lenient: bool = False) -> DataFrame:
     return canonical(df, url, rules, lenient=lenient).groupBy("reject_reason").agg(
         F.count(F.lit(1)).alias("n_urls"))
 

@@ -7,11 +7,11 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitweave.operators import domains, embeddings, split, urls
+from visitweave.operators import domains, embeddings, grouped, split, urls
 from visitweave.sources import combined, events as E, models, suffixes, visits as V
 
 
-def embed(events: DataFrame, rules: DataFrame, root: str, seed: int = 0, literal: bool = False) -> dict[str, str]:
+def embed(events: DataFrame, rules: suffixes.SuffixRules, root: str, seed: int = 0, literal: bool = False) -> dict[str, str]:
     """Train and save both embeddings; returns where they are."""
     paths = {"url": f"{root}/word2vec_url_model", "domain": f"{root}/word2vec_domain_model"}
     models.save_embedding(embeddings.fit(embeddings.url_sentences(events, rules, literal), seed=seed), paths["url"])
@@ -21,7 +21,7 @@ def embed(events: DataFrame, rules: DataFrame, root: str, seed: int = 0, literal
     return paths
 
 
-def prepare_events(spark: SparkSession, payloads: DataFrame, rules: DataFrame, root: str, seed: int = 0,
+def prepare_events(spark: SparkSession, payloads: DataFrame, rules: suffixes.SuffixRules, root: str, seed: int = 0,
                    keep: str = "flagged", mode: str = "drop", literal: bool = False) -> DataFrame:
     """Parse, filter, embed and featurise: ``(user_id, events)`` per user under the limit.
 
@@ -34,11 +34,14 @@ def prepare_events(spark: SparkSession, payloads: DataFrame, rules: DataFrame, r
     events = spark.read.parquet(f"{root}/events")
     paths = embed(events, rules, root, seed, literal)
     ids = domains.dictionary(urls.domains(events, "request_url", rules))
+    dim = urls.url_dimension(events, E.URL_COLUMNS, rules).select("url", "domain_or_default", "vector_tokens")
+    dim.write.mode("overwrite").parquet(f"{root}/url_dimension")
     features = embeddings.url_features(
-        urls.url_dimension(events, E.URL_COLUMNS, rules), models.load_vectors(spark, paths["url"]),
+        spark.read.parquet(f"{root}/url_dimension"), models.load_vectors(spark, paths["url"]),
         models.load_vectors(spark, paths["domain"]), ids)
     features.write.mode("overwrite").parquet(f"{root}/url_features")
-    rows = embeddings.event_features(E.limit_users(events), spark.read.parquet(f"{root}/url_features"))
+    hot = grouped.find_hot(events, ["user_id"])
+    rows = embeddings.event_features(E.limit_users(events, hot=hot), spark.read.parquet(f"{root}/url_features"))
     columns = ["ts_ms", "event_id", "timestamp", *E.URL_COLUMNS, "request_vec", "href_vec", "prev_vec"]
     # limit_users has bounded every list already.
     return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("events"))
@@ -49,7 +52,7 @@ def prepare_visits(visits: DataFrame) -> DataFrame:
     return V.user_visit_lists(V.visit_rows(V.first_level_sites(visits)))
 
 
-def prepare(spark: SparkSession, payloads: DataFrame, visits: DataFrame, rules: DataFrame, root: str,
+def prepare(spark: SparkSession, payloads: DataFrame, visits: DataFrame, rules: suffixes.SuffixRules, root: str,
             seed: int = 0, keep: str = "flagged", mode: str = "drop") -> DataFrame:
     """Write the combined records, partitioned by split, and read them back."""
     bags = prepare_events(spark, payloads, rules, root, seed, keep, mode)

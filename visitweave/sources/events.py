@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitweave.config import MAX_USER_EVENTS
-from visitweave.operators import urls
+from visitweave.operators import grouped, urls
+from visitweave.sources.suffixes import SuffixRules
 
 # Tab-separated positions in an event line.
 FIELD = {"timestamp": 0, "referrer_url": 10, "prev_url": 11, "request_url": 12}
@@ -64,7 +65,7 @@ def reject_count(payloads: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"), F.count_if(~good).alias("n_rejected"))
 
 
-def standardised(events: DataFrame, rules: DataFrame) -> DataFrame:
+def standardised(events: DataFrame, rules: SuffixRules) -> DataFrame:
     return urls.standardise(events, URL_COLUMNS, rules)
 
 
@@ -96,17 +97,25 @@ def keep_users(events: DataFrame, keep: str = "flagged") -> DataFrame:
     raise ValueError("keep is 'flagged' or 'clean'")
 
 
-def limit_users(events: DataFrame, below: int = MAX_USER_EVENTS) -> DataFrame:
-    """Users with fewer than ``below`` events (counted map-side first)."""
+def limit_users(events: DataFrame, below: int = MAX_USER_EVENTS,
+                hot: grouped.HotGroups | None = None) -> DataFrame:
+    """Users with fewer than ``below`` events (counted map-side first).
+
+    Users known to be ``hot`` are over the limit, so they leave before anything is shuffled.
+    """
+    if hot is not None and hot.rows and hot.limit >= below:
+        events = grouped.split_hot(events, hot)[0]
     users = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < below)
     return _with_users(events, users)
 
 
-def event_bags(events: DataFrame, columns: list[str] | None = None, below: int = MAX_USER_EVENTS) -> DataFrame:
+def event_bags(events: DataFrame, columns: list[str] | None = None, below: int = MAX_USER_EVENTS,
+               hot: grouped.HotGroups | None = None) -> DataFrame:
     """``(user_id, events)`` in time order for users under the event limit.
 
     The limit is applied before grouping, so an array never exceeds it.
     """
     columns = columns or ["ts_ms", "event_id", "timestamp", *URL_COLUMNS]
-    return limit_users(events, below).groupBy("user_id").agg(
+    hot = hot or grouped.find_hot(events, ["user_id"])
+    return limit_users(events, below, hot).groupBy("user_id").agg(
         F.array_sort(F.collect_list(F.struct(*columns))).alias("events"))

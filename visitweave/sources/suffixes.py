@@ -1,14 +1,19 @@
-"""Public-suffix rules as a DataFrame ``(suffix, kind)``.
+"""Public-suffix rules.
 
-``kind`` is ``exact`` (``co.uk``), ``wildcard`` (``*.ck``, stored as ``ck``) or
-``exception`` (``!www.ck``, stored as ``www.ck``).
+A rule is exact (``co.uk``), a wildcard (``*.ck``, stored as ``ck``) or an exception
+(``!www.ck``, stored as ``www.ck``).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitweave.config import BROADCAST_KEYS
+from visitweave.storage import durable
+
 # A short extract of the public suffix list.  Use ``read_suffixes`` with
 # the full list for production data.
 DEFAULT_RULES = """
@@ -24,22 +29,32 @@ blogspot.com github.io
 """.split()
 
 
-def suffixes(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
-    """Rules in list notation (``com``, ``*.ck``, ``!www.ck``) as a DataFrame."""
-    text = " ".join(DEFAULT_RULES if rules is None else rules)
-    return parse_rules(spark.range(1).select(F.explode(F.split(F.lit(text), " ")).alias("value")))
+class SuffixRules(NamedTuple):
+    """One row per suffix, ``(suffix, exact, exception, wildcard)``, and the most labels in one."""
 
+    frame: DataFrame
+    depth: int
 
-def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from a file in the public suffix list's own text format."""
-    return parse_rules(spark.read.text(path))
 
+def suffixes(spark: SparkSession, rules: list[str] | None = None) -> SuffixRules:
+    """Rules in list notation (``com``, ``*.ck``, ``!www.ck``)."""
+    rules = DEFAULT_RULES if rules is None else rules
+    names = {r.removeprefix("*.").removeprefix("!") for r in rules}
+    text = " ".join(sorted(names))
+    listed = {k: " ".join(n for n in sorted(names) if mark + n in rules)
+              for k, mark in (("exact", ""), ("exception", "!"), ("wildcard", "*."))}
+    frame = spark.range(1).select(F.explode(F.split(F.lit(text), " ")).alias("suffix")).select(
+        "suffix", *[F.array_contains(F.split(F.lit(t), " "), F.col("suffix")).alias(k) for k, t in listed.items()])
+    return SuffixRules(frame, max(n.count(".") + 1 for n in names))
 
-def parse_rules(lines: DataFrame) -> DataFrame:
-    rule = F.regexp_extract("value", r"^\s*(\S+)", 1)
-    return (lines.select(F.lower(rule).alias("rule"))
-            .filter("rule <> '' and not startswith(rule, '//')")
-            .select(F.regexp_replace("rule", r"^(\*\.|!)", "").alias("suffix"),
-                    F.when(F.col("rule").startswith("*."), "wildcard")
-                    .when(F.col("rule").startswith("!"), "exception")
-                    .otherwise("exact").alias("kind")))
+
+def read_suffixes(spark: SparkSession, path: str) -> SuffixRules:
+    """Rules from a file in the public suffix list's own text format."""
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1))
+    lines = spark.read.text(path).select(rule.alias("rule")).filter("rule <> '' and not startswith(rule, '//')")
+    frame = durable(lines.groupBy(F.regexp_replace("rule", r"^(\*\.|!)", "").alias("suffix")).agg(
+        F.bool_or(~F.col("rule").rlike(r"^(\*\.|!)")).alias("exact"),
+        F.bool_or(F.col("rule").startswith("!")).alias("exception"),
+        F.bool_or(F.col("rule").startswith("*.")).alias("wildcard")))
+    size, depth = frame.agg(F.count(F.lit(1)), F.max(F.size(F.split("suffix", r"\.")))).first()
+    return SuffixRules(F.broadcast(frame) if size <= BROADCAST_KEYS else frame, depth or 1)
