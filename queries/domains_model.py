@@ -274,9 +274,15 @@ def _md5_vectors(tokens, min_count):
     return kept.select("token", F.array(*[(pair(i) / 256).cast("float") for i in range(DIM)]).alias("vector"))
 
 
-def _page_lookup(spark, sf):
-    """URL dimension of the page table, its token and domain vectors, and domain ids."""
-    dim = durable(urls.url_dimension(X.table(spark, sf, "pages"), ["url"], X.rules(spark)).select(
+def _page_lookup(spark, sf, with_missing=False):
+    """URL dimension of the page table, its token and domain vectors, and domain ids.
+
+    ``with_missing`` adds the empty URL, which events without a referrer have.
+    """
+    pages = X.table(spark, sf, "pages").select("url")
+    if with_missing:
+        pages = pages.union(spark.range(1).select(F.lit("")))
+    dim = durable(urls.url_dimension(pages, ["url"], X.rules(spark)).select(
         "url", "domain_or_default", "vector_tokens"))
     tokens = _md5_vectors(dim.select(F.explode("vector_tokens").alias("token")), 5)
     names = dim.select(F.col("domain_or_default").alias("domain"))
@@ -318,9 +324,8 @@ _HREF = f"coalesce(h.domain_id, (select domain_id from ids where dom='{NO_DOMAIN
 
 
 def _event_features(spark, ev, sf):
-    dim, tokens, doms, ids = _page_lookup(spark, sf)
-    missing = urls.url_dimension(spark.range(1).select(F.lit("").alias("url")), ["url"], X.rules(spark)).select(*dim.columns)
-    return embeddings.event_features(ev, embeddings.url_features(dim.unionByName(missing), tokens, doms, ids, DIM))
+    dim, tokens, doms, ids = _page_lookup(spark, sf, with_missing=True)
+    return embeddings.event_features(ev, embeddings.url_features(dim, tokens, doms, ids, DIM))
 
 
 @query("p13_event_features", _EVENT_FEAT + f"""

@@ -81,17 +81,23 @@ def url_features(dim: DataFrame, url_vectors: DataFrame, domain_vectors: DataFra
 
 
 def event_features(events: DataFrame, features: DataFrame) -> DataFrame:
-    """Add ``request_vec, href_vec, prev_vec``.
+    """Add ``request_vec, href_vec, prev_vec``; ``(user_id, event_id)`` must be unique.
 
     The three URLs of an event are looked up in one join and put back together, rather than
-    moving ever wider events through three.
+    moving ever wider events through three.  The other columns travel with the request URL.
     """
-    found = url_rows(events).withColumn("url", F.coalesce("url", F.lit(""))).join(features, "url").groupBy("user_id", "event_id").agg(
-        F.collect_list(F.struct("url_kind", "features")).alias("_f"))
-    pick = lambda kind: F.filter("_f", lambda x: x["url_kind"] == kind)[0]["features"]
-    vecs = found.select("user_id", "event_id", *[
-        pick(c).alias(n) for c, n in zip(URL_COLUMNS, ["request_vec", "href_vec", "prev_vec"])])
-    return events.join(vecs, ["user_id", "event_id"])
+    keys = ["user_id", "event_id"]
+    rest = F.struct(*[c for c in events.columns if c not in keys])
+    rows = events.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.coalesce(kind, F.lit("")).alias("url"),
+                 F.when(F.lit(kind == "request_url"), rest).alias("rest")) for kind in URL_COLUMNS])))
+    # Three entries per event.
+    found = rows.join(features, "url", "left").groupBy(*keys).agg(
+        F.collect_list(F.struct("kind", "features", "rest")).alias("_f"))
+    pick = lambda kind: F.filter("_f", lambda x: x["kind"] == kind)[0]
+    names = ["request_vec", "href_vec", "prev_vec"]
+    return found.select(*keys, pick("request_url")["rest"].alias("_rest"), *[
+        pick(c)["features"].alias(n) for c, n in zip(URL_COLUMNS, names)]).select(*keys, "_rest.*", *names)
 
 
 def model_rows(events: DataFrame) -> DataFrame:
