@@ -36,9 +36,11 @@ def rules(spark: SparkSession) -> suffixes.SuffixRules:
 
 
 def _base(spark, sf):
-    us = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+    # Taken apart by fields, the same in every session time zone.
+    ms = ("unix_date(cast(ts as date)) * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L"
+          " + cast(floor(extract(second from ts) * 1000) as bigint)")
     return table(spark, sf, "events").selectExpr(
-        "event_id", "event_type", "user_id as _user", f"{us} div 1000 as ts_ms").selectExpr(
+        "event_id", "event_type", "user_id as _user", f"{ms} as ts_ms").selectExpr(
         "*", f"concat(_user, '-', ts_ms div {WEEK_MS}) as user_id")
 
 

@@ -203,3 +203,29 @@ def test_other_modes_train(spark, history, mode):
     samples = classifier.window_summary(sequences.learning_set(mode)(ev, V.visit_rows(vs))).cache()
     scored = classifier.score(samples, classifier.fit(samples, mode, iterations=2))
     assert scored.filter(F.size("scores") != 8).count() == 0 and classifier.losses(scored).first().loss > 0
+
+
+def _double_first():
+    return lambda x: np.stack([x[:, 0], 2 * x[:, 0], np.zeros(len(x))], axis=1)
+
+
+def test_external_model(spark):
+    df = spark.createDataFrame([([0.5, 1.0],), ([0.0, 3.0],)], "inputs array<double>")
+    got = {tuple(r.scores): r.predicted for r in classifier.score_external(df, _double_first).collect()}
+    assert got == {(0.5, 1.0, 0.0): 1, (0.0, 0.0, 0.0): 0}
+
+
+def test_page_links_cover_the_table(spark, sf):
+    from visitweave.operators import links
+    pages = X.table(spark, sf, "pages")
+    edges = links.link_edges(pages, X.rules(spark))
+    assert edges.count() == links.page_links(pages).count() > 0 and edges.filter("link_url is null").count() == 0
+
+
+def test_other_time_zone(spark, sf):
+    before = X.page_views(spark, sf).agg(F.sum("ts_ms")).first()[0]
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        assert X.page_views(spark, sf).agg(F.sum("ts_ms")).first()[0] == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

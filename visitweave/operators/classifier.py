@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.classification import (MultilayerPerceptronClassificationModel,
                                        MultilayerPerceptronClassifier)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitweave.config import MAX_VISITS
 from visitweave.functions.arrays import arg_max
@@ -57,6 +58,18 @@ def score(samples: DataFrame, model) -> DataFrame:
     return out.select(*samples.columns, "scores", arg_max(F.col("scores")).alias("predicted"))
 
 
+def score_external(samples: DataFrame, make_predict, batch_size: int = 1024) -> DataFrame:
+    """Score with a model from elsewhere, loaded once per Python worker.
+
+    ``make_predict()`` gives a function from a batch of ``inputs`` to one score row each.
+    """
+    width = samples.select(F.size("inputs")).first()[0]
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+                                input_tensor_shapes=[[width]])
+    scored = samples.withColumn("scores", predict("inputs"))
+    return scored.withColumn("predicted", arg_max(F.col("scores")))
+
+
 def losses(scored: DataFrame) -> DataFrame:
     """``(loss, accuracy)``: mean cross-entropy and share of hits."""
     p = F.greatest(F.element_at("scores", F.col("label").cast("int") + 1), F.lit(1e-15))

@@ -6,6 +6,8 @@ at export, since 32 dense rows per event would repeat every event 32 times.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ def non_empty(samples: DataFrame) -> DataFrame:
     return samples.filter(F.size("sequence") > 0)
 
 
-def _labelled(events, ranked, match, hot):
-    marked = labels.label_events(events, ranked, match, matched_only=False)
+def _labelled(events, ranked, match, hot, carry=()):
+    marked = labels.label_events(events, ranked, match, matched_only=False, carry=carry)
     return since_start(marked, hot).filter("visit_rank > 0")
 
 
@@ -81,14 +83,13 @@ def multi_transfer(events: DataFrame, visit_rows: DataFrame, max_t: int = MAX_T,
     """
     hot = hot or grouped.find_hot(events, ["user_id"])
     ranked = V.first_visits(visit_rows)
-    kept = _labelled(events, ranked, match, hot)
+    # The referrer is joined to the few visits of a user and reaches the events with the rank.
+    sent = transfers.referrals(ranked, hot).select("user_id", "visit_rank", "referrer_rank")
+    kept = _labelled(events, ranked.join(sent, ["user_id", "visit_rank"]), match, hot, ("referrer_rank",))
     out = event_windows(kept, max_t, F.col("visit_rank"), hot=hot)
-    sent = transfers.referrals(ranked, hot).select("user_id", F.col("visit_rank").cast("int").alias("visit_rank"),
-                                              "referrer_rank")
     label = F.col("referrer_rank")
-    return out.join(sent, ["user_id", "visit_rank"]).select(
-        "user_id", "event_id", "ts_ms", "rel_time", "sequence", label.alias("label"),
-        one_hot(label, MAX_VISITS).alias("one_hot"))
+    return out.select("user_id", "event_id", "ts_ms", "rel_time", "sequence", label.alias("label"),
+                      one_hot(label, MAX_VISITS).alias("one_hot"))
 
 
 def single_visit(events: DataFrame, visit_rows: DataFrame, max_t: int = VISIT_MAX_T, match: str = "ms",
@@ -101,15 +102,23 @@ def single_visit(events: DataFrame, visit_rows: DataFrame, max_t: int = VISIT_MA
     """
     hot = hot or grouped.find_hot(events, ["user_id"])
     ranked = V.first_visits(visit_rows)
-    kept = labels.label_events(events, ranked, match)
-    own = grouped.trailing(kept, ["user_id", "visit_rank"], ORDER, max_t - 1, F.col("event_id"), "_own", hot)
+    # At most eight entries per user, in rank order.
     menu = (transfers.referrals(ranked, hot).groupBy("user_id")
-            .agg(F.array_sort(F.collect_list(F.struct("visit_rank", "referrer_rank"))).alias("_menu")))
-    pairs = own.join(menu, "user_id").select(
-        "user_id", "event_id", "ts_ms", F.col("visit_rank").alias("event_visit"), "_own",
-        F.element_at("_menu", F.col("visit_rank"))["referrer_rank"].alias("_sender"),
-        F.explode(F.col("_menu.visit_rank")).alias("_rank"))
-    pairs = pairs.withColumn("visit_rank", F.col("_rank").cast("int")).drop("_rank")
+            .agg(F.array_sort(F.collect_list(F.struct("visit_rank", "referrer_rank")))["referrer_rank"].alias("_menu")))
+    kept = labels.label_events(events, ranked.join(menu, "user_id"), match, carry=("_menu",))
+    cold, large = grouped.split_hot(kept, hot)
+    # Ordinary users are moved once, by user; all windows below are within a user.
+    parts = [_visit_pairs(cold.repartition("user_id"), max_t, hot._replace(frame=None, groups=0, rows=0))]
+    if large is not None:
+        parts.append(_visit_pairs(large, max_t, hot))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _visit_pairs(kept, max_t, hot):
+    own = grouped.trailing(kept, ["user_id", "visit_rank"], ORDER, max_t - 1, F.col("event_id"), "_own", hot)
+    pairs = own.select("user_id", "event_id", "ts_ms", F.col("visit_rank").alias("event_visit"), "_own",
+                       F.element_at("_menu", F.col("visit_rank")).alias("_sender"),
+                       F.explode(F.sequence(F.lit(1), F.size("_menu"))).alias("visit_rank"))
     mine = F.col("event_visit") == F.col("visit_rank")
     seen = grouped.running(
         pairs, ["user_id", "visit_rank"], ORDER,
