@@ -216,30 +216,36 @@ def g4(spark, sf):
 SIZE = 20
 
 
-def _head(df, col="vector"):
-    return df.withColumn("n", F.size(col)).withColumn(col, F.round(F.element_at(col, 1).cast("double"), 4))
+def _vocabulary(vectors):
+    return vectors.select("token", F.size("vector").alias("n"))
 
 
-@query("m1_m3_url_embedding")
+@query("m1_m3_url_embedding", X.sql(url_columns._PARTS.replace("\nwith ", "\n, ", 1) + f"""
+, x as (select request_url url from ev union all select referrer_url from ev union all select prev_url from ev),
+t as (select unnest(p.tokens) token from x join (select distinct url, tokens from w) p using (url))
+select token, {SIZE} n from t group by token having count(*) >= 5"""))
 def m1(spark, sf):
     sentences = embeddings.url_sentences(X.events(spark, sf), X.rules(spark))
-    return _head(embeddings.vector_table(embeddings.fit(sentences, seed=1, size=SIZE)))
+    return _vocabulary(embeddings.vector_table(embeddings.fit(sentences, seed=1, size=SIZE)))
 
 
-@query("m2_m3_domain_embedding")
+@query("m2_m3_domain_embedding", X.sql(_DOM + f"""
+, good as (select dom from d group by 1 having count(*) >= 5),
+t as (select case when dom in (select dom from good) then dom else '{NO_DOMAIN}' end token from d)
+select token, {SIZE} n from t group by token having count(*) >= 5"""))
 def m2(spark, sf):
     chains = domains.chains(domains.replace_rare(durable(_with_domain(spark, sf))), hot=X.hot_users(spark, sf))
-    return _head(embeddings.vector_table(embeddings.fit(chains, "chain", seed=1, size=SIZE)))
+    return _vocabulary(embeddings.vector_table(embeddings.fit(chains, "chain", seed=1, size=SIZE)))
 
 
-@query("s5_s6_embedding_write_read")
+@query("s5_s6_embedding_write_read", X.sql(_DOM + f"""
+select dom token, {SIZE} n from d group by dom having count(*) >= 5"""))
 def s5(spark, sf):
     path = fresh_path(spark, "embedding")
     chains = domains.chains(_with_domain(spark, sf))
     models.save_embedding(embeddings.fit(chains, "chain", seed=1, size=SIZE), path)
     back = embeddings.vector_table(models.load_embedding(path))
-    return models.load_vectors(spark, path).join(back.select("token"), "token").select(
-        "token", F.size("vector").alias("n"))
+    return _vocabulary(models.load_vectors(spark, path).join(back.select("token"), "token"))
 
 
 # The lookups below take vectors made from a token's md5, four numbers each, for tokens
@@ -371,18 +377,24 @@ def _trained(spark, sf, mode, iterations=5):
     return samples, classifier.fit(samples.filter("split = 'train'"), mode, 1, iterations)
 
 
-@query("m4_m6_score_windows")
+@query("m4_m6_score_windows", X.sql(f"""
+select user_id, event_id, visit_rank-1 "label", true is_class, 8 n_scores, 1.0::double total from lab where {_SPLIT} = 0"""))
 def m4(spark, sf):
     samples, model = _trained(spark, sf, "multi-visit")
+    total = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 6)
     return classifier.score(samples.filter("split = 'test'"), model).select(
-        "user_id", "event_id", "label", "predicted", F.size("scores").alias("n_scores"))
+        "user_id", "event_id", "label", F.col("predicted").between(0, 7).alias("is_class"),
+        F.size("scores").alias("n_scores"), total.alias("total"))
 
 
-@query("m7_evaluate_model")
+@query("m7_evaluate_model", X.sql(f"""
+, c as (select referrer_rank a, count(*) n from lab join refs using (user_id, visit_rank) where {_SPLIT} = 0 group by 1)
+select a actual, 8 n_cells, coalesce(n,0) n_samples from (select unnest(range(8)) a) left join c using (a)"""))
 def m7(spark, sf):
     samples, model = _trained(spark, sf, "multi-transfer")
     scored = classifier.score(samples.filter("split = 'test'"), model)
-    return evaluate.confusion(scored.select("predicted", F.col("label").alias("actual")))
+    cells = evaluate.confusion(scored.select("predicted", F.col("label").alias("actual")))
+    return cells.groupBy("actual").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_samples"))
 
 
 @query("m5_s8_train_and_log")

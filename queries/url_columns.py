@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from queries import fixture as X
 from queries.catalog import query
+from visitweave.functions.urls import unescape_if_needed
 from visitweave.operators import links, urls
 
 # The page URLs hold no HTML entity, so the twin leaves unescaping out.
@@ -104,15 +105,16 @@ def u24_literal(spark, sf):
     return dim.select("page_id", _join("url_tokens").alias("value"))
 
 
-@query("u02_double_html_unescape")
+# The page texts hold four kinds of entity references; the twin replaces those.
+@query("u02_double_html_unescape", """
+select page_id, md5('x.com/?t='||replace(replace(replace(replace(html,'&copy;','©'),'&middot;','·'),'&quot;','"'),
+       '&amp;','&')) "value" from pages""")
 def u02(spark, sf):
-    # Page titles carry entities, once escaped and here once more.
-    from visitweave.functions.urls import unescape_if_needed
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    twice = X.table(spark, sf, "pages").select("page_id", F.concat(
-        F.lit("x.com/?t="), F.replace(title, F.lit("&"), F.lit("&amp;"))).alias("t"))
-    once = twice.selectExpr("page_id", f"{unescape_if_needed('t')} as t")
-    return once.selectExpr("page_id", f"{unescape_if_needed('t')} as value")
+    """Whole page texts as a parameter, escaped once more and unescaped twice."""
+    text = F.concat(F.lit("x.com/?t="), F.replace("html", F.lit("&"), F.lit("&amp;")))
+    once = X.table(spark, sf, "pages").select("page_id", text.alias("t")).selectExpr(
+        "page_id", f"{unescape_if_needed('t')} as t")
+    return once.selectExpr("page_id", f"md5({unescape_if_needed('t')}) as value")
 
 
 @query("u26_percent_encode_decode", r"""

@@ -55,14 +55,14 @@ def referral_votes(predictions: DataFrame, classes: int = MAX_VISITS) -> DataFra
         F.array_max("votes") > 0, arg_max(F.col("votes")) + 1).otherwise(0).alias("referral"))
 
 
-def visit_votes(predictions: DataFrame) -> DataFrame:
+def visit_votes(predictions: DataFrame, visits: int = MAX_VISITS) -> DataFrame:
     """Visit of an event: the one with most ``belongs`` (class 0) predictions.
 
     The lowest rank wins a tie; 0 without any.  ``predictions`` needs ``user_id, event_id,
-    visit_rank, predicted``.
+    visit_rank`` (up to ``visits``) and ``predicted``.
     """
-    per_visit = predictions.groupBy("user_id", "event_id", "visit_rank").agg(
-        F.count_if(F.col("predicted") == 0).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("neg"), "visit_rank"))
-    return per_visit.groupBy("user_id", "event_id").agg(best.alias("best")).select(
-        "user_id", "event_id", F.when(F.col("best.neg") < 0, F.col("best.visit_rank")).otherwise(0).alias("voted_visit"))
+    said = F.col("predicted") == 0
+    votes = predictions.groupBy("user_id", "event_id").agg(
+        F.array(*[F.count_if(said & (F.col("visit_rank") == v)) for v in range(1, visits + 1)]).alias("votes"))
+    return votes.select("user_id", "event_id", F.when(
+        F.array_max("votes") > 0, arg_max(F.col("votes")) + 1).otherwise(0).alias("voted_visit"))

@@ -13,12 +13,14 @@ def hit_times(ranked: DataFrame, match: str = "ms", carry: tuple[str, ...] = ())
 
     ``carry`` names further visit columns to bring along.
     """
-    hits = V.hits(ranked, "visit_rank", *carry)
+    hits = V.hits(ranked, "visit_rank", *carry, pages=match == "ts_url")
     keys = {"ms": ["ts_ms"], "exact": ["timestamp"], "ts_url": ["ts_ms", "page"]}[match]
     if match == "exact":
         hits = hits.withColumn("timestamp", F.col("ts_ms") / F.lit(1000.0))
-    return hits.groupBy("user_id", *keys).agg(F.max(F.struct("visit_rank", *carry)).alias("_visit")).select(
-        "user_id", *keys, "_visit.*")
+    if not carry:
+        return hits.groupBy("user_id", *keys).agg(F.max("visit_rank").alias("visit_rank"))
+    best = F.max(F.struct("visit_rank", *carry))
+    return hits.groupBy("user_id", *keys).agg(best.alias("_visit")).select("user_id", *keys, "_visit.*")
 
 
 def label_events(events: DataFrame, ranked: DataFrame, match: str = "ms", matched_only: bool = True,

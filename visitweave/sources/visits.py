@@ -68,10 +68,13 @@ def with_sender(rows: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("sending_page", F.lit("")) != "")
 
 
-def hits(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row per timestamp of a visit, ``page`` null where the page list is shorter."""
-    return rows.select("user_id", *keep, F.posexplode("timestamps").alias("pos", "ts_ms"), "pages").select(
-        "user_id", *keep, "pos", "ts_ms", F.try_element_at("pages", F.col("pos") + 1).alias("page"))
+def hits(rows: DataFrame, *keep: str, pages: bool = False) -> DataFrame:
+    """One row per timestamp of a visit; with ``pages`` also its page, null past the page list."""
+    if not pages:
+        return rows.select("user_id", *keep, F.posexplode("timestamps").alias("pos", "ts_ms"))
+    both = rows.select("user_id", *keep, F.posexplode(F.arrays_zip("timestamps", "pages")).alias("pos", "hit"))
+    return both.select("user_id", *keep, "pos", F.col("hit.timestamps").alias("ts_ms"),
+                       F.col("hit.pages").alias("page")).filter("ts_ms is not null")
 
 
 def user_visit_lists(rows: DataFrame, size: int = LIST_ROWS, hot=None) -> DataFrame:

@@ -14,16 +14,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may go without the setting; it then gets a scratch folder.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc.getCheckpointDir()
-    if current is None:
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            named = tempfile.mkdtemp(prefix="visitweave-")
+    named = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+             or sc.getCheckpointDir())
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        named = tempfile.mkdtemp(prefix="visitweave-")
         sc.setCheckpointDir(named)
-        current = sc.getCheckpointDir()
-    return named or current
+    return named
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -32,6 +30,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Unlike a cached or recomputed plan it survives lost executors unchanged, and Spark
+    knows its size.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
