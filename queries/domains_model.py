@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from queries import fixture as X, url_columns
 from queries.catalog import query
-from queries.labelling import _SPLIT, _joined
+from queries.labelling import _SPLIT
 from visitweave.config import NO_DOMAIN
 from visitweave.operators import classifier, domains, embeddings, evaluate, labels, sequences, split, stats, urls
 from visitweave.sources import models, visits as V

@@ -5,7 +5,7 @@ Source layout: ``user, site, timestamps array<long> (ms), sendingpage, landingpa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitweave.config import LIST_ROWS, MAX_VISITS
@@ -57,7 +57,6 @@ def first_visits(rows: DataFrame, n: int = MAX_VISITS) -> DataFrame:
     Written as a plain rank filter: Spark keeps only the best ``n`` rows of a user per input
     task before the shuffle, so a user of any size stays small here.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy("user_id").orderBy(*RANK_ORDER)
     return rows.withColumn("visit_rank", F.row_number().over(w)).filter(
         F.col("visit_rank") <= n).withColumn("visit_rank", F.col("visit_rank").cast("long"))
