@@ -1,0 +1,16 @@
+"""Queries of this subpackage and their SQL twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)``; ``sql`` is its twin, if there is one."""
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return add
