@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitweave.llm import quality_rules, weak_labels  # noqa: F401  (operators register their queries)
+from visitweave.llm import packing, quality_rules, weak_labels  # noqa: F401  (they register their queries)
 from visitweave.llm.registry import ORACLES, QUERIES
 
 ALL_QUERIES, ALL_ORACLES = dict(QUERIES), dict(ORACLES)
