@@ -1,8 +1,51 @@
-"""Corpus preparation: the training-data operators and the pipeline made of them."""
+"""Corpus preparation: quality rules, quality classifier, near duplicates, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept.
+"""
 
 from __future__ import annotations
 
-from visitweave.llm import packing, quality_rules, weak_labels  # noqa: F401  (they register their queries)
+from pyspark.sql import DataFrame, SparkSession
+
+from visitweave.llm import near_dedup, packing, quality_rules, weak_labels
+from visitweave.llm.common import durable, table
 from visitweave.llm.registry import ORACLES, QUERIES
 
-ALL_QUERIES, ALL_ORACLES = dict(QUERIES), dict(ORACLES)
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality_rules.keep(docs)
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised classifier takes for good."""
+    return weak_labels.keep(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.keep(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in training sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality rules", quality_stage), ("quality classifier", classifier_stage),
+          ("near duplicates", dedup_stage), ("packing", packing_stage)]
+
+#: The classifier is fitted by iteration and packing is a greedy walk: SQL can't express them.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is stored as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+    return docs
+
+
+ALL_QUERIES = {**QUERIES, "pipeline": run}
+ALL_ORACLES = {**ORACLES, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
