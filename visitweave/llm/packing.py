@@ -36,23 +36,26 @@ def fill(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     Examples must fit an empty sequence.
     """
-    share = demands / limits
-    order = np.lexsort((*share.T[::-1], share.sum(1)))[::-1]   # large first, so that ties take the first
-    share, n = share[order], len(share)
-    sequence, turn = np.empty(n, np.int64), np.empty(n, np.int64)
-    left = np.arange(n)
+    kinds, kind = np.unique(demands, axis=0, return_inverse=True)   # equal demands are interchangeable
+    share = kinds / limits
+    order = np.lexsort((*share.T[::-1], share.sum(1)))[::-1]        # large first, so that ties take the first
+    share, kind = share[order], np.argsort(order)[kind.ravel()]
+    waiting = np.split(np.argsort(kind, kind="stable"), np.cumsum(np.bincount(kind, minlength=len(share)))[:-1])
+    waiting = [list(x[::-1]) for x in waiting]
+    sequence, turn = np.empty(len(demands), np.int64), np.empty(len(demands), np.int64)
+    left = np.arange(len(share))
     number = 0
     while len(left):
-        room, place = np.ones(share.shape[1]), 0
-        fits = left
+        room, place, fits = np.ones(share.shape[1]), 0, left
         while len(fits):
             best = fits[np.argmax(share[fits] @ room)]
-            sequence[order[best]], turn[order[best]] = number, place
-            room = room - share[best]
-            place += 1
-            fits = fits[fits != best]
+            item = waiting[best].pop()
+            sequence[item], turn[item] = number, place
+            room, place = room - share[best], place + 1
+            if not waiting[best]:
+                left = left[left != best]
+                fits = fits[fits != best]
             fits = fits[(share[fits] <= room + 1e-9).all(1)]
-            left = left[left != best]
         number += 1
     return sequence, turn
 
