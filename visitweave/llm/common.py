@@ -60,3 +60,22 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, sprea
     own = Window.partitionBy(*keys).orderBy(*order)
     return (dealt.withColumn("_place", F.row_number().over(own) - 1).join(starts, keys)
             .withColumn(name, F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start"))
+
+
+def range_numbers(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """Add ``_range``, 0 to ``parts - 1`` at most: rows with smaller values get smaller numbers.
+
+    Bounds are approximate quantiles and explicit, so every job that uses the result deals rows
+    alike; equal values share a range, and nulls come after all others.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    if parts > 1:
+        at = [i / parts for i in range(1, parts)]
+        bounds = sorted(set(df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", at, 0.1 / parts)))
+        if bounds:
+            splits = [float("-inf"), *bounds, float("inf")]
+            ranged = Bucketizer(splits=splits, inputCol="_value", outputCol="_range", handleInvalid="keep")
+            return (ranged.transform(df.withColumn("_value", F.col(column).cast("double")))
+                    .withColumn("_range", F.coalesce(F.col("_range").cast("int"), F.lit(len(splits) - 1))).drop("_value"))
+    return df.withColumn("_range", F.col(column).isNull().cast("int"))

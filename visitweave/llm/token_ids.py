@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks whose ids a worker remembers.
-KNOWN_CHUNKS = 600_000
+KNOWN_CHUNKS = 1_500_000
 #: New chunks encoded as one text.
 JOINED = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
