@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitweave.llm import near_dedup, packing, planes, quality_rules, warc, weak_labels  # noqa: F401  (they register their queries)
+from visitweave.llm import near_dedup, packing, planes, quality_rules, speculative_bpe, warc, weak_labels  # noqa: F401  (they register their queries)
 from visitweave.llm.common import durable, table
 from visitweave.llm.registry import ORACLES, QUERIES
 
