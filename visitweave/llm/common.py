@@ -58,8 +58,8 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, sprea
     starts = (dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
               .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
     own = Window.partitionBy(*keys).orderBy(*order)
-    return (dealt.withColumn("_place", F.row_number().over(own) - 1).join(starts, keys)
-            .withColumn(name, F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start"))
+    return (dealt.withColumn("_own", F.row_number().over(own) - 1).join(starts, keys)
+            .withColumn(name, F.col("_start") + F.col("_own")).drop("_bucket", "_own", "_start"))
 
 
 def range_numbers(df: DataFrame, column: str, parts: int) -> DataFrame:
