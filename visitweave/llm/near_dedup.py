@@ -7,8 +7,9 @@ samples differ, which estimates high similarities well, so that most false candi
 before full sets are compared.  Every link is confirmed on full sets.
 
 Copies with equal sets stand as one.  Within a band's bucket each member is first compared with
-one hub; only members that are then still in another component than their bucket are compared
-with the other members.  So a large group of near copies never gives all its pairs.
+one hub; only members that are then still in another component than their bucket, and that have
+enough shingles in common with others at all, are compared with the other members.  So a large
+group of near copies never gives all its pairs.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; one or two
 words are one shingle; rows that share a doc_id are one document; an empty table gives an empty
@@ -29,13 +30,13 @@ from visitweave.llm.common import durable, small_batches, table
 from visitweave.llm.components import components
 from visitweave.llm.registry import query
 
-SAMPLES, ROWS = 256, 8            # 32 bands: a pair at 0.85 is missed once in 26,000
-BANDS = SAMPLES // ROWS
-SKETCH_BITS = 512
+SAMPLES = 512                     # all go into the odd sketch
+BANDS, ROWS = 32, 8               # of the first 256 samples: a pair at 0.85 is missed once in 26,000
+SKETCH_BITS = 1024
 #: Links have at least this similarity, in hundredths.
 LINK = 85
-#: Candidates whose estimate is lower by more than this are not compared (five standard errors).
-MARGIN = 0.12
+#: Candidates whose estimate is lower by more than this are not compared (over four standard errors).
+MARGIN = 0.075
 KNOWN_WORDS = 500_000
 
 _draw = np.random.default_rng(20240501)
@@ -81,7 +82,8 @@ def samples(found: np.ndarray) -> np.ndarray:
 
 def bands(least: np.ndarray) -> np.ndarray:
     """A bucket number per band."""
-    whole = mix((least.astype(np.uint64) + np.uint64(1)) * _SLOTS).reshape(BANDS, ROWS)
+    n = BANDS * ROWS
+    whole = mix((least[:n].astype(np.uint64) + np.uint64(1)) * _SLOTS[:n]).reshape(BANDS, ROWS)
     return mix(np.bitwise_xor.reduce(whole, axis=1)).view(np.int64)
 
 
@@ -158,8 +160,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     return both.filter(100 * common >= link * (F.size("a_items") + F.size("b_items") - common)).select("a", "b")
 
 
-def _named(nodes: DataFrame, x: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
+def _sided(x: str, *columns: str) -> list[Column]:
+    return [F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns]]
+
+
+def _with_most(open_: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """Add ``most``, how many shingles of a document another of ``open_`` can have, and leave out hopeless rows.
+
+    A shingle that no other of these documents has can't be common to two of them.  Whoever has
+    too few others for a link with the smallest set that could match goes.
+    """
+    items = sets.join(open_.select("node").distinct(), "node").select("node", F.explode("items").alias("item"))
+    alone = (items.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.max("node").alias("node"))
+             .filter("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
+    known = open_.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return known.filter(100 * F.col("most") >= link * F.col("n"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, link: int = LINK) -> tuple[DataFrame, DataFrame | None]:
@@ -169,7 +184,7 @@ def links(docs: DataFrame, nodes: DataFrame, link: int = LINK) -> tuple[DataFram
     members = durable(spread.join(shared, "bucket"))
     # Who shares most buckets with most others is the likeliest to be linked with them.
     reach = durable(members.groupBy("node").agg(F.sum("size").alias("reach"))
-                    .join(nodes.select("node", "key", "n", "odd"), "node"))
+                    .join(nodes.select("node", "key", "n", "odd", "bands"), "node"))
     sets = durable(full_sets(docs, reach))
     placed = members.join(reach.select("node", "reach"), "node")
     top = F.max(F.struct("reach", (-F.col("node")).alias("minus")))
@@ -178,7 +193,8 @@ def links(docs: DataFrame, nodes: DataFrame, link: int = LINK) -> tuple[DataFram
     tried = (placed.join(hubs, "bucket").filter(F.col("node") != F.col("hub"))
              .groupBy("node").agg(F.max(F.struct("hub_reach", (-F.col("hub")).alias("minus"))).alias("best"))
              .select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b")))
-    sifted = (tried.join(_named(reach, "a"), "a").join(_named(reach, "b"), "b").filter(_close("a", "b", link)))
+    sifted = (tried.join(reach.select(*_sided("a", "n", "odd")), "a")
+              .join(reach.select(*_sided("b", "n", "odd")), "b").filter(_close("a", "b", link)))
     first = durable(confirmed(sifted, sets, link))
     found = components(first)
     # Buckets whose members are not all in one component by now.
@@ -188,13 +204,16 @@ def links(docs: DataFrame, nodes: DataFrame, link: int = LINK) -> tuple[DataFram
                                         F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("main"))
     open_ = durable(known.join(mixed.filter("low < high").select("bucket", "main"), "bucket")
                     .select("bucket", "node", "component", (F.col("component") == F.col("main")).alias("in_main"))
-                    .join(reach.select("node", "n", "odd"), "node"))
-    left = open_.filter("not in_main").select("bucket", F.col("node").alias("a"), F.col("component").alias("a_c"),
-                                              F.col("n").alias("a_n"), F.col("odd").alias("a_odd"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("b_c"), "in_main",
-                         F.col("n").alias("b_n"), F.col("odd").alias("b_odd"))
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_c") != F.col("b_c"))
-                     & (F.col("in_main") | (F.col("a") < F.col("b"))) & _close("a", "b", link)).select("a", "b").distinct()
+                    .join(reach.select("node", "n", "odd", "bands"), "node"))
+    open_ = durable(_with_most(open_, sets, link))
+    left = open_.filter("not in_main").select("bucket", *_sided("a", "component", "n", "odd", "most", "bands"))
+    right = open_.select("bucket", "in_main", *_sided("b", "component", "n", "odd", "most", "bands"))
+    enough = (100 + link) * F.least("a_most", "b_most") >= link * (F.col("a_n") + F.col("b_n"))
+    # Of the buckets that a pair shares, the first one gives it.
+    once = F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0)) == left["bucket"]
+    rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_component") != F.col("b_component"))
+                     & (F.col("in_main") | (F.col("a") < F.col("b"))) & enough & _close("a", "b", link) & once
+                     ).select("a", "b").distinct()
     second = durable(confirmed(rest, sets, link))
     if second.isEmpty():
         return first, found
