@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitweave.llm import near_dedup, packing, planes, quality_rules  # noqa: F401  (they register their queries)
-from visitweave.llm import sharding, speculative_bpe, warc, weak_labels  # noqa: F401
+from visitweave.llm import (  # noqa: F401  (the modules register their queries)
+    language_id, near_dedup, order_minhash, packing, planes, quality_rules, sharding, speculative_bpe, warc, weak_labels)
 from visitweave.llm.common import durable, table
 from visitweave.llm.registry import ORACLES, QUERIES
 
