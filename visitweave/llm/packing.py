@@ -65,7 +65,9 @@ def pack(items: DataFrame, limits: dict[str, int], tokens: str, by: list[str], b
 
     ``limits`` names the demand columns; ``tokens`` is the one that offsets count; ``by`` are the
     columns whose hash deals examples to blocks.  ``items`` should be stored: it is counted first.
+    Columns that already have the new names are replaced.
     """
+    items = items.drop("sequence_id", "offset", "_block", "_turn")
     blocks = blocks_for(items.count(), block_rows)
     names = list(limits)
 
