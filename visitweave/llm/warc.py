@@ -2,9 +2,10 @@
 
 Every task that reads a byte range of an archive looks for the mark that starts a record,
 tries to read a record at each place that has it, and emits the place with that of the record's
-successor.  A mark inside a payload gives such a candidate too.  Pointer jumping from the start
-of each file then finds the candidates that a chain of successors reaches; only those are
-records.
+successor and with the first place beyond the range that the chain of successors comes to.  A
+mark inside a payload gives such a candidate too.  Pointer jumping from the start of each file
+along those exits finds where the true chain enters each range; only the candidates on the
+chain from there are records.
 
 Defined results: a null html counts as empty and is a payload like others; rows that share a
 page_id with the first of their payload are responses; line breaks in a URL become blanks and a
@@ -28,7 +29,7 @@ from visitweave.llm.files import create, new_file, open_file
 from visitweave.llm.registry import query
 
 #: An archive is closed once it has so many bytes.
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 32 << 20
 #: A task looks for records that start in so many bytes.
 SPLIT_BYTES = 2 << 20
 #: Payloads of fewer bytes are always stored in full.
@@ -38,6 +39,8 @@ PLAIN_MARK, GZIP_MARK = b"WARC/1.", b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 HEAD_LIMIT = 1 << 16
+CANDIDATE = ("path string, start long, at long, next long, exit long, page_id long, payload_bytes long,"
+             " payload_digest string, record_type string, refers_to long")
 STEP = 1 << 18
 
 
@@ -211,33 +214,35 @@ def candidates(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 with open_file(path) as source:
-                    rows = [(path, at, x.end, x.page_id, x.payload_bytes, x.digest, x.kind, x.refers_to) for at, x
-                            in candidates_in(source, start, min(size, start + split_bytes), path.endswith(".gz"))]
+                    found = list(candidates_in(source, start, min(size, start + split_bytes), path.endswith(".gz")))
+                exits: dict[int, int] = {}
+                for at, x in reversed(found):
+                    exits[at] = exits.get(x.end, x.end)
+                rows = [(path, start, at, x.end, exits[at], x.page_id, x.payload_bytes, x.digest, x.kind, x.refers_to)
+                        for at, x in found]
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
-    names = ["path", "at", "next", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    text, number = pa.string(), pa.int64()
-    kinds = [text, number, number, number, number, text, text, number]
-    schema = ("path string, at long, next long, page_id long, payload_bytes long, payload_digest string,"
-              " record_type string, refers_to long")
-    return durable(splits.repartition(min(int(n), 4096), "path", "start").mapInArrow(scan, schema))
-
-
-def reached(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``(path, at)`` of the places that a chain of successors from the start of a file reaches.
-
-    Each round every reached place marks the one its pointer leads to, and every pointer doubles
-    its length; so a file of n records takes about log2(n) rounds.  A file whose end is not
-    reached is broken, which is an error.
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+    names = CANDIDATE.replace(" long", "").replace(" string", "").split(", ")
+    kinds = [pa.int64() if x.endswith("long") else pa.string() for x in CANDIDATE.split(", ")]
+    return durable(splits.repartition(min(int(n), 4096), "path", "start").mapInArrow(scan, CANDIDATE))
+
+
+def entries(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(path, at)`` of the places where the chain from the start of a file enters a range.
+
+    Only places that are the start or the exit of some chain take part.  Each round every
+    reached place marks the one its pointer leads to, and every pointer doubles its length, so
+    a file of n ranges takes about log2(n) rounds.  A file whose end is not reached is broken,
+    which is an error.
     """
+    met = found.select("path", F.col("exit").alias("at")).union(manifest.select("path", F.lit(0).cast("long"))).distinct()
     ends = manifest.select("path", F.col("bytes").alias("at"), F.lit(None).cast("long").alias("to"))
-    state = durable(found.select("path", "at", F.col("next").alias("to")).union(ends)
-                    .withColumn("seen", F.col("at") == 0))
+    state = durable(found.select("path", "at", F.col("exit").alias("to")).join(met, ["path", "at"], "left_semi")
+                    .union(ends).withColumn("seen", F.col("at") == 0))
     before, now = -1, state.filter("seen").count()
     while now > before:
-        marks = state.filter("seen and to is not null").select("path", F.col("to").alias("at"), F.lit(True).alias("mark"))
         # Places that are seen lie on one chain of a file, so a mark comes once.
+        marks = state.filter("seen and to is not null").select("path", F.col("to").alias("at"), F.lit(True).alias("mark"))
         further = state.select("path", F.col("at").alias("to"), F.col("to").alias("further"))
         state = durable(state.join(marks, ["path", "at"], "left").join(further, ["path", "to"], "left").select(
             "path", "at", F.col("further").alias("to"), (F.col("seen") | F.coalesce("mark", F.lit(False))).alias("seen")))
@@ -249,11 +254,26 @@ def reached(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return whole
 
 
+def retained(found: DataFrame, entered: DataFrame) -> DataFrame:
+    """The candidates on the chain from the entry of their range; a range's records are a bounded group."""
+    marked = found.join(entered.withColumn("entry", F.lit(True)), ["path", "at"], "left").select(
+        *found.columns, F.coalesce("entry", F.lit(False)).alias("entry"))
+
+    def walk(pdf):
+        following = dict(zip(pdf["at"], pdf["next"]))
+        on = set()
+        for at in pdf.loc[pdf["entry"], "at"]:
+            while at in following and at not in on:
+                on.add(at)
+                at = following[at]
+        return pdf[pdf["at"].isin(on)].drop(columns="entry").astype(object).where(lambda x: x.notna(), None)
+    return marked.groupBy("path", "start").applyInPandas(walk, CANDIDATE)
+
+
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Responses and revisits of all archives."""
     found = candidates(manifest, split_bytes)
-    return found.join(reached(found, manifest), ["path", "at"], "left_semi").filter(
-        F.col("record_type").isin("response", "revisit")).select(
+    return retained(found, entries(found, manifest)).filter(F.col("record_type").isin("response", "revisit")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
