@@ -24,8 +24,8 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.keep(docs)
+    """One document of each group of near duplicates: 0.8 of their five-word shingles in common."""
+    return near_dedup.keep(docs, link=80, width=5)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

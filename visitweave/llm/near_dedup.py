@@ -1,6 +1,6 @@
 """Near-duplicate documents by MinHash, with odd sketches to sift the candidates.
 
-A document's set holds its distinct three-word shingles, as 64-bit hashes.  MinHash samples of
+A document's set holds its distinct shingles of three (or ``width``) words, as 64-bit hashes.  MinHash samples of
 the set are cut into bands; documents that share a band are candidates.  The samples are also
 folded into a parity bitmap (odd sketch): the bits in which two bitmaps differ tell how many
 samples differ, which estimates high similarities well, so that most false candidates go
@@ -11,8 +11,8 @@ one hub; only members that are then still in another component than their bucket
 enough shingles in common with others at all, are compared with the other members.  So a large
 group of near copies never gives all its pairs.
 
-Defined results: a null or blank text has an empty set and is linked with nothing; one or two
-words are one shingle; rows that share a doc_id are one document; an empty table gives an empty
+Defined results: a null or blank text has an empty set and is linked with nothing; fewer words
+than a shingle has are one shingle; rows that share a doc_id are one document; an empty table gives an empty
 result; further columns are left alone.
 """
 
@@ -31,18 +31,22 @@ from visitweave.llm.components import components
 from visitweave.llm.registry import query
 
 SAMPLES = 512                     # all go into the odd sketch
-BANDS, ROWS = 32, 8               # of the first 256 samples: a pair at 0.85 is missed once in 26,000
+BANDED = 256                      # the first ones go into bands
+ROWS = 8                          # samples a band: a pair at 0.85 is missed once in 26,000
+LOOSE_ROWS = 6                    # for lower similarities: a pair at 0.8 is missed once in 300,000
 SKETCH_BITS = 1024
 #: Links have at least this similarity, in hundredths.
 LINK = 85
-#: Candidates whose estimate is lower by more than this are not compared (over four standard errors).
-MARGIN = 0.075
-KNOWN_WORDS = 500_000
+#: Candidates whose estimate is lower by more than this share of the distance to 1 are not compared
+#: (over four standard errors).
+MARGIN = 0.5
+#: Word hashes a worker remembers.
+KNOWN_WORDS = 100_000
 
 _draw = np.random.default_rng(20240501)
 _FACTORS = _draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SHIFTS = _draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
-_PLACES = _draw.integers(0, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = _draw.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLOTS = _draw.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,13 +65,14 @@ class _Hashes(dict):
         return value
 
 
-def shingles(text: str | None, known: dict | None = None) -> np.ndarray:
-    """Sorted distinct hashes of the three-word shingles."""
+def shingles(text: str | None, known: dict | None = None, width: int = 3) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``width`` words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()   # bytes: A-Z and ASCII spaces only
     known = _Hashes() if known is None else known
     w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    if len(w) >= 3:
-        return np.unique(mix(w[:-2] * _PLACES[0] + w[1:-1] * _PLACES[1] + w[2:] * _PLACES[2]))
+    n = len(w) - width + 1
+    if n > 0:
+        return np.unique(mix(sum(w[i:i + n] * _PLACES[i] for i in range(width))))
     return mix((w * _PLACES[:len(w)]).sum(keepdims=True) + np.uint64(len(w))) if len(w) else w
 
 
@@ -80,10 +85,10 @@ def samples(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(least: np.ndarray) -> np.ndarray:
-    """A bucket number per band."""
-    n = BANDS * ROWS
-    whole = mix((least[:n].astype(np.uint64) + np.uint64(1)) * _SLOTS[:n]).reshape(BANDS, ROWS)
+def bands(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A bucket number per band of ``rows`` samples."""
+    n = BANDED // rows * rows
+    whole = mix((least[:n].astype(np.uint64) + np.uint64(1)) * _SLOTS[:n]).reshape(-1, rows)
     return mix(np.bitwise_xor.reduce(whole, axis=1)).view(np.int64)
 
 
@@ -107,32 +112,32 @@ def _column(rows, kind):
     return pa.array([x.tolist() for x in rows], pa.list_(kind))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, rows: int = ROWS, width: int = 3) -> DataFrame:
     """``doc_id, n_shingles, key, bands, odd``; the key stands for the whole set and is null for an empty one."""
     small_batches(docs.sparkSession)
 
     def sketch(batches):
         known = _Hashes()
         for batch in batches:
-            sets = [shingles(x, known) for x in batch.column(1).to_pylist()]
+            sets = [shingles(x, known, width) for x in batch.column(1).to_pylist()]
             least = [samples(x) for x in sets]
             keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()),
-                 _column(map(bands, least), pa.int64()), _column(map(odd_sketch, least), pa.int64())],
+                 _column((bands(x, rows) for x in least), pa.int64()), _column(map(odd_sketch, least), pa.int64())],
                 ["doc_id", "n_shingles", "key", "bands", "odd"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         sketch, "doc_id long, n_shingles long, key binary, bands array<long>, odd array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int = 3) -> DataFrame:
     """``wanted`` with the full set of each ``node`` as ``items``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted.select("node", "key"), "node")
 
     def sets(batches):
         known = _Hashes()
         for batch in batches:
-            found = [shingles(x, known) for x in batch.column(1).to_pylist()]
+            found = [shingles(x, known, width) for x in batch.column(1).to_pylist()]
             own = [len(x) > 0 and xxhash.xxh3_128_digest(x.tobytes()) == k
                    for x, k in zip(found, batch.column(2).to_pylist())]
             out = pa.RecordBatch.from_arrays(
@@ -149,7 +154,7 @@ def _close(a: str, b: str, link: int) -> Column:
     """Sizes and sketches allow a link."""
     na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
     return ((100 * F.least(na, nb) >= link * F.greatest(na, nb))
-            & (differing_bits(f"{a}_odd", f"{b}_odd") <= most_bits(link / 100 - MARGIN)))
+            & (differing_bits(f"{a}_odd", f"{b}_odd") <= most_bits(link / 100 - MARGIN * (1 - link / 100))))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
@@ -177,7 +182,7 @@ def _with_most(open_: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     return known.filter(100 * F.col("most") >= link * F.col("n"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, link: int = LINK) -> tuple[DataFrame, DataFrame | None]:
+def links(docs: DataFrame, nodes: DataFrame, link: int = LINK, width: int = 3) -> tuple[DataFrame, DataFrame | None]:
     """Confirmed links between ``nodes(node, key, n, bands, odd)`` and, if there are any, their components."""
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -185,7 +190,7 @@ def links(docs: DataFrame, nodes: DataFrame, link: int = LINK) -> tuple[DataFram
     # Who shares most buckets with most others is the likeliest to be linked with them.
     reach = durable(members.groupBy("node").agg(F.sum("size").alias("reach"))
                     .join(nodes.select("node", "key", "n", "odd", "bands"), "node"))
-    sets = durable(full_sets(docs, reach))
+    sets = durable(full_sets(docs, reach, width))
     placed = members.join(reach.select("node", "reach"), "node")
     top = F.max(F.struct("reach", (-F.col("node")).alias("minus")))
     hubs = placed.groupBy("bucket").agg(top.alias("top")).select(
@@ -221,14 +226,14 @@ def links(docs: DataFrame, nodes: DataFrame, link: int = LINK) -> tuple[DataFram
     return every, components(every)
 
 
-def duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document."""
-    drawn = durable(sketches(docs))
+def duplicates(docs: DataFrame, link: int = LINK, width: int = 3) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document, by shingles of ``width`` words."""
+    drawn = durable(sketches(docs, ROWS if link >= LINK else LOOSE_ROWS, width))
     nodes = durable(drawn.filter("key is not null").groupBy("key").agg(
         F.min(F.struct("doc_id", "n_shingles", "bands", "odd")).alias("x")).select(
         F.col("x.doc_id").alias("node"), "key", F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands"),
         F.col("x.odd").alias("odd")))
-    _, found = links(docs, nodes, link)
+    _, found = links(docs, nodes, link, width)
     heads = nodes.select("node", "key").join(found, "node", "left").select(
         "key", F.coalesce("component", "node").alias("component_id"))
     out = ["doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept")]
@@ -236,9 +241,9 @@ def duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
             .union(drawn.filter("key is null").withColumn("component_id", F.col("doc_id")).select(*out)))
 
 
-def keep(docs: DataFrame, link: int = LINK) -> DataFrame:
+def keep(docs: DataFrame, link: int = LINK, width: int = 3) -> DataFrame:
     """One row of each group of near duplicates, that with the smallest doc_id; columns unchanged."""
-    first = durable(duplicates(docs, link)).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    first = durable(duplicates(docs, link, width)).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(first, docs["doc_id"] == first["_kept"], "left_semi")
     again = docs.groupBy("doc_id").count().filter("count > 1")
     return rows if again.isEmpty() else rows.dropDuplicates(["doc_id"])

@@ -33,7 +33,7 @@ SLOTS = 1 << 16
 EM_ROUNDS = 50
 TRAIN_STEPS = 300
 #: Words whose weight a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
 # Frequent function words of the languages at hand.
 FUNCTION_WORDS = frozenset(
     "the of and to in is that for it as was with be by on not are this or an at from"
