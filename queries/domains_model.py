@@ -201,12 +201,21 @@ def g3_literal(spark, sf):
     return split.batches(_user_rows(spark, sf), 100, 4, 7, literal=True)
 
 
-@query("g1_sample_with_replacement")
+_CHANCE = "('0x'||substr(md5({seed}||'|'||user_id||'|'||event_id),1,8))::bigint"
+_TIMES = " + ".join(f"({_CHANCE} >= {b})::int" for b in split.poisson_bounds(0.3))
+
+
+@query("g1_sample_with_replacement", X.sql(f"""
+, d as (select user_id, event_id, {_TIMES.format(seed=5)} times from ev)
+select user_id, event_id from (select user_id, event_id, unnest(range(times)) from d)"""))
 def g1(spark, sf):
     return split.sample(X.page_views(spark, sf).select("user_id", "event_id"), 0.3, 5)
 
 
-@query("g4_epoch_samples")
+@query("g4_epoch_samples", X.sql(f"""
+, d as (select user_id, event_id, epoch::int epoch, {_TIMES.format(seed="(epoch + 5)")} times
+        from ev, unnest(range(3)) r(epoch))
+select user_id, event_id, epoch from (select user_id, event_id, epoch, unnest(range(times)) from d)"""))
 def g4(spark, sf):
     return split.epochs(X.page_views(spark, sf).select("user_id", "event_id"), 3, 0.3, 5)
 

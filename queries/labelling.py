@@ -23,7 +23,10 @@ def _joined(col, field=None):
 
 def payloads(spark, sf, hot=None):
     """Events as tab-separated text, at most 500 lines to a record."""
-    ev = grouped.position(X.events(spark, sf, hot), ["user_id"], X.ORDER, "_pos", hot)
+    return _records(grouped.position(X.events(spark, sf, hot), ["user_id"], X.ORDER, "_pos", hot))
+
+
+def _records(ev):
     empty = [F.lit("")] * 9
     line = F.concat_ws("\t", F.col("timestamp").cast("decimal(18,3)").cast("string"), *empty,
                        F.coalesce("referrer_url", F.lit("")), F.coalesce("prev_url", F.lit("")), "request_url")
@@ -39,6 +42,38 @@ def p1(spark, sf):
     return E.parse_events(payloads(spark, sf, X.hot_users(spark, sf))).drop("event_id")
 
 
+_REPEATED = """
+, c as (select e.*, k, row_number() over (partition by user_id order by ts_ms, event_id, k) - 1 p
+        from ev e, unnest(range(8)) r(k)),
+n as (select *, row_number() over (partition by user_id order by ts_ms, p % 500, request_url,
+             coalesce(referrer_url,''), coalesce(prev_url,'')) - 1 numbered from c)"""
+
+
+def repeated_payloads(spark, sf):
+    """Every event eight times over, so that users have several records."""
+    hot = X.hot_users(spark, sf, grouped.HOT_ROWS // 8)
+    ev = X.events(spark, sf, hot).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return _records(grouped.position(ev, ["user_id"], [*X.ORDER, "k"], "_pos", hot))
+
+
+@query("p1_event_numbers", X.sql(_REPEATED + """
+select user_id, numbered event_id, ts_ms, request_url, coalesce(referrer_url,'') referrer_url,
+       coalesce(prev_url,'') prev_url from n"""))
+def p1_numbers(spark, sf):
+    return E.numbered(E.parse_events(repeated_payloads(spark, sf))).drop("timestamp")
+
+
+@query("l1_prepare_repeated_events", X.sql(_REPEATED + """
+select user_id, count(*) n_events, count(distinct numbered) n_keys, 201 n_features from n
+group by user_id having count(*) < 800"""))
+def l1_repeated(spark, sf):
+    root = fresh_path(spark, "prepared")
+    bags = prepare_events(spark, repeated_payloads(spark, sf), X.rules(spark), root, keep="clean")
+    return bags.select("user_id", F.size("events").cast("long").alias("n_events"),
+                       F.size(F.array_distinct("events.event_id")).cast("long").alias("n_keys"),
+                       F.size(F.col("events")[0]["request_vec"]).alias("n_features"))
+
+
 @query("p1_reject_count", X.sql("""
 select count(*) n_lines, count(*) filter (where event_type = 'error') n_rejected from ev"""))
 def p1_rejects(spark, sf):
@@ -79,10 +114,9 @@ def p2(spark, sf):
 
 
 @query("p3_flatten_user_bags", X.sql("""
-select user_id, event_id, ts_ms, request_url from ev
-where user_id in (select user_id from ev group by 1 having count(*) < 800)"""))
+select user_id, event_id, ts_ms, request_url from ev"""))
 def p3(spark, sf):
-    bags = E.event_bags(X.page_views(spark, sf), ["ts_ms", "event_id", "request_url"], hot=X.hot_users(spark, sf))
+    bags = E.event_parts(X.page_views(spark, sf), ["ts_ms", "event_id", "request_url"], 50, X.hot_users(spark, sf))
     return E.flatten(bags).select("user_id", "event_id", "ts_ms", "request_url")
 
 

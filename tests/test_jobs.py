@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import fixture as X
 from queries.labelling import payloads
+from tests.suffix_extract import SUFFIXES
 from visitweave.config import NO_DOMAIN
 from visitweave.operators import classifier, domains, embeddings, evaluate, sequences, split, urls
 from visitweave.plans import prepare as P, train as T
@@ -29,7 +30,7 @@ def _payload(spark, *lines):
 
 def test_parse_and_standardise(spark):
     parsed = E.parse_events(_payload(spark, LINE, "x\ty", "", LINE.replace("1.5", "abc"), "\t".join(["2", *[""] * 12])))
-    rows = E.standardised(parsed, suffixes.suffixes(spark)).collect()
+    rows = E.standardised(parsed, suffixes.suffixes(spark, SUFFIXES)).collect()
     assert [(r.event_id, r.timestamp, r.ts_ms, r.request_url, r.referrer_url, r.prev_url) for r in rows] == [
         (0, 1.5, 1500, "q.com/a", "r.com", "")]
     bad = E.reject_count(_payload(spark, LINE, "x\ty", LINE)).first()
@@ -87,7 +88,7 @@ def test_url_vectors(spark):
     rng = np.random.default_rng(0)
     vecs = {t: rng.random(100, dtype=np.float32) for t in ["x.com", "", "a", NO_DOMAIN, "y.com"]}
     table = spark.createDataFrame([(t, v.tolist()) for t, v in vecs.items()], "token string, vector array<float>")
-    rules = suffixes.suffixes(spark)
+    rules = suffixes.suffixes(spark, SUFFIXES)
     df = spark.createDataFrame([("x.com/a/zz", "", "y.com/a?==&a=1")], "request_url string, referrer_url string, prev_url string")
     dim = urls.url_dimension(df, E.URL_COLUMNS, rules)
     ids = spark.createDataFrame([("x.com", 7), (NO_DOMAIN, 0)], "domain string, domain_id long")
@@ -144,7 +145,47 @@ def test_split_and_feed(spark):
                 if filled > 20:
                     batch, filled = batch + 1, 0
     assert split.sample(users, 1.0).count() == 300
-    assert split.epochs(users, 2, 0.5, 1).select("epoch").distinct().count() == 2
+    assert split.epochs(users, 2, 0.5, 1, ["user_id"]).select("epoch").distinct().count() == 2
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(4000).select(F.concat(F.lit("u"), F.col("id") % 40).alias("user_id"), F.col("id").alias("event_id"))
+    one, four, seven = (sorted(split.sample(df.repartition(n), 0.3, 5).collect()) for n in (1, 4, 7))
+    assert one == four == seven and 1050 < len(one) < 1350 and len(set(one)) < len(one)
+    epochs = split.epochs(df, 3, 0.3, 5).collect()
+    assert sorted((r.user_id, r.event_id) for r in epochs if r.epoch == 0) == [tuple(r) for r in one]
+    assert len({tuple(sorted(r.event_id for r in epochs if r.epoch == e)) for e in range(3)}) == 3
+
+
+def test_events_of_several_records_have_keys_of_their_own(spark, tmp_path):
+    lines = ["\t".join([str(i % 290), *[""] * 10, "", f"http://q.com/{i % 7}"]) for i in range(600)]
+    src = spark.createDataFrame([("u", "\n".join(lines[:300])), ("u", "\n".join(lines[300:])), ("u", "\n".join(lines[:10])),
+                                 ("v", lines[0] + "\nbad")], "user_id string, payload string")
+    rows = P.prepare_events(spark, src, suffixes.suffixes(spark, SUFFIXES), str(tmp_path), keep="clean").collect()
+    assert {r.user_id: sorted(e.event_id for e in r.events) for r in rows} == {"u": list(range(610)), "v": [0]}
+    for r in rows:
+        times = [e.ts_ms for e in sorted(r.events, key=lambda e: e.event_id)]
+        assert times == sorted(times)
+    counts = spark.read.parquet(f"{tmp_path}/line_counts").first()
+    assert (counts.n_lines, counts.n_rejected) == (612, 1)
+
+
+def test_events_with_one_key_are_refused(spark):
+    feats = spark.createDataFrame([("a", [1.0])], "url string, features array<float>")
+    ev = spark.createDataFrame([("u", 1, "a", "", "b"), ("u", 1, "b", "a", "a")],
+                               "user_id string, event_id long, request_url string, referrer_url string, prev_url string")
+    with pytest.raises(Exception, match="more than one event has the key u 1"):
+        embeddings.event_features(ev, feats).collect()
+
+
+def test_training_reads_no_vectors(spark, tmp_path):
+    event = "struct<event_id:long,ts_ms:long,timestamp:double,request_url:string,request_vec:array<float>>"
+    df = spark.createDataFrame([("u", 0, [(1, 2, 3.0, "a", [1.0])]), ("u", 1, None)], f"user_id string, part int, events array<{event}>")
+    df.write.parquet(str(tmp_path / "r"))
+    got = combined.events_of(spark.read.parquet(str(tmp_path / "r")), ["event_id", "ts_ms", "timestamp", "request_url"])
+    assert [tuple(r) for r in got.collect()] == [("u", 1, 2, 3.0, "a")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "request_url" in plan.split("ReadSchema")[-1] and "request_vec" not in plan.split("ReadSchema")[-1]
 
 
 def test_votes_and_matrix(spark):

@@ -8,6 +8,8 @@ from visitweave.functions.entities import unescape
 from visitweave.operators import links, urls
 from visitweave.sources import suffixes
 
+from tests.suffix_extract import SUFFIXES
+
 RULES = ["com", "co.uk", "il", "co.il", "*.ck", "!www.ck"]
 
 VALID = [  # url, raw_url, first level, sub domain, tokens
@@ -119,7 +121,7 @@ def test_remove_dots(spark):
 
 
 def test_canonical_is_stable(spark, rules, sf):
-    rules2 = suffixes.suffixes(spark)
+    rules2 = suffixes.suffixes(spark, SUFFIXES)
     once = urls.same_url(spark.read.parquet(f"{sf}/pages.parquet"), rules2)
     twice = urls.same_url(once, rules2, "raw_url")
     assert once.exceptAll(twice).count() == 0 and once.count() > 0

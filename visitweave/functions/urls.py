@@ -109,7 +109,7 @@ def query_params(raw: str) -> str:
 def folders(raw: str) -> str:
     """Path pieces of the raw URL without its host."""
     pieces = _split_trimmed(f"regexp_extract({raw}, '^([^?#]*)', 1)", "/", "/")
-    return f"slice({pieces}, 2, {MAX_URL_LENGTH})"
+    return f"filter({pieces}, (x, i) -> i > 0)"
 
 
 def path_segments(path_: str) -> str:

@@ -15,6 +15,17 @@ from visitweave.sources.suffixes import SuffixRules
 from visitweave.storage import durable
 
 
+def _look_up(rows: DataFrame, side: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with ``value`` from ``side(key, value)``, null where it has none.
+
+    The empty key stands in a large share of all rows; its one value needs no shuffle.
+    """
+    side = side.select(key, value)
+    blank = side.filter(F.col(key) == "").select(value).scalar()
+    found = rows.filter(F.col(key) != "").join(side, key, "left")
+    return found.unionByName(rows.filter(F.col(key) == "").withColumn(value, blank))
+
+
 def url_sentences(events: DataFrame, rules: SuffixRules, literal: bool = False) -> DataFrame:
     """Token sequence of every URL occurrence (three per event)."""
     tokens = urls.enrich(url_rows(events).select("url"), "url", rules, literal)
@@ -45,14 +56,14 @@ def vector_table(model: Word2VecModel) -> DataFrame:
 def token_vectors(dim: DataFrame, vectors: DataFrame, size: int = VECTOR_SIZE) -> DataFrame:
     """Vector of every URL token position, zeros for a token without one."""
     rows = dim.select("url", F.posexplode("vector_tokens").alias("pos", "token"))
-    return rows.join(vectors, "token", "left").select(
+    return _look_up(rows, vectors, "token", "vector").select(
         "url", "pos", "token", F.coalesce("vector", zeros(size)).alias("vector"))
 
 
 def url_means(dim: DataFrame, vectors: DataFrame, size: int = VECTOR_SIZE) -> DataFrame:
     """``(url, url_vec)``: sum of the first ten token vectors in order, over ten always."""
     rows = dim.select("url", F.posexplode("vector_tokens").alias("pos", "token"))
-    known = rows.join(vectors, "token")
+    known = _look_up(rows, vectors, "token", "vector").filter("vector is not null")
     # At most ten rows per URL.
     summed = known.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("pos", "vector")))["vector"].alias("v"))
     means = summed.select("url", scale(vector_sum(F.col("v"), size), 1.0 / URL_TOKENS).alias("_mean"))
@@ -81,7 +92,7 @@ def url_features(dim: DataFrame, url_vectors: DataFrame, domain_vectors: DataFra
 
 
 def event_features(events: DataFrame, features: DataFrame) -> DataFrame:
-    """Add ``request_vec, href_vec, prev_vec``; ``(user_id, event_id)`` must be unique.
+    """Add ``request_vec, href_vec, prev_vec``; ``(user_id, event_id)`` must be unique, or the job fails.
 
     The three URLs of an event are looked up in one join and put back together, rather than
     moving ever wider events through three.  The other columns travel with the request URL.
@@ -92,8 +103,10 @@ def event_features(events: DataFrame, features: DataFrame) -> DataFrame:
         F.struct(F.lit(kind).alias("kind"), F.coalesce(kind, F.lit("")).alias("url"),
                  F.when(F.lit(kind == "request_url"), rest).alias("rest")) for kind in URL_COLUMNS])))
     # Three entries per event.
-    found = rows.join(features, "url", "left").groupBy(*keys).agg(
-        F.collect_list(F.struct("kind", "features", "rest")).alias("_f"))
+    found = _look_up(rows, features, "url", "features").groupBy(*keys).agg(
+        F.collect_list(F.struct("kind", "features", "rest")).alias("_f")).filter(
+        F.when(F.size("_f") == len(URL_COLUMNS), True).otherwise(F.raise_error(F.concat_ws(
+            " ", F.lit("more than one event has the key"), *keys)).cast("boolean")))
     pick = lambda kind: F.filter("_f", lambda x: x["kind"] == kind)[0]
     names = ["request_vec", "href_vec", "prev_vec"]
     return found.select(*keys, pick("request_url")["rest"].alias("_rest"), *[

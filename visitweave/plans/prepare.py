@@ -25,11 +25,13 @@ def prepare_events(spark: SparkSession, payloads: DataFrame, rules: suffixes.Suf
                    keep: str = "flagged", mode: str = "drop", literal: bool = False) -> DataFrame:
     """Parse, filter, embed and featurise: ``(user_id, events)`` per user under the limit.
 
-    Events, URL features and vectors are written once and read back by the later steps.
+    Events, URL features and vectors are written once and read back by the later steps; the
+    numbers of lines read and left out are written to ``line_counts``.
     """
     parsed = E.standardised(E.parse_events(payloads, mode), rules)
     parsed.write.mode("overwrite").parquet(f"{root}/parsed_events")
-    kept = E.keep_users(spark.read.parquet(f"{root}/parsed_events"), keep)
+    E.reject_count(payloads).write.mode("overwrite").parquet(f"{root}/line_counts")
+    kept = E.numbered(E.keep_users(spark.read.parquet(f"{root}/parsed_events"), keep))
     kept.write.mode("overwrite").parquet(f"{root}/events")
     events = spark.read.parquet(f"{root}/events")
     paths = embed(events, rules, root, seed, literal)
@@ -66,15 +68,16 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("events")
     args.add_argument("visits")
     args.add_argument("out")
-    args.add_argument("--suffixes", help="public suffix list file; a small built-in extract without it")
+    args.add_argument("--suffixes", required=True, help="public suffix list file")
     args.add_argument("--keep", choices=["flagged", "clean"], default="flagged")
     args.add_argument("--mode", choices=["drop", "failfast"], default="drop")
     args.add_argument("--seed", type=int, default=0)
     opt = args.parse_args(argv)
     spark = SparkSession.builder.appName("prepare-visits").getOrCreate()
-    rules = suffixes.read_suffixes(spark, opt.suffixes) if opt.suffixes else suffixes.suffixes(spark)
+    rules = suffixes.read_suffixes(spark, opt.suffixes)
     done = prepare(spark, E.read_sequence_file(spark, opt.events), V.read_visits(spark, opt.visits), rules,
                    opt.out, opt.seed, opt.keep, opt.mode)
+    spark.read.parquet(f"{opt.out}/line_counts").show()
     done.printSchema()
     combined.preview(done.select("user_id", "part", "visits")).show(truncate=False)
 

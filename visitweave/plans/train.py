@@ -15,7 +15,7 @@ from visitweave.sources import combined, models
 def samples_of(records: DataFrame, mode: str) -> DataFrame:
     """Summarised learning set of combined records."""
     make = sequences.learning_set(mode)
-    events = combined.events_of(records).select("user_id", "event_id", "ts_ms", "timestamp", "request_url")
+    events = combined.events_of(records, ["event_id", "ts_ms", "timestamp", "request_url"])
     return classifier.window_summary(sequences.non_empty(make(events, combined.visits_of(records))))
 
 
@@ -32,7 +32,7 @@ def train(spark: SparkSession, train_records: DataFrame, test_records: DataFrame
     learn, check = spark.read.parquet(f"{work}/train"), spark.read.parquet(f"{work}/test")
     model = models.load_classifier(spark, model_path)
     for epoch in range(n_epochs):
-        part = split.sample(learn, fraction, seed + epoch)
+        part = split.sample(learn, fraction, seed + epoch, ["user_id", "event_id", "inputs"])
         model = classifier.fit(part, mode, seed, iterations, resume=model)
         models.save_classifier(model, model_path)
         metrics = [classifier.losses(classifier.score(d, model)).withColumn("type", F.lit(t))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def combine(bags: DataFrame, visit_lists: DataFrame) -> DataFrame:
     """Join the event list of a user with the visit lists of the same user.
 
-    Lists are bounded, and the event side has one row per user.
+    Lists are bounded, and the event side has one row per user.  Only part 0 of a user carries
+    the events.
     """
-    return bags.join(visit_lists, "user_id").select("user_id", "part", "events", "visits")
+    return bags.join(visit_lists, "user_id").select(
+        "user_id", "part", F.when(F.col("part") == 0, F.col("events")).alias("events"), "visits")
 
 
 def write_combined(df: DataFrame, path: str, row_group_bytes: int = 1 << 20) -> None:
@@ -25,9 +27,14 @@ def read_combined(spark: SparkSession, path: str, split: str | None = None) -> D
     return df if split is None else df.filter(F.col("split") == split)
 
 
-def events_of(combined: DataFrame) -> DataFrame:
-    """Flat events; they are taken from the first part of a user only."""
-    return combined.filter("part = 0").select("user_id", F.inline("events"))
+def events_of(combined: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Flat events, from the first part of a user; only ``columns`` are read from the file."""
+    first = combined.filter("part = 0")
+    if columns is None:
+        return first.select("user_id", F.inline("events"))
+    # Zipped by name, so the scan leaves the other fields of the array out.
+    return first.select("user_id", F.inline(F.arrays_zip(*[F.col(f"events.{c}").alias(c) for c in columns]))).toDF(
+        "user_id", *columns)
 
 
 def visits_of(combined: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitweave.config import MAX_USER_EVENTS
+from visitweave.config import LIST_ROWS, MAX_USER_EVENTS
 from visitweave.operators import grouped, urls
 from visitweave.sources.suffixes import SuffixRules
 
@@ -44,7 +44,10 @@ def _well_formed() -> Column:
 
 
 def parse_events(payloads: DataFrame, mode: str = "drop") -> DataFrame:
-    """Events with URLs as logged.  ``mode='failfast'`` stops at a malformed line."""
+    """Events with URLs as logged.  ``mode='failfast'`` stops at a malformed line.
+
+    ``event_id`` is the place in the record; ``numbered`` makes it unique per user.
+    """
     rows = _fields(event_lines(payloads))
     if mode == "drop":
         rows = rows.filter(_well_formed())
@@ -58,6 +61,17 @@ def parse_events(payloads: DataFrame, mode: str = "drop") -> DataFrame:
                        F.round(ts * 1000).cast("long").alias("ts_ms"), *URL_COLUMNS)
 
 
+def numbered(events: DataFrame, hot: grouped.HotGroups | None = None) -> DataFrame:
+    """``event_id`` as the place, from 0, among all events of the user, whatever records they came in.
+
+    The order is that of time, then of the place in the record; rows that are alike throughout
+    get different numbers too.
+    """
+    order = ["ts_ms", "event_id", *URL_COLUMNS, "timestamp"]
+    placed = grouped.position(events, ["user_id"], order, "_place", hot)
+    return placed.withColumn("event_id", F.col("_place") - 1).drop("_place")
+
+
 def reject_count(payloads: DataFrame) -> DataFrame:
     """Lines read and lines that ``mode='drop'`` leaves out."""
     good = F.coalesce(_well_formed(), F.lit(False))
@@ -109,6 +123,14 @@ def limit_users(events: DataFrame, below: int = MAX_USER_EVENTS,
     return _with_users(events, users)
 
 
+def event_parts(events: DataFrame, columns: list[str], size: int = LIST_ROWS,
+                hot: grouped.HotGroups | None = None) -> DataFrame:
+    """``(user_id, part, events)`` of every user in time order, ``size`` events to a part."""
+    placed = grouped.position(events, ["user_id"], ["ts_ms", "event_id"], "_place", hot)
+    return placed.groupBy("user_id", F.floor((F.col("_place") - 1) / size).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct(*columns))).alias("events"))
+
+
 def event_bags(events: DataFrame, columns: list[str] | None = None, below: int = MAX_USER_EVENTS,
                hot: grouped.HotGroups | None = None) -> DataFrame:
     """``(user_id, events)`` in time order for users under the event limit.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a scratch folder.
+    Only a local session may go without the setting; it then uses a folder of its warehouse.
     """
     sc = spark.sparkContext
     named = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -19,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="visitweave-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/visitweave-{uuid.uuid4().hex}"
         sc.setCheckpointDir(named)
     return named
 
