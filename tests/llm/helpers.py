@@ -28,9 +28,9 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def shingle_set(text):
+def shingle_set(text, width=3):
     words = WORD.findall(lower(text))
-    return {tuple(words[i:i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
 def linked(a, b, link=85):

@@ -23,7 +23,8 @@ from visitweave.llm.common import blocks_for, durable, hash_share, numbered, tab
 from visitweave.llm.registry import query
 
 SHARDS = 24
-ROUNDS = 6
+#: A key fills at most one shard a round, so the most frequent ones need several rounds.
+ROUNDS = 16
 #: Steps of the histograms by which a shard's quota is shared out.
 STEPS = 4_096
 #: Documents numbered by one task, about.
@@ -38,11 +39,14 @@ def propagate(units: DataFrame, capacity: float, shards: int = SHARDS, rounds: i
     sorts all requests; a step that would pass the quota waits for a later round.
     """
     state = durable(units.withColumn("shard", F.col("start")))
+    # A shard is worth asking if it has room for any unit of the key.
+    largest = durable(units.groupBy("key").agg(F.max("weight").alias("largest")))
     for number in range(rounds):
-        held = state.groupBy("key", "shard").agg(F.sum("weight").alias("held"), F.min("weight").alias("least"))
+        held = state.groupBy("key", "shard").agg(F.sum("weight").alias("held"))
         held = durable(held.withColumn("rank", F.struct("held", F.xxhash64("key", "shard", F.lit(number)).alias("tie"))))
         room = state.groupBy(F.col("shard").alias("to")).agg(F.sum("weight").alias("full"))
-        wanted = (held.join(room, held["shard"] == room["to"]).filter(F.col("full") + F.col("least") <= capacity)
+        wanted = (held.join(room, held["shard"] == room["to"]).join(largest, "key")
+                  .filter(F.col("full") + F.col("largest") <= capacity)
                   .groupBy("key").agg(F.max(F.struct("rank", "to")).alias("best"))
                   .select("key", F.col("best.to").alias("to"), F.col("best.rank").alias("there")))
         asked = durable(state.join(held, ["key", "shard"]).join(wanted, "key").filter("shard <> to and there > rank")
