@@ -179,4 +179,34 @@ def j10(spark, sf):
     return links.link_edges(X.table(spark, sf, "pages"), X.rules(spark))
 
 
+# An anchor of each kind of link, and in SQL the URL that it leads to.
+_ANCHORS = {
+    "//cdn.example.com/x?a=1&b=2": ('<a href="//cdn.example.com/x?a=1&amp;b=2">', "proto||'://cdn.example.com/x?a=1&b=2'"),
+    "?q=1": ("<A class='k' HREF=?q=1>", "site||folder||'?q=1'"),
+    "#top": ("<a href='#top'>", "site||path||query||'#top'"),
+    "mailto:x@example.com": ('<a href="mailto:x@example.com">', "null::varchar"),
+    "rel/./p/../q#f": ('<a data-href="/no" href = "rel/./p/../q#f">', "site||folder||'rel/q#f'"),
+    "": ('<a href="">', "site||path||query"),
+    "/it's/x": ('<a href="/it\'s/x">', "site||'/it''s/x'"),
+    'say"so': ("<a href='say\"so'>", "site||folder||'say\"so'"),
+}
+
+
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("j10_link_kinds", r"""
+with u as (select page_id, regexp_extract(url,'^(https?)',1) proto,
+         regexp_replace(regexp_extract(url,'^(https?://[^/?#]+)',1),'^(https?://)(www\.)*','\1') site,
+         regexp_extract(url,'^https?://[^/?#]+([^?#]*)',1) path, regexp_extract(url,'([?][^#]*)',1) query
+       from (select page_id, rtrim(url,'/#?&') url from pages)),
+p as (select *, case when contains(path,'/') then regexp_extract(path,'^(.*/)[^/]*$',1) else '/' end folder from u)
+""" + " union all ".join(
+    f"select page_id, {i} link_no, {_quoted(href)} href, {url} link_url from p" for i, (href, (_, url)) in enumerate(_ANCHORS.items())))
+def j10_kinds(spark, sf):
+    pages = X.table(spark, sf, "pages").withColumn("html", F.lit("".join(tag for tag, _ in _ANCHORS.values())))
+    return links.link_edges(pages, X.rules(spark))
+
+
 _register()

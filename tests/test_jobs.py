@@ -84,6 +84,15 @@ def test_embeddings(spark):
     assert sorted(one) == sorted(two)
 
 
+def test_vocabulary_must_fit(spark):
+    tokens = spark.createDataFrame([(t,) for t in "aaaaabbbbcccdd"], "token string")
+    embeddings.check_vocabulary(tokens, 2, 4)
+    embeddings.check_vocabulary(tokens.limit(0), 2, 4)
+    with pytest.raises(ValueError, match="4 tokens, but at most 2 fit: set min_count to 4 or more"):
+        embeddings.check_vocabulary(tokens, 2, 2)
+    embeddings.check_vocabulary(tokens, 4, 2)
+
+
 def test_url_vectors(spark):
     rng = np.random.default_rng(0)
     vecs = {t: rng.random(100, dtype=np.float32) for t in ["x.com", "", "a", NO_DOMAIN, "y.com"]}

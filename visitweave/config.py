@@ -23,3 +23,5 @@ BROADCAST_KEYS = 100_000
 # Rows per array when a per-user list is written out (also the sentence length
 # at which Word2Vec cuts its input).
 LIST_ROWS = 1000
+# Numbers that one weight matrix of Spark ML's Word2Vec holds at most.
+ML_WEIGHTS = (1 << 31) - 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from visitweave.config import LIST_ROWS, MIN_COUNT, NO_DOMAIN
 from visitweave.operators import grouped
 from visitweave.operators.grouped import HotGroups
+from visitweave.storage import durable
 
 
 def domain_counts(events: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def dictionary(events: DataFrame, hot: HotGroups | None = None) -> DataFrame:
     """``(domain, domain_id)``: distinct domains and the no-domain mark, numbered by name from 0."""
     spark = events.sparkSession
     mark = spark.range(1).select(F.lit(NO_DOMAIN).alias("domain"))
-    names = events.select("domain").union(mark).distinct()
+    names = durable(events.select("domain").union(mark).distinct())   # counted, then numbered
     ranked = grouped.position(names, [], ["domain"], "_rank", hot)
     return ranked.select("domain", (F.col("_rank") - 1).alias("domain_id"))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitweave.config import LIST_ROWS, MIN_COUNT, NO_DOMAIN, URL_TOKENS, VECTOR_SIZE, W2V_ITERATIONS
+from visitweave.config import LIST_ROWS, MIN_COUNT, ML_WEIGHTS, NO_DOMAIN, URL_TOKENS, VECTOR_SIZE, W2V_ITERATIONS
 from visitweave.functions.arrays import scale, vector_sum, zeros
 from visitweave.operators import urls
 from visitweave.sources.events import URL_COLUMNS, url_rows
@@ -32,17 +32,30 @@ def url_sentences(events: DataFrame, rules: SuffixRules, literal: bool = False)
     return tokens.filter(F.size("url_tokens") > 0).select(F.col("url_tokens").alias("words"))
 
 
+def check_vocabulary(tokens: DataFrame, min_count: int, most: int) -> None:
+    """Raise if more than ``most`` tokens are seen ``min_count`` times or more."""
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+    held = durable(counts.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")))
+    found = held.agg(F.sum("tokens")).first()[0] or 0
+    if found > most:
+        # One row per number of sightings, most first.
+        seen = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+        least = held.withColumn("so_far", F.sum("tokens").over(seen)).filter(F.col("so_far") > most).agg(F.max("n")).first()[0]
+        raise ValueError(f"{found} tokens, but at most {most} fit: set min_count to {least + 1} or more")
+
+
 def fit(sentences: DataFrame, column: str = "words", seed: int = 0, min_count: int = MIN_COUNT,
         iterations: int = W2V_ITERATIONS, size: int = VECTOR_SIZE, partitions: int | None = None) -> Word2VecModel:
     """Train on all partitions at once.
 
-    Spark ML keeps one weight matrix, so vocabulary x size is bounded by its own limit and
-    ``min_count`` is the knob for it; sentences stay distributed.  They are stored first:
+    Spark ML keeps one weight matrix, so vocabulary x size is bounded by its own limit; a larger
+    vocabulary is refused with the ``min_count`` that would fit.  Sentences stay distributed.  They are stored first:
     training reads them several times and deals them out anew, which a recomputed task
     must not change.
     """
     partitions = partitions or sentences.sparkSession.sparkContext.defaultParallelism
     sentences = durable(sentences.select(column))
+    check_vocabulary(sentences.select(F.explode(column).alias("token")), min_count, ML_WEIGHTS // size)
     return Word2Vec(vectorSize=size, minCount=min_count, maxIter=iterations, seed=seed, inputCol=column,
                     outputCol="vector", numPartitions=partitions, maxSentenceLength=LIST_ROWS).fit(sentences)
 

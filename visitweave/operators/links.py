@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from visitweave.functions import urls as U
+from visitweave.functions.entities import unescape
 from visitweave.operators import urls
 from visitweave.sources.suffixes import SuffixRules
 
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["\']([^"\']*)["\']"""
+# The value ends at the quote that began it or, without one, at a blank or the tag's end.
+HREF = r"""(?i)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def page_links(pages: DataFrame, *keep: str) -> DataFrame:
-    """Every anchor of every page: ``page_id``, kept columns, ``link_no, href``."""
-    pattern = HREF.replace("\\", "\\\\").replace("\\\\'", "\\'")
-    return pages.selectExpr("page_id", *keep, f"posexplode(regexp_extract_all(html, '{pattern}', 1)) as (link_no, href)")
+    """Every anchor of every page: ``page_id``, kept columns, ``link_no, href`` (entities resolved)."""
+    found = pages.select("page_id", *keep, F.posexplode(
+        F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link_no", "_value"))
+    bare = found.withColumn("_value", F.when(
+        F.substring("_value", 1, 1).isin('"', "'"), F.expr("substring(_value, 2, length(_value) - 2)")).otherwise(F.col("_value")))
+    return bare.selectExpr("page_id", *keep, "link_no", f"{unescape('_value')} as href")
 
 
 def resolve(protocol: str, auth: str, path: str, query: str, href: str) -> str:

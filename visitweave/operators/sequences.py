@@ -16,6 +16,7 @@ from visitweave.functions.arrays import one_hot, pad_left
 from visitweave.operators import grouped, labels, transfers
 from visitweave.operators.grouped import HotGroups, Running
 from visitweave.sources import visits as V
+from visitweave.storage import durable
 
 ORDER = ["ts_ms", "event_id"]
 
@@ -82,7 +83,7 @@ def multi_transfer(events: DataFrame, visit_rows: DataFrame, max_t: int = MAX_T,
     ``hot`` users are found by their events; their visits are about the same events.
     """
     hot = hot or grouped.find_hot(events, ["user_id"])
-    ranked = V.first_visits(visit_rows)
+    ranked = durable(V.first_visits(visit_rows))   # read twice
     # The referrer is joined to the few visits of a user and reaches the events with the rank.
     sent = transfers.referrals(ranked, hot).select("user_id", "visit_rank", "referrer_rank")
     kept = _labelled(events, ranked.join(sent, ["user_id", "visit_rank"]), match, hot, ("referrer_rank",))
@@ -101,7 +102,7 @@ def single_visit(events: DataFrame, visit_rows: DataFrame, max_t: int = VISIT_MA
     candidate.
     """
     hot = hot or grouped.find_hot(events, ["user_id"])
-    ranked = V.first_visits(visit_rows)
+    ranked = durable(V.first_visits(visit_rows))   # read twice
     # At most eight entries per user, in rank order.
     menu = (transfers.referrals(ranked, hot).groupBy("user_id")
             .agg(F.array_sort(F.collect_list(F.struct("visit_rank", "referrer_rank")))["referrer_rank"].alias("_menu")))
