@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitweave.llm.common import small_batches, table
+from visitweave.llm.common import durable, small_batches, table
 from visitweave.llm.registry import query
 
 #: Distinct texts of each language that its counts are taken from, at most.
@@ -142,8 +142,8 @@ def training_texts(docs: DataFrame, most: int = TRAIN_TEXTS) -> DataFrame:
     first = Window.partitionBy("lang").orderBy("h")
     chosen = (known.select("lang", "h").distinct().withColumn("place", F.row_number().over(first))
               .filter(F.col("place") <= most).groupBy("lang").agg(F.max("h").alias("last")))
-    # One row per language.
-    near = known.join(chosen.withColumnRenamed("lang", "_lang"), (known["lang"] == F.col("_lang")) & (F.col("h") <= F.col("last")))
+    # One row per language; stored, Spark knows how small it is and moves no texts for the join.
+    near = known.join(durable(chosen.withColumnRenamed("lang", "_lang")), (known["lang"] == F.col("_lang")) & (F.col("h") <= F.col("last")))
     return near.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
