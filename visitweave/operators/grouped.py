@@ -30,14 +30,16 @@ class HotGroups(NamedTuple):
 
 
 class Running(NamedTuple):
-    """One running value: ``agg`` is ``count``, ``sum`` or ``max``."""
+    """One running value: ``agg`` is ``count``, ``sum``, ``max`` or ``xor``."""
 
     agg: str
     value: Column | None = None
     inclusive: bool = True
 
 
-_AGG = {"count": F.count, "sum": F.sum, "max": F.max}
+_AGG = {"count": F.count, "sum": F.sum, "max": F.max, "xor": F.bit_xor}
+#: How totals of slices add up.
+_TOTAL = {"count": F.sum, "sum": F.sum, "max": F.max, "xor": F.bit_xor}
 
 
 def find_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> HotGroups:
@@ -112,7 +114,7 @@ def _running_sliced(df, keys, order, values, hot):
     # One row per slice of a group, so this window stays small.
     carry = totals.select(
         F.col("_slice").alias("_c_slice"), *[F.col(k).alias(f"_c_{k}") for k in keys],
-        *[(F.max(f"_t_{n}") if r.agg == "max" else F.sum(f"_t_{n}")).over(before).alias(f"_t_{n}")
+        *[_TOTAL[r.agg](f"_t_{n}").over(before).alias(f"_t_{n}")
           for n, r in values.items()])
     local = ranged.select("*", *[
         _over(["_slice", *keys], order, r._replace(value=F.col(f"_v_{n}"))).alias(f"_l_{n}")
@@ -126,6 +128,8 @@ def _running_sliced(df, keys, order, values, hot):
 def _combine(run, local, carried):
     if run.agg == "max":
         return F.greatest(local, carried)
+    if run.agg == "xor":
+        return F.coalesce(F.col(local).bitwiseXOR(F.col(carried)), F.col(local), F.col(carried))
     both = F.coalesce(F.col(local), F.lit(0)) + F.coalesce(F.col(carried), F.lit(0))
     if run.agg == "sum":   # a sum over nothing is null, as in a window
         both = F.when(F.col(local).isNotNull() | F.col(carried).isNotNull(), both)
