@@ -79,3 +79,16 @@ def range_numbers(df: DataFrame, column: str, parts: int) -> DataFrame:
             return (ranged.transform(df.withColumn("_value", F.col(column).cast("double")))
                     .withColumn("_range", F.coalesce(F.col("_range").cast("int"), F.lit(len(splits) - 1))).drop("_value"))
     return df.withColumn("_range", F.col(column).isNull().cast("int"))
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row per key), nulls where there is none.
+
+    ``weight`` is the number of ``rows`` with that key and ``total`` that of all rows.  Keys with
+    more than a thousandth of all rows, of which there are under a thousand, are broadcast; the
+    others meet in an ordinary join, so no task gets all rows of a hot key.  Both should be stored.
+    """
+    hot = facts.filter(F.col(weight) * 1000 > total)
+    hit = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rest.join(facts.filter(F.col(weight) * 1000 <= total), keys, "left").unionByName(hit)
