@@ -7,10 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitweave.llm import (  # noqa: F401  (the modules register their queries)
-    language_id, near_dedup, order_minhash, packing, planes, quality_rules, sharding, speculative_bpe, warc, weak_labels)
+from visitweave.llm import near_dedup, packing, quality_rules, weak_labels
 from visitweave.llm.common import durable, table
-from visitweave.llm.registry import ORACLES, QUERIES
+from visitweave.llm.queries import ORACLES, QUERIES
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
