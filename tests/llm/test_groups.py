@@ -10,6 +10,7 @@ import pytest
 from tests.compare import compare, connection
 from tests.llm.helpers import PROSE, documents, odd_documents, shingle_set, smallest_reachable
 from visitweave.llm import near_dedup as N, order_minhash as O, sharding as S
+from visitweave.llm.common import sift
 from visitweave.llm.components import components
 
 
@@ -58,12 +59,57 @@ def test_near_duplicates_of_odd_documents(spark):
     assert all(got[i].kept and got[i].component_id == i and got[i].n_shingles == 0 for i in (1, 2, 3))
     kept = N.keep(df)
     assert kept.columns == df.columns and N.duplicates(df.limit(0)).count() == 0 and N.keep(df.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 2, 3, 4, 5, 7, 8, 9, 10]
-
-
-def test_rows_with_one_doc_id_leave_one(spark):
-    df = documents(spark, [(1, PROSE), (1, PROSE), (1, "another text")])
-    assert N.keep(df).count() == 1
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
+
+
+def plain_groups(rows, link, width):
+    """Group number of every row by comparing all pairs of rows; none for a row without words."""
+    sets = {i: shingle_set(t, width) for i, (_, t) in enumerate(rows)}
+    return {i: g if sets[i] else None for i, g in smallest_reachable(sets, link).items()}
+
+
+@pytest.mark.parametrize("link, width", [(85, 3), (80, 5)])
+def test_rows_without_and_with_shared_doc_ids(spark, link, width, monkeypatch):
+    near = near_copies(12, 1, 3)
+    rows = [(None, PROSE), (5, PROSE), (6, PROSE), (7, "u " * 9), (7, PROSE + "and so on"), (7, PROSE + "and so on"), (8, near[0]),
+            (8, near[1]), (None, near[2]), (None, near[2]), (9, near[3]), (None, "alone " * 4), (None, "alone " * 4), (None, None),
+            (3, ""), (3, ""), (4, None), (2, "a b c d e f"), (2, "g h i j k l"), (2, "g h i j k l"), (11, near[4])]
+    groups = plain_groups(rows, link, width)
+    named = {}
+    for i, g in groups.items():
+        if g is not None and rows[i][0] is not None:
+            named[g] = min(rows[i][0], named.get(g, rows[i][0]))
+    want = sorted(((d, len(shingle_set(t, width)), d if groups[i] is None else named.get(groups[i])) for i, (d, t) in enumerate(rows)), key=str)
+    df = documents(spark, rows)
+    for listed in (200_000, 1):                       # a list of keys, and a bitmap
+        monkeypatch.setattr("visitweave.llm.common.LISTED", listed)
+        got = N.duplicates(df, link, width).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+        kept = N.keep(df, link, width)
+        assert kept.columns == df.columns
+        rest = [(r.doc_id, r.text) for r in kept.collect()]
+        assert [rest.count(x) for x in set(rest)] == [rows.count(x) if not shingle_set(x[1], width) else 1 for x in set(rest)]
+        assert {x for x in rest if not shingle_set(x[1])} == {r for r in rows if not shingle_set(r[1])}
+        first = {}
+        for i, g in groups.items():
+            if g is not None:
+                order = (rows[i][0] is None, rows[i][0] or 0)
+                first[g] = min(order, first.get(g, order))
+        ids = sorted((d is None, d or 0) for d, t in rest if shingle_set(t, width))
+        assert ids == sorted(first.values())
+        assert {groups[rows.index(x)] for x in rest} - {None} == set(first)
+
+
+def test_sifting_lets_all_wanted_through(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "id * 7 as other")
+    wanted = spark.range(0, 3000, 5).selectExpr("id", "id * 7 as other")
+    for listed in (200_000, 1):
+        monkeypatch.setattr("visitweave.llm.common.LISTED", listed)
+        inside = {r.id for r in sift(rows, wanted, ["id", "other"]).collect()}
+        outside = {r.id for r in sift(rows, wanted, ["id", "other"], inside=False).collect()}
+        assert inside >= set(range(0, 3000, 5)) and len(inside) < 900
+        assert inside | outside == set(range(3000)) and not inside & outside
 
 
 def test_capital_letters_beyond_ascii_are_kept_apart(spark):

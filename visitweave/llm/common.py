@@ -9,6 +9,10 @@ from visitweave.storage import durable, fresh_path, shared_dir  # noqa: F401  (u
 
 #: Documents handed to a Python worker at once.
 BATCH_ROWS = 256
+#: Bytes after which such a batch ends; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 22
+#: Keys that are broadcast as they are, and bits of the bitmap that stands for more of them.
+LISTED, BITMAP_BITS = 200_000, 1 << 28
 #: Fixed value: the characters that separate words (space, tab to carriage return).
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -17,9 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small: a row holds a whole text, which may be very long."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Keep Arrow batches small, in rows and bytes: a row holds a whole text, which may be very long.
+
+    These are session settings and stay set, since a plan reads them when it runs; they only bound memory.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def words_of(text: Column) -> Column:
@@ -92,3 +100,23 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, tota
     hit = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rest.join(facts.filter(F.col(weight) * 1000 <= total), keys, "left").unionByName(hit)
+
+
+def sift(rows: DataFrame, wanted: DataFrame, keys: list[str], inside: bool = True) -> DataFrame:
+    """Rows that may be among ``wanted`` by ``keys`` (all that are, and few others), or those that surely are not.
+
+    Nothing is shuffled.  Up to ``LISTED`` keys are broadcast; more are marked in a bitmap by their hash, which has
+    16 bits for each of them and ``BITMAP_BITS`` (32 MB) at most, so beyond that it lets more through.
+    """
+    number = wanted.count()
+    if number <= LISTED:
+        return rows.join(F.broadcast(wanted.select(*keys)), keys, "left_semi" if inside else "left_anti")
+    bits = min(BITMAP_BITS, 1 << (16 * number - 1).bit_length())
+    place = hash_share(bits, *keys)
+    bitmap = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    marked = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return marked.filter(hit if inside else ~hit).select(*rows.columns)

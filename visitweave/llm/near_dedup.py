@@ -12,8 +12,10 @@ enough shingles in common with others at all, are compared with the other member
 group of near copies never gives all its pairs.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; fewer words
-than a shingle has are one shingle; rows that share a doc_id are one document; an empty table gives an empty
-result; further columns are left alone.
+than a shingle has are one shingle; every row is a document, so texts that share a doc_id are told apart and
+repeated rows are copies; a document without doc_id is linked like others, but names no component while
+another of the group has one (a group of such documents only has a null ``component_id``); an empty table gives
+an empty result; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitweave.llm.common import durable, small_batches, table
+from visitweave.llm.common import attach, durable, sift, small_batches, table
 from visitweave.llm.components import components
 from visitweave.llm.registry import query
 
@@ -112,27 +114,47 @@ def _column(rows, kind):
     return pa.array([x.tolist() for x in rows], pa.list_(kind))
 
 
+#: What tells rows apart, besides doc_id: two hashes of the text.
+TEXT = ["text1", "text2"]
+#: The doc_id of a row, which orders null last.
+KEYS = ["unnamed", "doc_id", *TEXT]
+
+
+def named(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the hashes of the text and whether there is no doc_id."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select("*", *[F.xxhash64(F.lit(i + 1), whole).alias(c) for i, c in enumerate(TEXT)],
+                       F.col("doc_id").isNull().alias("unnamed"))
+
+
 def sketches(docs: DataFrame, rows: int = ROWS, width: int = 3) -> DataFrame:
-    """``doc_id, n_shingles, key, bands, odd``; the key stands for the whole set and is null for an empty one."""
+    """``doc_id, text1, text2, n_shingles, key, bands, odd``; the key stands for the whole set, null for an empty one."""
     small_batches(docs.sparkSession)
 
     def sketch(batches):
         known = _Hashes()
         for batch in batches:
-            sets = [shingles(x, known, width) for x in batch.column(1).to_pylist()]
+            sets = [shingles(x, known, width) for x in batch.column(4).to_pylist()]
             least = [samples(x) for x in sets]
             keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()),
+                [*batch.columns[:4], pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()),
                  _column((bands(x, rows) for x in least), pa.int64()), _column(map(odd_sketch, least), pa.int64())],
-                ["doc_id", "n_shingles", "key", "bands", "odd"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sketch, "doc_id long, n_shingles long, key binary, bands array<long>, odd array<long>")
+                [*KEYS, "n_shingles", "key", "bands", "odd"])
+    return named(docs.select(F.col("doc_id").cast("long"), "text")).select(*KEYS, "text").mapInArrow(
+        sketch, "unnamed boolean, doc_id long, text1 long, text2 long, n_shingles long, key binary, bands array<long>, "
+                "odd array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int = 3) -> DataFrame:
-    """``wanted`` with the full set of each ``node`` as ``items``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted.select("node", "key"), "node")
+    """``wanted(node, doc, text1, text2, key)`` with the full set of each ``node`` as ``items``.
+
+    Rows that are not wanted leave before any text is shuffled; of equal rows one task sends one.
+    """
+    of_row = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), *TEXT, "text"]
+    near = sift(named(docs.select("doc_id", "text")).select(*of_row), wanted, ["doc", *TEXT])
+    texts = near.groupBy("doc", *TEXT).agg(F.first("text").alias("text")).join(
+        wanted.select("node", "key", "doc", *TEXT), ["doc", *TEXT]).select("node", "text", "key")
 
     def sets(batches):
         known = _Hashes()
@@ -183,13 +205,13 @@ def _with_most(open_: DataFrame, sets: DataFrame, link: int) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, link: int = LINK, width: int = 3) -> tuple[DataFrame, DataFrame | None]:
-    """Confirmed links between ``nodes(node, key, n, bands, odd)`` and, if there are any, their components."""
+    """Confirmed links between ``nodes(node, key, doc, text1, text2, n, bands, odd)`` and, if there are any, their components."""
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = durable(spread.join(shared, "bucket"))
     # Who shares most buckets with most others is the likeliest to be linked with them.
     reach = durable(members.groupBy("node").agg(F.sum("size").alias("reach"))
-                    .join(nodes.select("node", "key", "n", "odd", "bands"), "node"))
+                    .join(nodes.select("node", "key", "doc", *TEXT, "n", "odd", "bands"), "node"))
     sets = durable(full_sets(docs, reach, width))
     placed = members.join(reach.select("node", "reach"), "node")
     top = F.max(F.struct("reach", (-F.col("node")).alias("minus")))
@@ -226,27 +248,52 @@ def links(docs: DataFrame, nodes: DataFrame, link: int = LINK, width: int = 3) -
     return every, components(every)
 
 
-def duplicates(docs: DataFrame, link: int = LINK, width: int = 3) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document, by shingles of ``width`` words."""
+def grouped(docs: DataFrame, link: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Documents ``doc_id, text1, text2, n_shingles, key``, and per key ``head``, the first document of its group."""
     drawn = durable(sketches(docs, ROWS if link >= LINK else LOOSE_ROWS, width))
     nodes = durable(drawn.filter("key is not null").groupBy("key").agg(
-        F.min(F.struct("doc_id", "n_shingles", "bands", "odd")).alias("x")).select(
-        F.col("x.doc_id").alias("node"), "key", F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands"),
-        F.col("x.odd").alias("odd")))
+        F.min(F.struct(*KEYS, "n_shingles", "bands", "odd")).alias("x"), F.count(F.lit(1)).alias("copies")).select(
+        F.monotonically_increasing_id().alias("node"), "key", "copies", F.struct(*[f"x.{c}" for c in KEYS]).alias("row"),
+        F.coalesce("x.doc_id", F.lit(-(1 << 63))).alias("doc"), "x.text1", "x.text2", F.col("x.n_shingles").alias("n"),
+        F.col("x.bands").alias("bands"), F.col("x.odd").alias("odd")))
     _, found = links(docs, nodes, link, width)
-    heads = nodes.select("node", "key").join(found, "node", "left").select(
-        "key", F.coalesce("component", "node").alias("component_id"))
-    out = ["doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept")]
-    return (drawn.filter("key is not null").join(heads, "key").select(*out)
+    linked = durable(nodes.select("node", "key", "copies", "row").join(found, "node"))
+    heads = linked.groupBy("component").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("size"))
+    grouped_ = attach(linked, durable(heads), ["component"], "size", linked.count()).select("key", "copies", "head")
+    alone = nodes.join(found, "node", "left_anti").select("key", "copies", F.col("row").alias("head"))
+    return drawn.drop("bands", "odd"), durable(grouped_.union(alone))
+
+
+def duplicates(docs: DataFrame, link: int = LINK, width: int = 3) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document, by shingles of ``width`` words."""
+    drawn, heads = grouped(docs, link, width)
+    placed = attach(drawn.filter("key is not null"), heads, ["key"], "copies", drawn.count())
+    out = ["doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")]
+    return (placed.withColumn("component_id", F.col("head.doc_id")).select(*out)
             .union(drawn.filter("key is null").withColumn("component_id", F.col("doc_id")).select(*out)))
 
 
 def keep(docs: DataFrame, link: int = LINK, width: int = 3) -> DataFrame:
-    """One row of each group of near duplicates, that with the smallest doc_id; columns unchanged."""
-    first = durable(duplicates(docs, link, width)).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(first, docs["doc_id"] == first["_kept"], "left_semi")
-    again = docs.groupBy("doc_id").count().filter("count > 1")
-    return rows if again.isEmpty() else rows.dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates, that with the smallest doc_id; columns unchanged.
+
+    All rows without words stay.  Only rows that leave are looked up, so the others are not shuffled.
+    """
+    drawn, heads = grouped(docs, link, width)
+    row = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.col("text1").alias("_text1"), F.col("text2").alias("_text2")]
+    names = ["_doc", "_text1", "_text2"]
+    placed = attach(drawn.filter("key is not null"), heads, ["key"], "copies", drawn.count())
+    first = F.struct(*KEYS) == F.col("head")
+    left = durable(placed.withColumn("first", first).select(*row, "first").groupBy(*names).agg(
+        F.first("first").alias("first"), F.count(F.lit(1)).alias("times")).filter("not first or times > 1"))
+    marked = docs.select(
+        "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"),
+        *[F.xxhash64(F.lit(i + 1), F.coalesce("text", F.lit(""))).alias(f"_{c}") for i, c in enumerate(TEXT)])
+    stay = sift(marked, left, names, inside=False)
+    # What the sift could not tell: rows that share a place in its bitmap, and the one row to stay of repeated ones.
+    rest = sift(marked, left, names).join(left, names, "left")
+    again = rest.filter("first").dropDuplicates(names)
+    return stay.unionByName(rest.filter("first is null").drop("first", "times")).unionByName(
+        again.drop("first", "times")).select(*docs.columns)
 
 
 OP9_SQL = """
