@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a SQL condition that rejects a document.  On a bounded sample every rule is
+Each rule is a SQL condition that rejects a document.  On a bounded sample of raw texts every rule is
 timed and its rejections are counted; the cascade then asks the rules in the order of
 rejections per second, and a rule is evaluated only for documents that all rules before it
-let through.  The order changes the cost, never the verdict.
+let through.  The words of a text are split once for all rules, so what splitting costs is no rule's
+cost.  The order changes the cost, never the verdict.
 
 Defined results: a null text counts as empty; an empty or blank text has no words and is
 rejected by the word count; repeated rows are judged one by one; an empty table gives an
@@ -13,6 +14,7 @@ empty result; further columns are left alone.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -22,15 +24,20 @@ from pyspark.sql import functions as F
 from visitweave.llm.common import durable, hash_share, let, table, words_of
 from visitweave.llm.registry import query
 
-#: Rows of the sample on which rules are timed, about.
+#: Rows of the sample on which rules are timed, about; twice as many at most.
 SAMPLE_ROWS = 2_000
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]"
 
 
 class Rule(NamedTuple):
+    """A condition, or what makes one of a value that all rules share."""
+
     name: str
-    rejects: Column
+    rejects: Column | Callable[[Column], Column]
+
+    def of(self, value: Column | None) -> Column:
+        return self.rejects if value is None else self.rejects(value)
 
 
 class Estimate(NamedTuple):
@@ -60,8 +67,9 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more.
 
-    Window hashes carry the window's place in their low bits (as many as the text needs);
-    sorting the longs puts equal windows side by side.
+    Window hashes carry the window's place in their low bits (as many as the text needs), so sorting plain
+    longs puts windows side by side that agree in the rest.  Whether such neighbours are equal is told by their words;
+    when they are not, which takes a collision, all windows of that hash are looked at.
     """
     n = F.size(words)
     ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n.cast("long")))) - 1
@@ -71,8 +79,16 @@ def n_repeat_words(words: Column) -> Column:
             F.xxhash64(words[i], words[i + 1], words[i + 2]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))))
 
     def repeated(low, found):
-        near = lambda x, j: (j > 0) & _alike(x, F.get(found, j - 1), low) | F.coalesce(
-            _alike(x, F.get(found, j + 1), low), F.lit(False))
+        place = lambda x: x.bitwiseAND(low).cast("int")
+        same = lambda a, b: (words[a] == words[b]) & (words[a + 1] == words[b + 1]) & (words[a + 2] == words[b + 2])
+        no = F.lit(False)
+
+        def near(x, j):
+            before, after = F.when(j > 0, F.get(found, j - 1)), F.get(found, j + 1)
+            like_before, like_after = (F.coalesce(_alike(x, y, low), no) for y in (before, after))
+            return F.when(~like_before & ~like_after, no).when(like_before & same(place(x), place(before)), True).when(
+                like_after & same(place(x), place(after)), True).otherwise(
+                F.exists(found, lambda y: (y != x) & _alike(x, y, low) & same(place(x), place(y))))
         starts = F.sort_array(F.transform(F.filter(found, near), lambda x: x.bitwiseAND(low)))
         zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("until"))
         step = lambda a, x: F.struct(
@@ -115,35 +131,45 @@ def stat_rules() -> list[Rule]:
 
 
 def text_rules(text: str = "text") -> list[Rule]:
-    """The same rules over the text alone, so that a rule not reached costs nothing."""
+    """The same rules over a text and its words (which they share), so that a rule not reached costs nothing."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    n = lambda: F.size(words_of(whole))
-    chars = lambda: F.length(F.array_join(words_of(whole), ""))
+    chars = lambda w: F.length(F.array_join(w, ""))
     return [
-        Rule("few_words", n() < 50),
-        Rule("repeated_words", let(words_of(whole), lambda w: 100 * n_repeat_words(w) > 50 * F.size(w))),
-        Rule("symbols", 10 * n_symbols(whole) > n()),
-        Rule("word_length", let(words_of(whole), lambda w: (F.length(F.array_join(w, "")) < 2 * F.size(w))
-                                | (F.length(F.array_join(w, "")) > 20 * F.size(w)))),
-        Rule("repeated_lines", 2 * n_dup_lines(whole) > F.size(F.split(whole, "\n"))),
-        Rule("few_letters", 10 * F.length(F.regexp_replace(whole, "[^\\p{L}]", "")) < 5 * chars()),
+        Rule("few_words", lambda w: F.size(w) < 50),
+        Rule("repeated_words", lambda w: 100 * n_repeat_words(w) > 50 * F.size(w)),
+        Rule("symbols", lambda w: 10 * n_symbols(whole) > F.size(w)),
+        Rule("word_length", lambda w: let(chars(w), lambda c: (c < 2 * F.size(w)) | (c > 20 * F.size(w)))),
+        Rule("repeated_lines", lambda w: 2 * n_dup_lines(whole) > F.size(F.split(whole, "\n"))),
+        Rule("few_letters", lambda w: 10 * F.length(F.regexp_replace(whole, "[^\\p{L}]", "")) < 5 * chars(w)),
     ]
 
 
-def estimate(df: DataFrame, rules: list[Rule], by: list[str], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Time and count every rule on a sample of about ``sample_rows`` rows drawn by a hash of ``by``."""
+def shared_words(text: str = "text") -> Column:
+    return words_of(F.col(text))
+
+
+def estimate(df: DataFrame, rules: list[Rule], by: list[str], sample_rows: int = SAMPLE_ROWS,
+             shared: Column | None = None) -> list[Estimate]:
+    """Time and count every rule on a sample of about ``sample_rows`` rows drawn by a hash of ``by``.
+
+    What the shared value costs is timed without any rule and taken off.
+    """
     parts = max(1, df.count() // max(1, sample_rows))
-    sample = durable(df.filter(hash_share(parts, *by) == 0))
+    sample = durable(df.filter(hash_share(parts, *by) == 0).limit(2 * sample_rows))
     rows = sample.count()
 
-    def timed(*columns):
+    def timed(condition):
         start = time.perf_counter()
-        row = sample.agg(*columns).first()
+        row = sample.agg(F.count_if(condition)).first()
         return time.perf_counter() - start, row[0]
-    floor = min(timed(F.count(F.lit(1)))[0] for _ in range(2))
+
+    def whole(rule):
+        return rule.of(None) if shared is None else let(shared, rule.of)
+    nothing = Rule("nothing", F.lit(False) if shared is None else lambda value: F.size(value) < 0)
+    floor = min(timed(whole(nothing))[0] for _ in range(2))
     found = []
     for rule in rules:
-        seconds, rejected = timed(F.count_if(rule.rejects))
+        seconds, rejected = timed(whole(rule))
         found.append(Estimate(rule.name, max(seconds - floor, 1e-4), rejected, rows))
     return found
 
@@ -159,14 +185,21 @@ def rejected(rules: list[Rule]) -> Column:
     return reduce(lambda rest, rule: F.when(rule.rejects, True).otherwise(rest), reversed(rules), F.lit(False))
 
 
-def cascade(docs: DataFrame, rules: list[Rule], by: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> Column:
-    """The verdict of the ordered cascade as a condition over ``docs``: true rejects."""
-    return rejected(ordered(rules, estimate(docs, rules, by or ["doc_id"], sample_rows)))
+def cascade(docs: DataFrame, rules: list[Rule], by: list[str] | None = None, sample_rows: int = SAMPLE_ROWS,
+            shared: Column | None = None) -> Column:
+    """The verdict of the ordered cascade as a condition over ``docs``: true rejects.
+
+    With ``shared``, a value worked out once per row, rules make their conditions of it.
+    """
+    order = ordered(rules, estimate(docs, rules, by or ["doc_id"], sample_rows, shared))
+    if shared is None:
+        return rejected(order)
+    return let(shared, lambda value: rejected([Rule(r.name, r.of(value)) for r in order]))
 
 
 def keep(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of ``docs`` that no rule rejects, columns unchanged."""
-    return docs.filter(~cascade(docs, text_rules(text), sample_rows=sample_rows))
+    return docs.filter(~cascade(docs, text_rules(text), ["doc_id", text], sample_rows, shared_words(text)))
 
 
 OP6_SQL = """
@@ -195,10 +228,8 @@ from b
 def op6_quality_cascade(spark, sf_dir):
     """Counts of every document and the verdict of the cascade."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = max(1, docs.count() // SAMPLE_ROWS)
-    drawn = with_stats(docs.filter(hash_share(parts, "doc_id") == 0))
-    verdict = rejected(ordered(stat_rules(), estimate(drawn, stat_rules(), ["doc_id"])))
+    # The counts are asked for, so the rules compare those; their order is that of the rules over raw texts.
+    order = ordered(stat_rules(), estimate(docs, text_rules(), ["doc_id", "text"], shared=shared_words()))
     return with_stats(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), (~verdict).alias("kept"))
-
+        base_failed().alias("base_failed"), (~rejected(order)).alias("kept"))
