@@ -24,6 +24,21 @@ def test_repeated_words_by_brute_force(spark, text):
     assert Q.with_stats(df).first().n_repeat_words == plain_repeats(text)
 
 
+def test_repeated_words_of_a_very_long_text(spark):
+    one = spark.range(1).selectExpr("0L as doc_id", "array_join(transform(sequence(1, 6000000), x -> hex(x)), ' ') as text")
+    row = Q.with_stats(one).first()
+    assert row.n_words == 6_000_000 and row.n_repeat_words == 0
+    twice = one.selectExpr("doc_id", "concat(text, ' 5 6 7 8') as text")
+    assert Q.with_stats(twice).first().n_repeat_words == 8
+
+
+def test_repeats_when_all_window_hashes_collide(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(Q.F, "xxhash64", lambda *columns: F.lit(1 << 40).cast("long"))
+    for text in ("a b c x a b c", "a b c d e f g", "x y z q x y z w q x y", "a a a a a"):
+        assert documents(spark, [(1, text)]).select(Q.n_repeat_words(Q.words_of(F.col("text"))).alias("n")).first().n == plain_repeats(text)
+
+
 def test_counts_of_odd_documents(spark):
     df = odd_documents(spark)
     for row in Q.with_stats(df).collect():
@@ -55,6 +70,31 @@ def test_later_rules_are_not_evaluated(spark):
     assert df.select(Q.rejected(rules).alias("x")).first().x
 
 
+def test_rules_over_texts_are_asked_only_where_earlier_ones_let_through(spark, sf):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    order = Q.ordered(Q.text_rules(), Q.estimate(docs, Q.text_rules(), ["doc_id"], shared=Q.shared_words()))
+    verdict = Q.let(Q.shared_words(), lambda w: Q.rejected([r._replace(rejects=r.of(w)) for r in order]))
+    alone = docs.select("doc_id", verdict.alias("x"), *[
+        Q.let(Q.shared_words(), r.of).alias(r.name) for r in order]).collect()
+    assert all(r.x == any(r[k.name] for k in order) for r in alone) and any(r.x for r in alone)
+
+    def strict(k):
+        """The rule, which fails where an earlier one rejects."""
+        def rejects(w):
+            earlier = Q.reduce(lambda a, b: a | b, [r.of(w) for r in order[:k]], F.lit(False))
+            return F.when(earlier, F.raise_error(F.lit("asked in vain")).cast("boolean")).otherwise(order[k].of(w))
+        return Q.Rule(order[k].name, rejects)
+    checked = [strict(k) for k in range(len(order))]
+    got = docs.select("doc_id", Q.let(Q.shared_words(), lambda w: Q.rejected([r._replace(rejects=r.of(w)) for r in checked])).alias("x"))
+    assert {(r.doc_id, r.x) for r in got.collect()} == {(r.doc_id, r.x) for r in alone}
+
+
+def test_the_sample_is_bounded_when_all_rows_are_alike(spark):
+    df = documents(spark, [(1, "x y z")] * 500)
+    assert Q.estimate(df, Q.text_rules(), ["doc_id", "text"], 20, Q.shared_words())[0].rows <= 40
+
+
 def test_expectation_maximisation_finds_accuracies():
     draw = np.random.default_rng(3)
     good = draw.random(20_000) < 0.8
@@ -90,3 +130,11 @@ def test_scores_by_brute_force(spark):
     for row in W.score(df, model, scorer).join(df.select("doc_id", "text"), "doc_id").collect():
         at, share = W.features(row.text)
         assert abs(row.score - 1 / (1 + np.exp(-(scorer.weights[at] @ share + scorer.bias)))) < 1e-5
+
+
+def test_the_training_sample_is_bounded_when_texts_are_alike(spark):
+    df = documents(spark, [(i, PROSE if i % 2 else PROSE + f" number {i}") for i in range(3000)])
+    model = W.label_model(df)
+    assert 50 <= len(W.training_rows(df, model, rows=100)) <= 200
+    same = documents(spark, [(1, PROSE)] * 900)
+    assert len(W.training_rows(same, W.label_model(same), rows=100)) <= 200

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from visitweave.llm.common import blocks_for, hash_share, small_batches, table
 from visitweave.llm.registry import query
 
-#: Documents the scorer is trained on, about.
+#: Documents the scorer is trained on, about; twice as many at most.
 TRAIN_ROWS = 4_000
 #: Slots of the hashed word features.
 SLOTS = 1 << 16
@@ -210,20 +210,22 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = TRAIN_S
 
 
 def training_rows(docs: DataFrame, model: LabelModel, text: str = "text", rows: int = TRAIN_ROWS) -> list:
-    """Hashed features and posteriors of about ``rows`` documents, drawn by a hash of their text."""
+    """Hashed features and posteriors of about ``rows`` documents (twice as many at most), drawn by a hash of doc_id and text."""
     parts = blocks_for(docs.count(), rows)
-    sample = docs.select(text).filter(hash_share(parts, text) == 0)
+    sample = docs.select(text, F.xxhash64(F.lit("order"), "doc_id", text).alias("order")).filter(
+        hash_share(parts, "doc_id", text) == 0)
 
     def hashed(batches):
         for batch in batches:
-            texts = [x for x in batch.column(0).to_pylist() if x and x.strip()]
-            if texts:
+            pairs = [(x, k) for x, k in zip(*(c.to_pylist() for c in batch.columns)) if x and x.strip()]
+            if pairs:
+                texts = [x for x, _ in pairs]
                 label = model.posterior(np.array([pattern(x) for x in texts]))
                 found = [features(x) for x in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a.tobytes() for a, _ in found]), pa.array([b.tobytes() for _, b in found]), pa.array(label)],
-                    ["at", "share", "label"])
-    got = sample.mapInArrow(hashed, "at binary, share binary, label double").collect()
+                    [pa.array([a.tobytes() for a, _ in found]), pa.array([b.tobytes() for _, b in found]), pa.array(label),
+                     pa.array([k for _, k in pairs], pa.int64())], ["at", "share", "label", "order"])
+    got = sample.mapInArrow(hashed, "at binary, share binary, label double, order long").orderBy("order").limit(2 * rows).collect()
     got.sort(key=lambda r: (r.label, bytes(r.at), bytes(r.share)))   # sums in one order
     return [(np.frombuffer(r.at, np.int32), np.frombuffer(r.share, np.float32), r.label) for r in got]
 
