@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from queries import fixture as X
 from queries.catalog import query
@@ -11,7 +11,7 @@ from visitweave.functions.arrays import one_hot
 from visitweave.operators import grouped, labels, sequences, split, transfers
 from visitweave.plans.prepare import prepare_events, prepare_visits
 from visitweave.sources import combined, events as E, visits as V
-from visitweave.storage import fresh_path
+from visitweave.storage import durable, fresh_path
 
 
 def _joined(col, field=None):
@@ -82,13 +82,25 @@ def p1_rejects(spark, sf):
     return E.reject_count(X.events(spark, sf).select("user_id", line.alias("payload")))
 
 
+@query("p1_line_counts_in_flight", X.sql("""
+select count(*) n_lines, count(*) filter (where event_type = 'error') n_rejected,
+       count(*) filter (where event_type <> 'error') n_written from ev"""))
+def p1_in_flight(spark, sf):
+    bad = F.when(F.col("event_type") == "error", F.lit("not-a-time")).otherwise(F.col("timestamp").cast("string"))
+    line = F.concat_ws("\t", bad, *[F.lit("")] * 9, F.coalesce("referrer_url", F.lit("")), F.lit(""), "request_url")
+    counts = Observation("lines")
+    written = durable(E.parse_events(X.events(spark, sf).select("user_id", line.alias("payload")), counts=counts))
+    seen = [F.lit(counts.get[c]).cast("long").alias(c) for c in ("n_lines", "n_rejected")]
+    return written.agg(F.count(F.lit(1)).alias("n_written")).select(*seen, "n_written")
+
+
 @query("s1_sequence_file", X.sql("""
 select user_id, ts_ms, "timestamp", request_url, coalesce(referrer_url,'') referrer_url,
        coalesce(prev_url,'') prev_url from ev"""))
 def s1(spark, sf):
     path = fresh_path(spark, "events-seq")
-    payloads(spark, sf, X.hot_users(spark, sf)).rdd.map(lambda r: (r[0], r[1])).saveAsSequenceFile(path)
-    return E.parse_events(E.read_sequence_file(spark, path)).drop("event_id")
+    E.write_sequence_file(payloads(spark, sf, X.hot_users(spark, sf)), path)
+    return E.parse_events(E.read_sequence_file(spark, path, 1 << 20)).drop("event_id")
 
 
 @query("s2_visit_parquet", X.sql("""

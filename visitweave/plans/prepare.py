@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from visitweave.operators import domains, embeddings, grouped, split, urls
@@ -12,11 +12,10 @@ from visitweave.sources import combined, events as E, models, suffixes, visits a
 
 
 def embed(events: DataFrame, rules: suffixes.SuffixRules, root: str, seed: int = 0, literal: bool = False) -> dict[str, str]:
-    """Train and save both embeddings; returns where they are."""
-    paths = {"url": f"{root}/word2vec_url_model", "domain": f"{root}/word2vec_domain_model"}
+    """Train and save both embeddings of ``events`` (with their ``domain``); returns where they are."""
+    paths = {"url": f"{root}/url_embedding", "domain": f"{root}/domain_embedding"}
     models.save_embedding(embeddings.fit(embeddings.url_sentences(events, rules, literal), seed=seed), paths["url"])
-    with_domain = urls.domains(events, "request_url", rules)
-    chains = domains.chains(domains.replace_rare(with_domain))
+    chains = domains.chains(domains.replace_rare(events))
     models.save_embedding(embeddings.fit(chains, "chain", seed=seed), paths["domain"])
     return paths
 
@@ -25,17 +24,21 @@ def prepare_events(spark: SparkSession, payloads: DataFrame, rules: suffixes.Suf
                    keep: str = "flagged", mode: str = "drop", literal: bool = False) -> DataFrame:
     """Parse, filter, embed and featurise: ``(user_id, events)`` per user under the limit.
 
-    Events, URL features and vectors are written once and read back by the later steps; the
-    numbers of lines read and left out are written to ``line_counts``.
+    Events with their domain, URL features and vectors are written once and read back by the later steps.  The
+    payloads are read once: the numbers of lines read and left out, written to ``line_counts``, are
+    counted while they are parsed.
     """
-    parsed = E.standardised(E.parse_events(payloads, mode), rules)
+    counts = Observation("lines")
+    parsed = E.standardised(E.parse_events(payloads, mode, counts), rules)
     parsed.write.mode("overwrite").parquet(f"{root}/parsed_events")
-    E.reject_count(payloads).write.mode("overwrite").parquet(f"{root}/line_counts")
-    kept = E.numbered(E.keep_users(spark.read.parquet(f"{root}/parsed_events"), keep))
+    spark.range(1).select(*[F.lit(counts.get[c]).cast("long").alias(c) for c in ("n_lines", "n_rejected")]).write.mode(
+        "overwrite").parquet(f"{root}/line_counts")
+    users = E.keep_users(spark.read.parquet(f"{root}/parsed_events"), keep)
+    kept = urls.domains(E.numbered(users), "request_url", rules)
     kept.write.mode("overwrite").parquet(f"{root}/events")
     events = spark.read.parquet(f"{root}/events")
     paths = embed(events, rules, root, seed, literal)
-    ids = domains.dictionary(urls.domains(events, "request_url", rules))
+    ids = domains.dictionary(events)
     dim = urls.url_dimension(events, E.URL_COLUMNS, rules).select("url", "domain_or_default", "vector_tokens")
     dim.write.mode("overwrite").parquet(f"{root}/url_dimension")
     features = embeddings.url_features(
@@ -43,7 +46,7 @@ def prepare_events(spark: SparkSession, payloads: DataFrame, rules: suffixes.Suf
         models.load_vectors(spark, paths["domain"]), ids)
     features.write.mode("overwrite").parquet(f"{root}/url_features")
     hot = grouped.find_hot(events, ["user_id"])
-    rows = embeddings.event_features(E.limit_users(events, hot=hot), spark.read.parquet(f"{root}/url_features"))
+    rows = embeddings.event_features(E.limit_users(events.drop("domain"), hot=hot), spark.read.parquet(f"{root}/url_features"))
     columns = ["ts_ms", "event_id", "timestamp", *E.URL_COLUMNS, "request_vec", "href_vec", "prev_vec"]
     # limit_users has bounded every list already.
     return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("events"))

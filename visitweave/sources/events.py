@@ -6,11 +6,12 @@ request_url, referrer_url, prev_url``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from visitweave.config import LIST_ROWS, MAX_USER_EVENTS
 from visitweave.operators import grouped, urls
+from visitweave.sources import sequence_file
 from visitweave.sources.suffixes import SuffixRules
 
 # Tab-separated positions in an event line.
@@ -18,11 +19,18 @@ FIELD = {"timestamp": 0, "referrer_url": 10, "prev_url": 11, "request_url": 12}
 URL_COLUMNS = ["request_url", "referrer_url", "prev_url"]
 
 
-def read_sequence_file(spark: SparkSession, path: str, min_splits: int = 16) -> DataFrame:
-    """``(user_id, payload)`` from a Hadoop SequenceFile of text pairs."""
-    text = "org.apache.hadoop.io.Text"
-    pairs = spark.sparkContext.sequenceFile(path, text, text, minSplits=min_splits)
-    return spark.createDataFrame(pairs, "user_id string, payload string")
+def read_sequence_file(spark: SparkSession, path: str, split_bytes: int = sequence_file.SPLIT_BYTES) -> DataFrame:
+    """``(user_id, payload)`` from SequenceFiles of text pairs."""
+    sequence_file.register(spark)
+    pairs = spark.read.format(sequence_file.FORMAT).option("splitBytes", split_bytes).load(path)
+    return pairs.select(F.col("key").alias("user_id"), F.col("value").alias("payload"))
+
+
+def write_sequence_file(payloads: DataFrame, path: str) -> None:
+    """``(user_id, payload)`` as SequenceFiles in a new folder."""
+    sequence_file.register(payloads.sparkSession)
+    payloads.selectExpr("cast(user_id as string) as key", "payload as value").write.format(
+        sequence_file.FORMAT).mode("append").save(path)
 
 
 def event_lines(payloads: DataFrame) -> DataFrame:
@@ -43,12 +51,21 @@ def _well_formed() -> Column:
             & (tail != ""))
 
 
-def parse_events(payloads: DataFrame, mode: str = "drop") -> DataFrame:
+def line_counts() -> list[Column]:
+    """Lines read and lines that ``mode='drop'`` leaves out."""
+    good = F.coalesce(_well_formed(), F.lit(False))
+    return [F.count(F.lit(1)).alias("n_lines"), F.count_if(~good).alias("n_rejected")]
+
+
+def parse_events(payloads: DataFrame, mode: str = "drop", counts: Observation | None = None) -> DataFrame:
     """Events with URLs as logged.  ``mode='failfast'`` stops at a malformed line.
 
-    ``event_id`` is the place in the record; ``numbered`` makes it unique per user.
+    ``event_id`` is the place in the record; ``numbered`` makes it unique per user.  ``counts``
+    observes the ``line_counts`` in flight and has them after the first action on the result.
     """
     rows = _fields(event_lines(payloads))
+    if counts is not None:
+        rows = rows.observe(counts, *line_counts())
     if mode == "drop":
         rows = rows.filter(_well_formed())
     elif mode == "failfast":
@@ -74,9 +91,7 @@ def numbered(events: DataFrame, hot: grouped.HotGroups | None = None) -> DataFra
 
 def reject_count(payloads: DataFrame) -> DataFrame:
     """Lines read and lines that ``mode='drop'`` leaves out."""
-    good = F.coalesce(_well_formed(), F.lit(False))
-    return _fields(event_lines(payloads)).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(~good).alias("n_rejected"))
+    return _fields(event_lines(payloads)).agg(*line_counts())
 
 
 def standardised(events: DataFrame, rules: SuffixRules) -> DataFrame:
