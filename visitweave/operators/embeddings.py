@@ -133,8 +133,8 @@ def model_rows(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", row.alias("model_row"))
 
 
-def dense(samples: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Lay windows out as ``size`` model rows each, for an external trainer.
+def dense(samples: DataFrame, rows: DataFrame, size: int, width: int = 2 * (2 * VECTOR_SIZE + 1) + 2) -> DataFrame:
+    """Lay windows out as ``size`` model rows of ``width`` numbers each, for an external trainer.
 
     The label slot comes from the window, padding is -1 throughout.
     """
@@ -142,7 +142,6 @@ def dense(samples: DataFrame, rows: DataFrame, size: int) -> DataFrame:
                            F.posexplode("sequence").alias("pos", "item")).select(
         "user_id", "sample_id", "pos", F.col("item.event_id").alias("event_id"), F.col("item.label").alias("mark"))
     wide = items.join(rows, ["user_id", "event_id"], "left")
-    width = 2 * (2 * VECTOR_SIZE + 1) + 2
     filled = F.when(F.col("model_row").isNull(), F.array_repeat(F.lit(-1.0), width)).otherwise(
         F.concat(F.slice("model_row", 1, width - 1), F.array(F.col("mark").cast("double"))))
     return (wide.select("user_id", "sample_id", F.struct("pos", filled.alias("row")).alias("r"))
