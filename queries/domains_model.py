@@ -8,7 +8,7 @@ from queries import fixture as X, url_columns
 from queries.catalog import query
 from queries.labelling import _SPLIT
 from visitweave.config import NO_DOMAIN
-from visitweave.operators import classifier, domains, embeddings, evaluate, labels, sequences, split, stats, urls
+from visitweave.operators import classifier, cooccurrence, domains, embeddings, evaluate, labels, sequences, split, stats, urls
 from visitweave.sources import models, visits as V
 from visitweave.storage import durable, fresh_path
 
@@ -247,6 +247,41 @@ def m2(spark, sf):
     return _vocabulary(embeddings.vector_table(embeddings.fit(chains, "chain", seed=1, size=SIZE)))
 
 
+_PAIRS = _DOM + """
+, walk as (select *, row_number() over (partition by user_id order by ts_ms, event_id)-1 p from d),
+pair as (select a.dom token, b.dom context from walk a join walk b
+      on a.user_id = b.user_id and a.p//1000 = b.p//1000 and b.p <> a.p and b.p between a.p - 5 and a.p + 5),
+pn as (select token, context, count(*) n from pair group by all),
+pm as (select token, sum(n) n from pn group by 1), pt as (select sum(n) n from pn),
+pmis as (select pn.token, pn.context, pn.n, ln(pn.n::double * pt.n::double / (pm.n::double * pk.n::double)) pmi
+      from pn join pm using (token) join pm pk on pk.token = pn.context, pt)
+"""
+
+
+def _chains(spark, sf):
+    return durable(domains.chains(_with_domain(spark, sf), hot=X.hot_users(spark, sf)).select("chain"))
+
+
+@query("m2_cooccurrence_counts", X.sql(_PAIRS + "select token, context, n from pn"))
+def m2_counts(spark, sf):
+    return cooccurrence.pair_counts(_chains(spark, sf), "chain")
+
+
+@query("m2_positive_pmi", X.sql(_PAIRS + "select token, context, n, round(pmi, 6) pmi from pmis where pmi > 0.000001"))
+def m2_pmi(spark, sf):
+    found = cooccurrence.positive_pmi(durable(cooccurrence.pair_counts(_chains(spark, sf), "chain")))
+    return found.filter("pmi > 0.000001").withColumn("pmi", F.round("pmi", 6))
+
+
+@query("m2_cooccurrence_embedding", X.sql(_DOM + f"""
+select dom token, {SIZE} n, true is_normal from d group by dom having count(*) >= 5"""))
+def m2_factors(spark, sf):
+    """Vectors of all domains from their co-occurrences; every vector has finite numbers."""
+    vectors = embeddings.fit(_chains(spark, sf), "chain", seed=1, size=SIZE, method="cooccurrence")
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e6))
+    return vectors.select("token", F.size("vector").alias("n"), finite.alias("is_normal"))
+
+
 @query("s5_s6_embedding_write_read", X.sql(_DOM + f"""
 select dom token, {SIZE} n from d group by dom having count(*) >= 5"""))
 def s5(spark, sf):

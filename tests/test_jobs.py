@@ -10,7 +10,7 @@ from queries import fixture as X
 from queries.labelling import payloads
 from tests.suffix_extract import SUFFIXES
 from visitweave.config import NO_DOMAIN
-from visitweave.operators import classifier, domains, embeddings, evaluate, sequences, split, urls
+from visitweave.operators import classifier, cooccurrence, domains, embeddings, evaluate, sequences, split, urls
 from visitweave.plans import prepare as P, train as T
 from visitweave.sources import combined, events as E, models, suffixes, visits as V
 
@@ -112,6 +112,44 @@ def test_url_vectors(spark):
         assert np.allclose(got[u], np.concatenate([mean, dom, [number]]), rtol=1e-6)
 
 
+def test_planted_neighbours_are_near_each_other(spark):
+    draw = np.random.default_rng(2)
+    topics = [[f"{t}{i}" for i in range(12)] for t in "abc"]
+    rows = [([str(x) for x in draw.choice(topics[i % 3], 15)] + ["often"] * (i % 2),) for i in range(240)] + [(["lonely"],)] * 6
+    df = spark.createDataFrame(rows, "words array<string>")
+    vectors = embeddings.fit(df, seed=3, size=8, method="cooccurrence")
+    found = {r.token: np.array(r.vector) for r in vectors.collect()}
+    assert set(found) == {x for t in topics for x in t} | {"often", "lonely"} and not found["lonely"].any()
+    names = [x for t in topics for x in t]
+    m = np.array([found[x] / np.linalg.norm(found[x]) for x in names])
+    near = m @ m.T - 2 * np.eye(len(names))
+    assert np.mean([names[i][0] == names[j][0] for i, j in enumerate(near.argmax(1))]) > 0.95
+    again = embeddings.fit(df, seed=3, size=8, method="cooccurrence").collect()
+    assert all(np.allclose(found[r.token], r.vector, atol=1e-3) for r in again)
+
+
+def test_pair_counts_by_brute_force(spark):
+    rows = [["a", "b", "a", None, "c"], [], ["a"], list("abcabcabc")]
+    want: dict = {}
+    for words in rows:
+        for i, x in enumerate(words):
+            for j, y in enumerate(words):
+                if i != j and abs(i - j) <= 2 and x and y:
+                    want[x, y] = want.get((x, y), 0) + 1
+    got = cooccurrence.pair_counts(spark.createDataFrame([(x,) for x in rows], "w array<string>"), "w", 2).collect()
+    assert {(r.token, r.context): r.n for r in got} == want
+
+
+def test_a_vocabulary_too_large_for_one_matrix_is_factorised(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(["a", "b", "c"],)] * 6, "words array<string>")
+    monkeypatch.setattr(embeddings, "DRIVER_WEIGHTS", 10)
+    vectors = embeddings.fit(df, size=4)
+    models.save_embedding(vectors, str(tmp_path / "v"))
+    assert {r.token for r in models.load_vectors(spark, str(tmp_path / "v")).collect()} == {"a", "b", "c"}
+    with pytest.raises(ValueError):
+        embeddings.fit(df, method="other")
+
+
 def test_unknown_domain_without_fallback_vector(spark):
     dim = spark.createDataFrame([("q.com",)], "domain string")
     empty = spark.createDataFrame([], "token string, vector array<float>")

@@ -25,3 +25,5 @@ BROADCAST_KEYS = 100_000
 LIST_ROWS = 1000
 # Numbers that one weight matrix of Spark ML's Word2Vec holds at most.
 ML_WEIGHTS = (1 << 31) - 1
+# Numbers of it that a driver is asked to hold; beyond, vectors come from co-occurrence counts.
+DRIVER_WEIGHTS = 100_000_000

@@ -7,9 +7,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitweave.config import LIST_ROWS, MIN_COUNT, ML_WEIGHTS, NO_DOMAIN, URL_TOKENS, VECTOR_SIZE, W2V_ITERATIONS
+from visitweave.config import DRIVER_WEIGHTS, LIST_ROWS, MIN_COUNT, ML_WEIGHTS, NO_DOMAIN, URL_TOKENS, VECTOR_SIZE, W2V_ITERATIONS
 from visitweave.functions.arrays import scale, vector_sum, zeros
-from visitweave.operators import urls
+from visitweave.operators import cooccurrence, urls
 from visitweave.sources.events import URL_COLUMNS, url_rows
 from visitweave.sources.suffixes import SuffixRules
 from visitweave.storage import durable
@@ -32,6 +32,11 @@ def url_sentences(events: DataFrame, rules: SuffixRules, literal: bool = False)
     return tokens.filter(F.size("url_tokens") > 0).select(F.col("url_tokens").alias("words"))
 
 
+def vocabulary_size(tokens: DataFrame, min_count: int) -> int:
+    """How many tokens are seen ``min_count`` times or more."""
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count).count()
+
+
 def check_vocabulary(tokens: DataFrame, min_count: int, most: int) -> None:
     """Raise if more than ``most`` tokens are seen ``min_count`` times or more."""
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
@@ -45,23 +50,34 @@ def check_vocabulary(tokens: DataFrame, min_count: int, most: int) -> None:
 
 
 def fit(sentences: DataFrame, column: str = "words", seed: int = 0, min_count: int = MIN_COUNT,
-        iterations: int = W2V_ITERATIONS, size: int = VECTOR_SIZE, partitions: int | None = None) -> Word2VecModel:
+        iterations: int = W2V_ITERATIONS, size: int = VECTOR_SIZE, partitions: int | None = None,
+        method: str = "auto") -> Word2VecModel | DataFrame:
     """Train on all partitions at once.
 
-    Spark ML keeps one weight matrix, so vocabulary x size is bounded by its own limit; a larger
-    vocabulary is refused with the ``min_count`` that would fit.  Sentences stay distributed.  They are stored first:
-    training reads them several times and deals them out anew, which a recomputed task
-    must not change.
+    ``word2vec`` gives Spark ML's model, which keeps one weight matrix on the driver, so vocabulary x size is
+    bounded; a larger vocabulary is refused with the ``min_count`` that would fit.  ``cooccurrence`` gives a table
+    ``token, vector`` and has no such bound.  ``auto`` is Word2Vec as long as the matrix has at most
+    ``DRIVER_WEIGHTS`` numbers.  Sentences are stored first: training reads them several times and
+    deals them out anew, which a recomputed task must not change.
     """
-    partitions = partitions or sentences.sparkSession.sparkContext.defaultParallelism
     sentences = durable(sentences.select(column))
-    check_vocabulary(sentences.select(F.explode(column).alias("token")), min_count, ML_WEIGHTS // size)
+    tokens = sentences.select(F.explode(column).alias("token"))
+    if method == "auto":
+        method = "word2vec" if vocabulary_size(tokens, min_count) <= DRIVER_WEIGHTS // size else "cooccurrence"
+    if method == "cooccurrence":
+        return cooccurrence.fit(sentences, column, seed, min_count, iterations, size)
+    if method != "word2vec":
+        raise ValueError("method is 'auto', 'word2vec' or 'cooccurrence'")
+    check_vocabulary(tokens, min_count, ML_WEIGHTS // size)
+    partitions = partitions or sentences.sparkSession.sparkContext.defaultParallelism
     return Word2Vec(vectorSize=size, minCount=min_count, maxIter=iterations, seed=seed, inputCol=column,
                     outputCol="vector", numPartitions=partitions, maxSentenceLength=LIST_ROWS).fit(sentences)
 
 
-def vector_table(model: Word2VecModel) -> DataFrame:
+def vector_table(model: Word2VecModel | DataFrame) -> DataFrame:
     """``(token, vector array<float>)``."""
+    if isinstance(model, DataFrame):
+        return model
     return model.getVectors().select(F.col("word").alias("token"),
                                      vector_to_array("vector", "float32").alias("vector"))
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from visitweave.operators.embeddings import vector_table
 
 
-def save_embedding(model: Word2VecModel, path: str) -> None:
-    """The model itself and its vectors as a table."""
-    model.write().overwrite().save(f"{path}/model")
+def save_embedding(model: Word2VecModel | DataFrame, path: str) -> None:
+    """The vectors as a table and, if there is one, the model itself."""
+    if not isinstance(model, DataFrame):
+        model.write().overwrite().save(f"{path}/model")
     vector_table(model).write.mode("overwrite").parquet(f"{path}/vectors")
 
 
