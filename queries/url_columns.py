@@ -8,6 +8,8 @@ from queries import fixture as X
 from queries.catalog import query
 from visitweave.functions.urls import unescape_if_needed
 from visitweave.operators import links, urls
+from visitweave.sources import suffixes
+from visitweave.storage import fresh_path
 
 # The page URLs hold no HTML entity, so the twin leaves unescaping out.
 _PARTS = r"""
@@ -136,6 +138,32 @@ def j8(spark, sf):
     return urls.public_suffix(hosts, "host", X.rules(spark))
 
 
+_LISTED = """// rules in the format of the list
+com
+net
+org
+
+*.example.com  // any label below
+!cheap-pills.example.com
+example.net
+*.org
+"""
+
+
+@query("j8_wildcards_and_exceptions", r"""
+with h as (select page_id, regexp_extract(url, '^https?://(?:www\.)*([^/?#:]*)', 1) host from pages)
+select page_id, host, case when regexp_matches(host, '(^|\.)cheap-pills\.example\.com$') then 2
+    when regexp_matches(host, '[^.]+\.example\.com$') then 3 when regexp_matches(host, '(^|\.)example\.net$') then 2
+    when regexp_matches(host, '[^.]+\.org$') then 2 when regexp_matches(host, '(^|\.)(com|net|org)$') then 1 end suffix_labels
+from h""")
+def j8_kinds(spark, sf):
+    """All kinds of rules, read from a file."""
+    path = fresh_path(spark, "rules")
+    spark.range(1).select(F.explode(F.split(F.lit(_LISTED), "\n")).alias("value")).write.text(path)
+    hosts = _pages(spark, sf).select("page_id", F.regexp_extract("url", r"^https?://(?:www\.)*([^/?#:]*)", 1).alias("host"))
+    return urls.public_suffix(hosts, "host", suffixes.read_suffixes(spark, path))
+
+
 @query("f10_reject_reasons", X.sql("""
 select case when event_type = 'error' then 'blank' when event_type = 'signup' then 'user_info' when event_type = 'purchase'
        then 'no_suffix' else 'ok' end reject_reason, count(*) n_urls from ev group by 1"""))

@@ -1,5 +1,8 @@
 """URL rules on hand-written rows."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +153,29 @@ def test_suffix_file_format(spark, tmp_path):
     assert rules.depth == 2
     listed = suffixes.suffixes(spark, ["com", "*.ck", "!www.ck", "co.uk"])
     assert {tuple(r) for r in listed.frame.collect()} == got and listed.depth == 2
+    assert rules.patterns == listed.patterns
+
+
+def test_compiled_rules_and_joined_rules_agree(spark):
+    draw = random.Random(6)
+    listed = [*SUFFIXES, "a.b.c.uk", "*.q.uk", "!x.q.uk", "co.co", "münchen.de", "*.kawasaki.jp", "!city.kawasaki.jp"]
+    rules = suffixes.suffixes(spark, listed)
+    labels = ["co", "uk", "www", "ck", "com", "a", "b", "c", "q", "x", "bd", "münchen", "de", "kawasaki", "city", "jp", "comx", "github", "io"]
+    names = [".".join(draw.choice(labels) for _ in range(draw.randrange(1, 6))) for _ in range(3000)] + ["", None, ".", "com.", "a..uk"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    one, other = (urls.public_suffix(df, "name", r) for r in (rules, rules._replace(patterns=None)))
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in other.collect()}
+    found = {r.name: r.suffix_labels for r in one.collect()}
+    assert found["com"] == 1 and {v for k, v in found.items() if k and k.endswith(".www.ck")} == {1}
+
+
+def test_a_long_list_of_rules_is_one_small_pattern():
+    names = [f"{a}{b}{c}.jp" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    pattern = suffixes.trie_pattern(names)
+    assert len(pattern) < len("|".join(names)) and pattern.count("k") == 10      # one for each first letter
+    plain = re.compile(f"(?:{pattern})$")
+    assert all(plain.match(n) for n in names) and not plain.match("aku") and not plain.match("akuu.jp")
 
 
 def test_percent_coding(spark):

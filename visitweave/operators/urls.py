@@ -1,8 +1,7 @@
 """URL enrichment: canonical URL, validity, domain levels and tokens as columns.
 
-Everything is a narrow projection.  The public suffix comes from one lookup join per
-name length (two or three for real rule sets) against the rules, which Spark broadcasts
-when their size allows and shuffles otherwise.
+Everything is a narrow projection.  The public suffix comes from rules compiled into a few constant
+patterns; rules too many for that are joined, once per name length.
 """
 
 from __future__ import annotations
@@ -17,6 +16,10 @@ from visitweave.sources.suffixes import SuffixRules
 
 def public_suffix(df: DataFrame, name: str, rules: SuffixRules, out: str = "suffix_labels") -> DataFrame:
     """Number of labels in the longest matching suffix of domain ``name``; null if none."""
+    if rules.patterns is not None:
+        choice = [F.when(F.col(name).rlike(pattern), labels) for pattern, labels in rules.patterns]
+        # One row each: filters on the result, pushed further down, would repeat all that leads to the name.
+        return df.select("*", F.explode_outer(F.array(F.coalesce(*choice, F.lit(None).cast("int")))).alias(out))
     count = rf"size(split({name}, r'\.'))"
     joined = df
     for d in range(1, rules.depth + 1):
