@@ -135,7 +135,7 @@ def a9(spark, sf):
     return evaluate.accuracy(_predictions(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("p15_arg_max", X.sql(_PRED + "select user_id, event_id, predicted from pr"))
+@query("p15_arg_max", X.sql(_PRED + "select user_id, event_id, predicted from pr", "lab"))
 def p15(spark, sf):
     scored = _predictions(spark, sf).select("user_id", "event_id", F.transform(
         F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == F.col("predicted"), 0.5).when(
@@ -422,7 +422,7 @@ def _trained(spark, sf, mode, iterations=5):
 
 
 @query("m4_m6_score_windows", X.sql(f"""
-select user_id, event_id, visit_rank-1 "label", true is_class, 8 n_scores, 1.0::double total from lab where {_SPLIT} = 0"""))
+select user_id, event_id, visit_rank-1 "label", true is_class, 8 n_scores, 1.0::double total from lab where {_SPLIT} = 0""", "lab"))
 def m4(spark, sf):
     samples, model = _trained(spark, sf, "multi-visit")
     total = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 6)

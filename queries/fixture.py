@@ -7,6 +7,8 @@ runs of events on one domain without a gap over two days, cut at 500 page views.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ with b as (
     on p.page_id = (e.user_id*{BLOCK} + e.event_id%{BLOCK}) % (select count(*) from pages)),
 f as (select *, lag(request_url) over w prev_url, lag("domain") over w prev_domain
       from b window w as (partition by user_id order by ts_ms, event_id)),
-ev as (select *, ts_ms/1000.0::double "timestamp",
+ev as materialized (select *, ts_ms/1000.0::double "timestamp",
               case when event_type in ('click','view','purchase') then prev_url end referrer_url from f),
 g as (select *, case when ts_ms - lag(ts_ms) over w <= {GAP_MS} then 0 else 1 end s
       from ev window w as (partition by user_id, "domain" order by ts_ms, event_id)),
@@ -115,9 +117,9 @@ v as (select user_id, "domain", k, part, list(ts_ms order by ts_ms, event_id) ti
              first(case when prev_domain <> "domain" then referrer_url end order by ts_ms, event_id) sending_page,
              first(request_url order by ts_ms, event_id) landing_page
       from i group by all),
-vs as (select *, "domain"||'*' site, timestamps[1] first_ts,
+vs as materialized (select *, "domain"||'*' site, timestamps[1] first_ts,
               row_number() over (partition by user_id order by timestamps[1], "domain") visit_rank from v),
-hit as (select user_id, visit_rank, site, first_ts, unnest(timestamps) ts_ms, unnest(pages) page,
+hit as materialized (select user_id, visit_rank, site, first_ts, unnest(timestamps) ts_ms, unnest(pages) page,
                generate_subscripts(timestamps,1)-1 pos from vs),
 lab as (select e.*, m.visit_rank from ev e join (
           select user_id, ts_ms, max(visit_rank) visit_rank from hit where visit_rank <= 8 group by all) m
@@ -129,5 +131,9 @@ refs as (select a.user_id, a.visit_rank, a.sending_page, coalesce(max(o.visit_ra
 """
 
 
-def sql(body: str) -> str:
-    return SQL + body
+def sql(body: str, upto: str | None = None) -> str:
+    """The fixture's steps (only those up to ``upto``, if named) and a query."""
+    if upto is None:
+        return SQL + body
+    following = re.search(rf"(?m)^{upto} as .*?(?=,\n\w+ as |\Z)", SQL, re.S)
+    return SQL[:following.end()].rstrip() + "\n" + body

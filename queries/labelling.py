@@ -189,12 +189,12 @@ _BAD = """, r as (select *, case when event_type='error' then '-' else request_u
 select user_id, event_id from r where {0} in (select user_id from r where length(u) < 3)"""
 
 
-@query("f1_users_with_short_request", X.sql(_BAD.format("user_id")))
+@query("f1_users_with_short_request", X.sql(_BAD.format("user_id"), "ev"))
 def f1(spark, sf):
     return E.keep_users(_with_bad(spark, sf)).select("user_id", "event_id")
 
 
-@query("f1_users_clean", X.sql(_BAD.format("user_id not")))
+@query("f1_users_clean", X.sql(_BAD.format("user_id not"), "ev"))
 def f1_clean(spark, sf):
     return E.keep_users(_with_bad(spark, sf), "clean").select("user_id", "event_id")
 
@@ -323,7 +323,7 @@ def j1(spark, sf):
                                        F.sum(F.size("visits")).alias("n_visits"))
 
 
-@query("j2_f5_visit_labels", X.sql("select user_id, event_id, visit_rank from lab"))
+@query("j2_f5_visit_labels", X.sql("select user_id, event_id, visit_rank from lab", "lab"))
 def j2(spark, sf):
     hot = X.hot_users(spark, sf)
     out = labels.visit_labels(X.page_views(spark, sf), X.visit_rows(spark, sf, hot))
@@ -423,7 +423,7 @@ def l6(spark, sf):
 
 @query("p14_one_hot", X.sql("""
 select user_id, event_id, array_to_string(list_transform(range(8),
-       lambda i: case when i = visit_rank-1 then 1 else 0 end),',') one_hot from lab"""))
+       lambda i: case when i = visit_rank-1 then 1 else 0 end),',') one_hot from lab""", "lab"))
 def p14(spark, sf):
     out = labels.visit_labels(X.page_views(spark, sf), X.visit_rows(spark, sf))
     hot = out.select("user_id", "event_id", one_hot(F.col("visit_rank") - 1, MAX_VISITS).alias("h"))

@@ -1,17 +1,20 @@
-"""The dense feed, inputs from URL vectors, and scoring with a saved model."""
+"""The dense feed, inputs from URL vectors, saved models, and what grows from day to day."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from queries import fixture as X
 from queries.catalog import query
-from queries.domains_model import _EVENT_FEAT, _HREF, DIM, _event_features, _page_lookup, _samples, _trained
+from queries.domains_model import (
+    _DOM, _EVENT_FEAT, _HREF, DIM, _event_features, _page_lookup, _samples, _trained, _with_domain)
 from queries.labelling import _SPLIT
-from visitweave.config import MAX_T, MAX_VISITS
-from visitweave.operators import centroids, classifier, embeddings, labels, sequences
-from visitweave.sources import feed, visits as V
+from visitweave.config import MAX_T, MAX_VISITS, NO_DOMAIN
+from visitweave.operators import centroids, classifier, domains, embeddings, labels, sequences, split, stats
+from visitweave.sources import days, feed, visits as V
 from visitweave.storage import durable, fresh_path
 
 WIDTH = 2 * (2 * DIM + 1) + 2
@@ -182,3 +185,78 @@ def m5_log(spark, sf):
             F.col("loss").between(0, float(np.log(MAX_VISITS))).alias("loss_in_bounds"),
             F.col("accuracy").between(1 / MAX_VISITS, 1).alias("accuracy_in_bounds")))
     return rows[0].unionByName(rows[1])
+
+
+# -- records by day ----------------------------------------------------------------------
+
+_DAY = "strftime(epoch_ms({}::bigint), '%Y-%m-%d')"
+
+
+@query("l3_daily_records", X.sql(f"""
+, dv as (select user_id, {_DAY.format('first_ts')} "day", list(visit_rank order by visit_rank) ranks from vs
+         where visit_rank <= {MAX_VISITS} group by all)
+select e.user_id, e.event_id, {_DAY.format('e.ts_ms')} "day", array_to_string(ranks, ',') visits
+from ev e join dv on dv.user_id = e.user_id and dv."day" = {_DAY.format('e.ts_ms')}"""))
+def l3_daily(spark, sf):
+    """Events and visits in daily tables, one day replaced, joined without a shuffle."""
+    hot = X.hot_users(spark, sf)
+    events = days.with_key(X.page_views(spark, sf).select("user_id", "event_id", "ts_ms"))
+    first = V.first_visits(X.visit_rows(spark, sf, hot)).select("user_id", "visit_rank", F.col("first_ts").alias("ts_ms"))
+    # At most eight entries per user.
+    visits = days.with_key(first).groupBy("user_id", "day", days.KEY).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("visit_rank")), lambda x: x.cast("string")), ",").alias("visits"))
+    names = []
+    for df in (durable(events), durable(visits)):
+        names.append("records_" + uuid4().hex)
+        days.create(df, names[-1], fresh_path(spark, "days"), 8)
+        last = df.agg(F.max("day")).first()[0]
+        days.write(df.withColumn("user_id", F.when(F.col("day") == last, "wrong").otherwise(F.col("user_id"))), names[-1], 8)
+        days.write(df.filter(F.col("day") == last), names[-1], 8)
+    return days.records(spark, *names).select("user_id", "event_id", "day", "visits")
+
+
+# -- what grows from day to day ----------------------------------------------------------
+
+_CUT = "(select median(ts_ms) from ev)"
+
+
+def _halves(spark, sf):
+    """Events with domain, split and day, those before and after the middle of the time."""
+    events = durable(split.with_split(days.with_key(_with_domain(spark, sf).select("user_id", "ts_ms", "domain"))))
+    middle = events.agg(F.median("ts_ms")).first()[0]
+    return events, events.filter(F.col("ts_ms") < middle), events.filter(F.col("ts_ms") >= middle)
+
+
+@query("a3_grown_dictionary", X.sql(_DOM + f"""
+, before as (select distinct dom from d where ts_ms < {_CUT} union select '{NO_DOMAIN}'),
+one as (select dom, row_number() over (order by dom) - 1 domain_id from before),
+two as (select dom, row_number() over (order by dom) - 1 + (select count(*) from one) domain_id
+        from (select distinct dom from d where dom not in (select dom from before)))
+select dom "domain", domain_id from one union all select * from two"""))
+def a3_grown(spark, sf):
+    """A dictionary of the first half of the time, grown by the second."""
+    _, first, second = _halves(spark, sf)
+    return domains.grown(durable(domains.dictionary(first)), second)
+
+
+@query("a11_a12_daily_bitmaps", X.sql(_DOM + f"""
+, e as (select user_id, dom, case when {_SPLIT}=0 then 'test' else 'train' end split from d),
+k as (select 'domain' kind, dom x, split from e union all select 'user', user_id, split from e),
+n as (select kind, x, bool_or(split='train') tr, bool_or(split='test') te from k group by all)
+select kind, count(*) filter (where tr) train, count(*) filter (where te) test, count(*) overall,
+       count(*) filter (where tr and te) "both" from n group by 1"""))
+def a11_bitmaps(spark, sf):
+    """Distinct domains and users: each half of the days adds its bitmaps without reading the other."""
+    path, known = fresh_path(spark, "bitmaps"), None
+    _, first, second = _halves(spark, sf)
+    for part in (first, second):
+        renamed = part.select(F.col("user_id").alias("domain"))
+        ids = {"domain": part.select("domain"), "user": renamed}
+        if known is None:
+            known = {k: durable(domains.dictionary(v)) for k, v in ids.items()}
+        else:
+            known = {k: durable(domains.grown(known[k], v)) for k, v in ids.items()}
+        for kind, column in (("domain", "domain"), ("user", "user_id")):
+            side = known[kind].select(F.col("domain").alias(column), F.col("domain_id").alias("id"))
+            stats.daily_bitmaps(part.join(side, column).select("day", "split", "id"), kind).write.mode("append").parquet(path)
+    return stats.merged_counts(spark.read.parquet(path))

@@ -31,6 +31,17 @@ def dictionary(events: DataFrame, hot: HotGroups | None = None) -> DataFrame:
     return ranked.select("domain", (F.col("_rank") - 1).alias("domain_id"))
 
 
+def grown(old: DataFrame, events: DataFrame, hot: HotGroups | None = None) -> DataFrame:
+    """``old`` (``domain, domain_id``) with the new domains of ``events``, by name behind the last id.
+
+    Ids never change, so what was stored with them stays right.  ``old`` should be stored.
+    """
+    names = durable(events.select("domain").filter("domain is not null").distinct().join(old, "domain", "left_anti"))
+    last = old.agg(F.coalesce(F.max("domain_id"), F.lit(-1))).first()[0]
+    ranked = grouped.position(names, [], ["domain"], "_rank", hot)
+    return old.select("domain", "domain_id").unionByName(ranked.select("domain", (F.col("_rank") + last).alias("domain_id")))
+
+
 def with_domain_id(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Add ``domain_id``, -1 for a domain that is not in the dictionary."""
     return df.join(ids, "domain", "left").select(

@@ -43,3 +43,22 @@ def domain_overlap(events: DataFrame) -> DataFrame:
     both = F.count_if(F.col("tr") & F.col("te"))
     return flags.agg(both.alias("n_both"), F.count_if("te").alias("n_test")).select(
         "n_both", "n_test", F.when(F.col("n_test") > 0, 1 - F.col("n_both") / F.col("n_test")).alias("unseen_share"))
+
+
+def daily_bitmaps(values: DataFrame, kind: str) -> DataFrame:
+    """``kind, day, split, bucket, bits``: which ids (``day, split, id`` rows, small numbers) a day has.
+
+    Exact, a bit per id.  A day's rows are made from that day alone; older ones are not read.
+    """
+    return values.filter("id is not null").groupBy(F.lit(kind).alias("kind"), "day", "split", F.bitmap_bucket_number("id").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+
+
+def merged_counts(bitmaps: DataFrame) -> DataFrame:
+    """``kind, train, test, overall, both``: distinct ids of any number of days, from their bitmaps."""
+    sides = bitmaps.groupBy("kind", "bucket", "split").agg(F.bitmap_or_agg("bits").alias("bits"))
+    part = lambda s: F.coalesce(F.bitmap_count(F.max(F.when(F.col("split") == s, F.col("bits")))), F.lit(0))
+    buckets = sides.groupBy("kind", "bucket").agg(part("train").alias("train"), part("test").alias("test"),
+                                                  F.bitmap_count(F.bitmap_or_agg("bits")).alias("overall"))
+    total = [F.sum(c).alias(c) for c in ("train", "test", "overall")]
+    return buckets.groupBy("kind").agg(*total).withColumn("both", F.col("train") + F.col("test") - F.col("overall"))
