@@ -40,8 +40,14 @@ def plain_length(training, text):
 def test_code_lengths_by_brute_force(spark):
     df = documents(spark, [(i, t, lang) for i, (lang, t) in enumerate(TEXTS)]).select("text", "lang")
     model = L.fit(df)
-    assert model.languages == ["en", "fr"] and np.abs(np.exp2(-model.bits.astype(float)).sum(1) - 1).max() < 1e-5
-    for text in ("the chat", "été", "zebra", "x"):
+    n = len(model.short)
+    assert model.languages == ["en", "fr"]
+    for before in ("the", "xyz", "ét", "ha", ""):
+        # Costs of all symbols after one history: their chances add up to one.
+        start = np.concatenate([[0] * L.ORDER, model.symbol[np.frombuffer(before.encode(), np.uint8)]])[-L.ORDER:]
+        every = [model.cost(np.append(start, x).astype(np.int64)) for x in range(n)]
+        assert np.allclose(np.exp2(-np.array(every)).sum(0), 1)
+    for text in ("the chat", "été", "zebra", "x", "the hat the hat été passé quickly"):
         want = [plain_length([t for lang, t in TEXTS if lang == x], text) for x in model.languages]
         assert np.abs(model.lengths([text])[0] - want).max() < 1e-2
 
@@ -52,6 +58,21 @@ def test_lengths_do_not_depend_on_the_batch(spark):
     assert np.allclose(model.lengths(texts), np.concatenate([model.lengths([t]) for t in texts]))
 
 
+def test_long_texts_are_coded_in_parts(spark, monkeypatch):
+    model = L.fit(documents(spark, [(i, t, lang) for i, (lang, t) in enumerate(TEXTS)]).select("text", "lang"))
+    text = "the chat été " * 40
+    whole = model.lengths([text])
+    monkeypatch.setattr(L, "CODED", 7)
+    assert np.allclose(model.lengths([text]), whole)
+
+
+def test_training_texts_are_those_with_the_smallest_hashes(spark):
+    df = documents(spark, [(i, f"text {i % 700}", "en" if i % 3 else "fr") for i in range(2100)]).select("text", "lang")
+    rows = df.distinct().selectExpr("lang", "text", "xxhash64(text) as h").collect()
+    want = {(lang, r.text) for lang in ("en", "fr") for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.h)[:50]}
+    assert {(r.lang, r.text) for r in L.training_texts(df, 50).collect()} == want
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = L.op1_ppm_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()

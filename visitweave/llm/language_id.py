@@ -26,44 +26,76 @@ from visitweave.llm.registry import query
 
 #: Distinct texts of each language that its counts are taken from, at most.
 TRAIN_TEXTS = 1_500
-#: Contexts of three bytes that the tables keep, the most frequent first.
-CONTEXTS = 24_000
+#: Ranges of hashes out of which a language's texts are chosen, so that no task sorts all of them.
+DRAWS = 64
 ORDER = 3
+#: Bytes that are coded at once.
+CODED = 1 << 20
 UNKNOWN = "und"
 
 
+class Level(NamedTuple):
+    """Contexts of one length: the pairs of context and symbol seen in training, and the contexts.
+
+    ``bits`` is the code length of each pair in every language; in a context that is known, a symbol that no language saw
+    there costs ``escape`` and then what it costs in the shorter context.
+    """
+
+    pairs: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escape: np.ndarray
+
+
 class ByteModel(NamedTuple):
     """Frozen code lengths.
 
     ``symbol`` gives each byte its place in a small alphabet (0 stands for the text's start and
-    for bytes never seen), ``row`` the table row of each three-symbol context, and ``bits`` the
-    code length of every symbol in every row, for every language.
+    for bytes never seen), ``short`` the code length of a symbol after one other, for every language, and ``levels``
+    what was seen after two and three.  Only what was seen is stored.
     """
 
     languages: list[str]
     symbol: np.ndarray
-    row: np.ndarray
-    bits: np.ndarray
+    short: np.ndarray
+    levels: list[Level]
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code length in bits of every text under every language."""
-        data = [x.encode("utf-8", "surrogatepass") for x in texts]
-        sizes = np.array([len(x) for x in data])
-        # Three starting symbols before each text keep contexts inside it.
-        flat = np.frombuffer(b"".join(bytes(ORDER) + x for x in data), np.uint8)
-        begins = np.cumsum(sizes + ORDER) - sizes - ORDER
-        symbols = self.symbol[flat].astype(np.int64)
-        for i in range(ORDER):
-            symbols[begins + i] = 0
-        n = self.bits.shape[1]
-        context = (symbols[:-3] * n + symbols[1:-2]) * n + symbols[2:-1]
-        cost = self.bits[self.row[context], symbols[3:]]
         total = np.zeros((len(texts), len(self.languages)))
-        ends = np.cumsum(sizes + ORDER) - ORDER   # as places in ``cost``
-        for i in np.flatnonzero(sizes):
-            total[i] = cost[ends[i] - sizes[i]:ends[i]].sum(0, dtype=float)
+        for i, text in enumerate(texts):
+            data = np.frombuffer(bytes(ORDER) + text.encode("utf-8", "surrogatepass"), np.uint8)
+            for at in range(0, len(data) - ORDER, CODED):
+                symbols = self.symbol[data[at:at + CODED + ORDER]].astype(np.int64)
+                if at == 0:
+                    symbols[:ORDER] = 0          # the start
+                total[i] += self.cost(symbols)
         return total
 
+    def cost(self, symbols: np.ndarray) -> np.ndarray:
+        """Bits of all symbols but the first three, which are only context."""
+        n = len(self.short)
+        total, last = np.zeros(len(self.languages)), symbols[ORDER:]
+        open_ = np.arange(len(last))
+        for k in range(ORDER, 1, -1):
+            level = self.levels[k - 2]
+            context = np.zeros(len(open_), np.int64)
+            for j in range(k):
+                context = context * n + symbols[ORDER - k + j:][open_]
+            found, at = _places(level.pairs, context * n + last[open_])
+            total += level.bits.T @ np.bincount(at[found], minlength=len(level.bits))
+            open_, context = open_[~found], context[~found]
+            known, at = _places(level.contexts, context)
+            total += level.escape.T @ np.bincount(at[known], minlength=len(level.escape))
+        total += np.einsum("ij,ijl->l", np.bincount(symbols[ORDER - 1:-1][open_] * n + last[open_], minlength=n * n).reshape(n, n), self.short)
+        return total
+
+
+def _places(table_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether values are in a sorted table, and where."""
+    at = np.minimum(np.searchsorted(table_, values), len(table_) - 1)
+    return table_[at] == values, at
+
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, gram, n``: four bytes in a row (as one number, starts as 256), counted in each language."""
@@ -98,8 +130,8 @@ def code_lengths(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, own, escape * open_ / np.where(left > 0, left, 1.0))
 
 
-def build(rows: list[tuple[str, int, int]], contexts: int = CONTEXTS) -> ByteModel | None:
-    """Tables from gram counts; the number of rows kept is bounded by ``contexts``."""
+def build(rows: list[tuple[str, int, int]]) -> ByteModel | None:
+    """Tables from gram counts."""
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
@@ -113,50 +145,67 @@ def build(rows: list[tuple[str, int, int]], contexts: int = CONTEXTS) -> ByteMod
     # Symbol 0 is coded for bytes never seen in training.
     base = np.full((1, size), 1 / (size + 255))
     base[0, 0] = 1 - base[0, 1:].sum()
-    long_ = (parts[0] * size + parts[1]) * size + parts[2]
-    often, at = np.unique(long_, return_inverse=True)
-    weight = np.bincount(at, n)
-    kept = often[np.sort(np.lexsort((often, -weight))[:contexts])]
-    # Rows: contexts of three symbols, then all of two; every history finds its longest context.
-    row = np.tile(len(kept) + np.arange(size * size), size)
-    row[kept] = np.arange(len(kept))
-    bits = np.empty((len(kept) + size * size, size, len(langs)), np.float32)
+    short = np.empty((size, size, len(langs)))
     for i in range(len(langs)):
         own = lang == i
-        p, w = [x[own] for x in parts], n[own]
-        one = code_lengths(np.bincount(p[3], w, size)[None], base)
-        order1 = code_lengths(np.bincount(p[2] * size + p[3], w, size ** 2).reshape(size, size), one)
-        order2 = code_lengths(np.bincount((p[1] * size + p[2]) * size + p[3], w, size ** 3).reshape(size * size, size),
-                              np.tile(order1, (size, 1)))
-        place = np.searchsorted(kept, long_[own])
-        there = (place < len(kept)) & (kept[np.minimum(place, len(kept) - 1)] == long_[own])
-        order3 = np.bincount(place[there] * size + p[3][there], w[there], len(kept) * size).reshape(len(kept), size)
-        bits[:len(kept), :, i] = -np.log2(code_lengths(order3, order2[kept % size ** 2]))
-        bits[len(kept):, :, i] = -np.log2(order2)
-    return ByteModel(langs, symbol[:256], row.astype(np.int32), bits)
+        one = code_lengths(np.bincount(parts[3][own], n[own], size)[None], base)
+        short[:, :, i] = code_lengths(np.bincount(parts[2][own] * size + parts[3][own], n[own], size ** 2).reshape(size, size), one)
+    levels: list[Level] = []
+
+    def chances(k: int, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Chance of symbols after contexts of ``k`` symbols, for every language."""
+        if k == 1:
+            return short[context, last]
+        level = levels[k - 2]
+        out = chances(k - 1, context % size ** (k - 1), last)
+        known, at = _places(level.contexts, context)
+        out = np.where(known[:, None], out * np.exp2(-level.escape[at]), out)
+        found, at = _places(level.pairs, context * size + last)
+        return np.where(found[:, None], np.exp2(-level.bits[at]), out)
+    context = parts[2]
+    for k in (2, 3):
+        context = parts[3 - k] * size ** (k - 1) + context
+        pairs, at = np.unique(context * size + parts[3], return_inverse=True)
+        seen = np.zeros((len(pairs), len(langs)))
+        np.add.at(seen, (at, lang), n)
+        contexts, of = np.unique(pairs // size, return_inverse=True)
+        sums = lambda x: np.stack([np.bincount(of, x[:, i], len(contexts)) for i in range(len(langs))], 1)
+        below = chances(k - 1, pairs // size % size ** (k - 1), pairs % size)
+        total, kinds = sums(seen), sums((seen > 0).astype(float))
+        left = np.maximum(0.0, 1 - sums(np.where(seen > 0, below, 0.0)))       # what the unseen symbols have
+        left[left < 1e-12] = 0.0
+        scale = np.where(total > 0, kinds / np.maximum(1, total + kinds) / np.where(left > 0, left, 1), 1.0)
+        own = seen / np.maximum(1, (total + np.where(left > 0, kinds, 0))[of])
+        levels.append(Level(pairs, -np.log2(np.where(seen > 0, own, scale[of] * below)), contexts, -np.log2(scale)))
+    return ByteModel(langs, symbol[:256], -np.log2(short), levels)
 
 
 def training_texts(docs: DataFrame, most: int = TRAIN_TEXTS) -> DataFrame:
-    """At most ``most`` distinct texts of each language: those with the smallest hashes."""
+    """At most ``most`` distinct texts of each language: those with the smallest hashes.
+
+    They are chosen among the first of each range of hashes, so a language with a third of all texts is sorted by many tasks.
+    """
     known = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = (known.select("lang", "h").distinct().withColumn("place", F.row_number().over(first))
-              .filter(F.col("place") <= most).groupBy("lang").agg(F.max("h").alias("last")))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    drawn = known.select("lang", "h").distinct().withColumn("draw", F.floor(F.col("h").cast("double") / 2.0 ** 64 * DRAWS))
+    first = drawn.withColumn("place", place("lang", "draw")).filter(F.col("place") <= most)
+    # At most ``most`` texts of a range, DRAWS ranges of a language.
+    chosen = first.withColumn("place", place("lang")).filter(F.col("place") <= most).groupBy("lang").agg(F.max("h").alias("last"))
     # One row per language; stored, Spark knows how small it is and moves no texts for the join.
     near = known.join(durable(chosen.withColumnRenamed("lang", "_lang")), (known["lang"] == F.col("_lang")) & (F.col("h") <= F.col("last")))
     return near.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
-def fit(docs: DataFrame, most: int = TRAIN_TEXTS, contexts: int = CONTEXTS) -> ByteModel | None:
+def fit(docs: DataFrame, most: int = TRAIN_TEXTS) -> ByteModel | None:
     """Learn from ``docs(text, lang)``."""
     small_batches(docs.sparkSession)
     rows = count_grams(training_texts(docs, most)).collect()   # as many as the bounded sample has
-    return build(sorted((r.lang, r.gram, r.n) for r in rows), contexts)
+    return build(sorted((r.lang, r.gram, r.n) for r in rows))
 
 
 def predict(docs: DataFrame, model: ByteModel | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits_per_byte`` from ``docs(doc_id, held_out, text)``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)   # as large as CONTEXTS and the alphabet
+    sent = docs.sparkSession.sparkContext.broadcast(model)   # as large as what the sample holds
 
     def name(batches):
         model = sent.value
