@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tests.llm.helpers import documents, odd_documents
+from tests.llm.helpers import PROSE, documents, odd_documents
 from visitweave.llm import packing as P, planes as B, speculative_bpe as S
 from visitweave.llm.common import fresh_path
 from visitweave.llm.token_ids import ChunkEncoder, public_path
@@ -165,6 +165,37 @@ def test_conversations_are_limited_on_all_three(spark, sf):
     assert (sums <= [4096, 16, 1500]).all().all() and len(got) == fits.count()
 
 
+def test_long_conversations_are_cut_and_nothing_is_lost(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", PROSE * (c % 4)) for c in range(40) for t in range(c % 5 + 1)]
+    rows += [(100, 0, "assistant", "word " * 9000), (101, None, None, None), (None, 3, "user", "nobody's"), (None, 4, "assistant", "x")]
+    rows += [(102, t, "assistant", PROSE) for t in range(90)] + [(103, 0, "user", "y " * 3000), (103, 0, "user", "y " * 3000)]
+    turns = spark.createDataFrame([(*r, 1, "p") for r in rows], "conv_id long, turn long, role string, text string, tokens int, part string")
+    limits = {"tokens": 512, "segments": 10, "loss_tokens": 200}
+    got = P.pack_conversations(turns, limits=limits).toPandas()
+    sums = got.groupby("sequence_id")[list(limits)].sum()
+    assert (sums <= list(limits.values())).all().all()
+    want: dict = {}
+    for conv, _, role, text in rows:
+        n = len(plain_ids(LIBRARY, text, 2))
+        a = want.setdefault(conv, [0, 0])
+        a[0] += n
+        a[1] += n * (role == "assistant")
+    found = got.groupby("conv_id", dropna=False)[["tokens", "loss_tokens"]].sum()
+    assert {None if c != c else int(c): [int(x) for x in v] for c, v in zip(found.index, found.to_numpy())} == want
+    ordered = got.sort_values(["sequence_id", "offset"])
+    for _, own in ordered.groupby("sequence_id"):
+        assert own.offset.tolist() == (own.tokens.cumsum() - own.tokens).tolist()
+    assert P.pack_conversations(turns.limit(0)).count() == 0
+
+
+def test_conversations_of_the_table_fill_their_sequences(spark):
+    got = P.packed_conversations(spark, "/root/testdata/sf0.01").toPandas()
+    assert got.conv_id.nunique() == 100 and (got.part == "0").mean() > 0.5
+    sums = got.groupby("sequence_id")[list(P.DIALOGUE_LIMITS)].sum() / list(P.DIALOGUE_LIMITS.values())
+    assert sums.max(axis=None) <= 1 and (sums.max(axis=1) > 0.8).mean() > 0.8      # some limit is nearly reached
+    assert (sums > 0.9).any().all()                                              # each of them somewhere
+
+
 @pytest.mark.parametrize("kind", [B.BYTES, B.BITS])
 def test_planes_round_trip(spark, kind):
     df = odd_documents(spark)

@@ -5,9 +5,13 @@ three.  A sequence is filled by taking, among the examples that still fit, the o
 demands have the largest dot product with what remains.  Examples are dealt to blocks of a few
 thousand by a hash; each block is packed by one task.
 
-Defined results: a null text counts as empty and still has its end id; documents over the
-limit are cut; repeated rows are packed as so many examples; an empty table gives an empty
-result; further columns are left out of the digest and kept by ``pack``.
+Conversations are examples too: all turns are tokens, the answers bear loss.  One that is over a limit
+is cut between turns, and a turn that is over a limit inside.
+
+Defined results: a null text counts as empty and still has its end id; documents and conversations over a
+limit are cut; repeated rows are packed as so many examples; rows without doc_id are dealt to blocks by their
+place in the table, those without conv_id are one conversation; a null turn comes first; an empty table gives an
+empty result; further columns are left out of the digest and kept by ``pack``.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from visitweave.llm.common import blocks_for, durable, hash_share, small_batches, table
 from visitweave.llm.registry import query
 from visitweave.llm.token_ids import encoder, public_path
+from visitweave.operators import grouped
+from visitweave.operators.grouped import Running
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -113,28 +119,83 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = SEQUE
     cut = durable(pieces(docs, path or public_path(TOKENIZER), length))
     items = cut.select("*", F.lit(1).cast("long").alias("segments"), (F.col("length") - 1).alias("loss_tokens"))
     limits = {"length": length, "segments": segments, "loss_tokens": length}
-    return pack(items, limits, "length", ["doc_id", "start"]).drop("segments")
+    named = items.withColumn("_row", F.coalesce("doc_id", F.monotonically_increasing_id()))   # stored, so it stays
+    return pack(named, limits, "length", ["_row", "start"]).drop("segments", "_row")
 
 
-def conversation_items(turns: DataFrame, path: str | None = None, answers: str = "assistant") -> DataFrame:
-    """Conversations as examples: all tokens, a segment per turn, and the tokens of the answers bear loss."""
+def counted_turns(turns: DataFrame, path: str | None = None, answers: str = "assistant") -> DataFrame:
+    """``conv_id, turn, row, tokens, loss_tokens``: ids of each turn with its end id; answers bear loss."""
     path = path or public_path(TOKENIZER)
     small_batches(turns.sparkSession)
 
     def count(batches):
         encode = encoder(path)
         for batch in batches:
-            sizes = [len(x) // 4 + 1 for x in encode(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())],
-                                             ["conv_id", "role", "tokens"])
-    counted = turns.select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(
-        count, "conv_id long, role string, tokens long")
-    return counted.groupBy("conv_id").agg(
-        F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"),
-        F.coalesce(F.sum(F.when(F.col("role") == answers, F.col("tokens"))), F.lit(0)).alias("loss_tokens"))
+            sizes = np.array([len(x) // 4 + 1 for x in encode(batch.column(3).to_pylist())], np.int64)
+            loss = np.array([r == answers for r in batch.column(2).to_pylist()], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(sizes * loss)],
+                                             ["conv_id", "turn", "tokens", "loss_tokens"])
+    counted = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(
+        count, "conv_id long, turn long, tokens long, loss_tokens long")
+    return durable(counted.withColumn("row", F.monotonically_increasing_id()))
+
+
+def conversation_items(turns: DataFrame, path: str | None = None, answers: str = "assistant",
+                       limits: dict[str, int] | None = None) -> DataFrame:
+    """Conversations as examples: all tokens, a segment per turn, and the tokens of the answers bear loss.
+
+    With ``limits`` (``tokens, segments, loss_tokens``) those that are over one are cut: a turn into pieces of half a
+    limit at most, and the conversation wherever a running sum passes a multiple of half a limit, so that no
+    part is over any.  ``part`` tells the parts of a conversation apart.
+    """
+    counted = counted_turns(turns, path, answers)
+    sums = [F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum("loss_tokens").alias("loss_tokens")]
+    whole = counted.groupBy("conv_id").agg(*sums)
+    if limits is None:
+        return whole
+    over = F.lit(False)
+    for name, most in limits.items():
+        over = over | (F.col(name) > most)
+    keyed = whole.withColumn("over", over)
+    fits = keyed.filter("not over").drop("over").withColumn("part", F.lit("0"))
+    long_ = keyed.filter("over").select(F.col("conv_id").alias("_conv"))
+    rows = counted.join(long_, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi")
+    half = {name: max(1, most // 2) for name, most in limits.items()}
+    step = min(half["tokens"], half["loss_tokens"])
+    cut = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(step).cast("long"))))
+    n = F.least(F.lit(step), F.col("tokens") - F.col("at"))
+    pieces_ = cut.select("conv_id", F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "row", "at", n.alias("n"),
+                         F.when(F.col("loss_tokens") > 0, n).otherwise(F.lit(0)).alias("l"))
+    order = ["turn", "row", "at"]
+    run = grouped.running(durable(pieces_), ["conv_id"], order, {
+        "tokens_before": Running("sum", F.col("n"), inclusive=False), "place": Running("count"),
+        "loss_before": Running("sum", F.col("l"), inclusive=False)})
+    zero = F.lit(0)
+    steps = [F.floor(F.coalesce("tokens_before", zero) / half["tokens"]), F.floor((F.col("place") - 1) / limits["segments"]),
+             F.floor(F.coalesce("loss_before", zero) / half["loss_tokens"])]
+    parts = run.withColumn("part", F.concat_ws("-", *[x.cast("string") for x in steps])).groupBy("conv_id", "part").agg(
+        F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum("l").alias("loss_tokens"))
+    return fits.unionByName(parts)
+
+
+#: What a training sequence of conversations holds at most: with these all three limits bind.
+DIALOGUE_LIMITS = {"tokens": 6144, "segments": 26, "loss_tokens": 4608}
+
+
+def pack_conversations(turns: DataFrame, path: str | None = None, limits: dict[str, int] | None = None) -> DataFrame:
+    """``conv_id, part, tokens, segments, loss_tokens, sequence_id, offset`` of all conversations."""
+    limits = limits or DIALOGUE_LIMITS
+    items = durable(conversation_items(turns, path, limits=limits))
+    return pack(items, limits, "tokens", ["conv_id", "part"])
 
 
 @query("op2_vector_packing")
 def op2_vector_packing(spark, sf_dir):
     """Every document's pieces and where they lie in the packed sequences."""
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("pack_conversations")
+def packed_conversations(spark, sf_dir):
+    """Every conversation's place in sequences with limits on tokens, turns and answers."""
+    return pack_conversations(table(spark, sf_dir, "conversations"))
