@@ -46,6 +46,14 @@ def test_round_trip(spark, compress, split_bytes):
         assert W.candidates(manifest, split_bytes).count() > len(rows) + manifest.count()
 
 
+@pytest.mark.parametrize("compress", [True, False])
+@pytest.mark.parametrize("n", [65_500, 70_000, 400_000])
+def test_heads_of_any_length(spark, compress, n):
+    df = pages(spark, [(1, "http://x.com/" + "a" * n, "one"), (2, "http://x.com/b", "two"), (3, None, "WARC/1.0\r\nno: head " * 9)])
+    got = W.read_archives(W.write_archives(df, fresh_path(spark, "warc"), compress=compress), 50_000).collect()
+    assert {(r.page_id, r.payload_bytes) for r in got} == {(1, 3), (2, 3), (3, 9 * len("WARC/1.0\r\nno: head "))}
+
+
 def test_small_payloads_are_never_revisits(spark):
     manifest = W.write_archives(pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")]),
                                 fresh_path(spark, "warc"), least=3)

@@ -38,7 +38,8 @@ LEAST_REVISIT_BYTES = 0
 PLAIN_MARK, GZIP_MARK = b"WARC/1.", b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-HEAD_LIMIT = 1 << 16
+#: The end of a record's head is looked for in steps of so many bytes.
+HEAD_STEP = 1 << 16
 CANDIDATE = ("path string, start long, at long, next long, exit long, page_id long, payload_bytes long,"
              " payload_digest string, record_type string, refers_to long")
 STEP = 1 << 18
@@ -158,8 +159,16 @@ def _content(fields: dict[str, str], block: bytes, end: int) -> Record:
 
 
 def _plain_record(window: _Bytes, offset: int) -> Record | None:
-    head, gap, _ = window.at(offset, HEAD_LIMIT).partition(b"\r\n\r\n")
-    fields = _fields(head) if gap else None
+    size, end = HEAD_STEP, -1
+    while True:
+        seen = window.at(offset, size)
+        end = seen.find(b"\r\n\r\n", max(0, end))
+        # The rest of a payload that only begins like a record need not be read.
+        if end >= 0 or len(seen) < size or not re.match(rb"WARC/1\.\d\r\n[^\r\n:]+:", seen):
+            break
+        end, size = size - 3, 2 * size
+    head = seen[:max(0, end)]
+    fields = _fields(head) if end >= 0 else None
     if fields is None:
         return None
     size = int(fields["content-length"])
