@@ -46,8 +46,7 @@ def test_round_trip(spark, compress, split_bytes):
         assert W.candidates(manifest, split_bytes).count() > len(rows) + manifest.count()
 
 
-@pytest.mark.parametrize("compress", [True, False])
-@pytest.mark.parametrize("n", [65_500, 70_000, 400_000])
+@pytest.mark.parametrize("compress, n", [(True, 70_000), (False, 65_500), (False, 400_000)])
 def test_heads_of_any_length(spark, compress, n):
     df = pages(spark, [(1, "http://x.com/" + "a" * n, "one"), (2, "http://x.com/b", "two"), (3, None, "WARC/1.0\r\nno: head " * 9)])
     got = W.read_archives(W.write_archives(df, fresh_path(spark, "warc"), compress=compress), 50_000).collect()
