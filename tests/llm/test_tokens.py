@@ -59,6 +59,37 @@ def test_speculation_gives_what_merging_gives():
             assert decoded.decode() == tokenizer.decode(want.tolist(), skip_special_tokens=False)
 
 
+def test_every_character_has_the_ids_of_the_library():
+    """Newest characters included, which Python's tables don't know: alone, amid a word, and before a mark that moves."""
+    tokenizer, bpe = library(S.TOKENIZER), S.SpeculativeBpe(public_path(S.TOKENIZER), known=0)
+    codes = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and not 0x3400 <= i < 0x9FFF
+             and not 0xAC00 <= i < 0xD7A0 and not 0x20000 <= i < 0x2FA00 and not 0x30000 <= i < 0x31300
+             and not (0x33000 <= i < 0xE0000 and i % 997) and not (i > 0xE1000 and i % 997)]
+    texts = [t for i in codes for t in (f"A{chr(i)}b {chr(i)}", f"e{chr(i)}\u0301X")]
+    for at in range(0, len(texts), 4096):
+        part = texts[at:at + 4096]
+        got = [ids for ids, _ in bpe(part)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert got == want, [t for t, g, w in zip(part, got, want) if g != w][:5]
+
+
+def test_marks_come_from_the_file(tmp_path):
+    import json
+    with open(public_path(S.TOKENIZER), encoding="utf-8") as f:
+        spec = json.load(f)
+    for x, name in zip(spec["added_tokens"], ("[START]", "{END}")):
+        spec["model"]["vocab"][name] = spec["model"]["vocab"].pop(x["content"], x["id"])
+        x["content"] = name
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    from tokenizers import Tokenizer
+    tokenizer, bpe = Tokenizer.from_file(str(path)), S.SpeculativeBpe(str(path))
+    for text in ("a [START]b{END}", "{END}", "[start] x", "<|endoftext|>"):
+        ids, decoded = bpe([text])[0]
+        want = plain_ids(tokenizer, text)
+        assert ids == want.tobytes() and decoded.decode() == tokenizer.decode(want.tolist(), skip_special_tokens=False)
+
+
 def test_greedy_guesses_do_fail_and_are_caught():
     vocabulary = S.SpeculativeBpe(public_path(S.TOKENIZER)).vocabulary
     words = ["".join(random.Random(i).choices("etaoinshrdlu", k=12)) for i in range(2000)]

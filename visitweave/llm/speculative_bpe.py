@@ -5,6 +5,9 @@ gives exactly if every two neighbours are compatible, that is if no merge across
 would have come before the merges that built them.  All neighbours of all new words are tested
 together, as arrays; only words with an incompatible pair are merged exactly.
 
+Stretches with other characters than ASCII are composed, lower-cased and cut into words by the tokenizer's
+own rules, since its Unicode tables are not Python's; their words are guessed, verified and merged as all others.
+
 Defined results: a null text counts as empty and has no ids; the tokenizer's own marks inside a
 text become their ids; repeated rows are encoded one by one; an empty table gives an empty
 result; further columns are left alone.
@@ -15,15 +18,16 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from functools import lru_cache
 from hashlib import sha256
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from visitweave.llm.common import small_batches, table
 from visitweave.llm.registry import query
@@ -179,7 +183,10 @@ class SpeculativeBpe:
         model = spec["model"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.vocabulary = Vocabulary(model["vocab"], pairs, model["end_of_word_suffix"])
+        whole = Tokenizer.from_file(path)
+        self._composed, self._pre_split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self._marks = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self._marks_begin = commonprefix(list(self._marks))
         self._cut_marks = re.compile("(" + "|".join(map(re.escape, sorted(self._marks, key=len, reverse=True))) + ")")
         self._words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(
             "[^\\s", "[^" + WHITE))
@@ -187,21 +194,24 @@ class SpeculativeBpe:
         self._known, self._limit = {}, known
 
     def _chunks(self, text: str) -> list[str]:
-        """Stretches between white space after Unicode composition and lower-casing."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")   # no rule for a final sigma
-        text = text.lower()
+        """Stretches between white space, of plain texts in lower case."""
+        if text.isascii():
+            text = text.lower()
         return _NOT_WHITE.findall(text) if _PYTHON_SPACE.search(text) else text.split()
 
+    def _split(self, chunk: str) -> list[str]:
+        """Words of a chunk, as byte characters."""
+        if chunk.isascii():
+            return [self._spelled(w) for w in self._words.findall(chunk.lower())]
+        return [w for w, _ in self._pre_split(self._composed(chunk))]
+
     def _spelled(self, word: str) -> str:
-        if word.isascii() and word.isprintable():
-            return word
-        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._characters)
+        return word if word.isprintable() else word.translate(self._characters)
 
     def _learn(self, seen: set[str]) -> dict[str, tuple[bytes, bytes]]:
         """Ids and decoded text of each chunk."""
         new = list(seen.difference(self._known))
-        split = [[self._spelled(w) for w in self._words.findall(x)] for x in new]
+        split = [self._split(x) for x in new]
         words = list({w for x in split for w in x})
         ids = dict(zip(words, self.vocabulary.encode(words)))
         text, found = self.vocabulary.text, {}
@@ -218,7 +228,7 @@ class SpeculativeBpe:
         marked = []
         for text in texts:
             text = text or ""
-            pieces = self._cut_marks.split(text) if "<|" in text else [text]
+            pieces = self._cut_marks.split(text) if self._marks and self._marks_begin in text else [text]
             marked.append([x if i % 2 else self._chunks(x) for i, x in enumerate(pieces)])
         known = self._learn({c for pieces in marked for x in pieces[::2] for c in x})
         out = []
