@@ -1,11 +1,15 @@
 """Near duplicates, shards and fingerprints against brute force."""
 
+import itertools
+import math
 import random
+from collections import Counter, defaultdict
 from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.compare import compare, connection
 from tests.llm.helpers import PROSE, documents, odd_documents, shingle_set, smallest_reachable
@@ -165,6 +169,72 @@ def test_moves_cut_fewer_links_than_the_start(spark):
     assert got.groupby("key").shard.nunique().mean() < 0.5 * got.groupby("key").start.nunique().mean()
 
 
+def plain_hash(*values):
+    """Strings as UTF-8 and 32-bit numbers, each hashed with the hash of those before it as seed."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(4, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_propagation(units, capacity):
+    """Label propagation unit by unit: ``{(key, start): shard}`` and the number of rounds."""
+    shard, weight = {(k, s): s for k, s, _ in units}, {(k, s): w for k, s, w in units}
+    for number in itertools.count():
+        held, full, largest = Counter(), Counter(), Counter()
+        for (k, s), at in shard.items():
+            w = weight[k, s]
+            held[k, at] += w
+            full[at] += w
+            largest[k] = max(largest[k], w)
+        rank = {(k, at): (n, plain_hash(k, at, number)) for (k, at), n in held.items()}
+        best = {}
+        for (k, at), r in rank.items():
+            if full[at] + largest[k] <= capacity:
+                best[k] = max(best.get(k, (r, at)), (r, at))
+        asked = defaultdict(list)
+        for (k, s), at in shard.items():
+            if k in best and best[k][1] != at and best[k][0] > rank[k, at]:
+                gain = math.floor(2 * math.log2(best[k][0][0] / rank[k, at][0]) + 0.5)
+                asked[best[k][1]].append(((15 - min(15, max(0, gain))) * 256 + plain_hash(k, s, number) % 256, k, s))
+        if not asked:
+            return shard, number
+        moves = []
+        for to, own in asked.items():
+            for step in sorted({x for x, _, _ in own}):
+                if full[to] + sum(weight[k, s] for x, k, s in own if x <= step) <= capacity:
+                    moves += [(k, s, to) for x, k, s in own if x == step]
+        for k, s, to in moves or [(*min(own)[1:], to) for to, own in asked.items()]:
+            shard[k, s] = to
+
+
+@pytest.mark.parametrize("seed, shards, room", [(1, 6, 1.1), (2, 4, 1.02), (3, 24, 3.0)])
+def test_propagation_by_brute_force(spark, seed, shards, room):
+    draw = random.Random(seed)
+    units = [(f"k{i}", s, draw.choice([1, 1, 2, 9])) for i in range(40) for s in range(shards) if draw.random() < 0.4]
+    units += [("hot", s, 60) for s in range(shards)]
+    capacity = room * sum(w for *_, w in units) / shards
+    want, rounds = plain_propagation(units, capacity)
+    got = S.propagate(spark.createDataFrame(units, "key string, start int, weight long"), capacity).collect()
+    assert {(r.key, r.start): r.shard for r in got} == want and rounds > 1
+    # Nothing can move any more.
+    held, full = Counter(), Counter()
+    for r in got:
+        held[r.key, r.shard] += r.weight
+        full[r.shard] += r.weight
+    largest = {k: max(w for x, _, w in units if x == k) for k in {k for k, *_ in units}}
+    for (k, at), n in held.items():
+        if full[at] + largest[k] <= capacity:
+            assert all(n <= m for (x, s), m in held.items() if x == k and s != at)
+
+
+def test_one_heavy_step_does_not_end_the_rounds(spark):
+    """All units that ask share a step, and together they are too much for the shard."""
+    units = [("a", 0, 3), *[("a", s, 2) for s in range(1, 9)]]
+    got = S.propagate(spark.createDataFrame(units, "key string, start int, weight long"), 7.0).toPandas()
+    assert got.groupby("shard").weight.sum().max() == 7
+
+
 def test_shards_of_odd_documents(spark):
     df = odd_documents(spark)
     got = S.shard_documents(df).toPandas()

@@ -3,7 +3,7 @@
 Documents that share a key (equal texts) are linked.  Each starts in a shard drawn by a hash;
 the copies of a key in one shard move together, as a unit.  In every round each unit asks for
 the shard with room where its key has most copies, and as many units move as quotas allow:
-shards admit them in order of gain until they are full.  Documents without links then even out the counts,
+shards admit them in order of gain until they are full.  Rounds end when no unit can move any more.  Documents without links then even out the counts,
 so that shards differ by one document at most.
 
 Only counts per key and shard take part in the rounds, so a key with a third of all documents
@@ -16,6 +16,8 @@ alone; with fewer documents than shards some shards stay empty.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +25,28 @@ from visitweave.llm.common import blocks_for, durable, hash_share, numbered, tab
 from visitweave.llm.registry import query
 
 SHARDS = 24
-#: A key fills at most one shard a round, so the most frequent ones need several rounds.
-ROUNDS = 16
 #: Steps of the histograms by which a shard's quota is shared out.
 STEPS = 4_096
 #: Documents numbered by one task, about.
 BUCKET_ROWS = 100_000
 
 
-def propagate(units: DataFrame, capacity: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(units: DataFrame, capacity: float) -> DataFrame:
     """``units(key, start, weight)`` with the ``shard`` each ends in; ``start`` is where it begins.
 
     A shard's quota in a round is its capacity less what it holds.  Requests are admitted by
     gain (copies it joins over copies it leaves), in the steps of a histogram, so no task ever
-    sorts all requests; a step that would pass the quota waits for a later round.
+    sorts all requests; a step that would pass the quota waits for a later round.  If no step fits
+    anywhere, each shard admits its first unit, for which it has room.
+
+    A unit only moves to where its key has at least as many copies, so every move raises the sum of
+    squared copies per key and shard, and the rounds come to an end: then no shard with room has
+    more copies of a key than the shard of any of its units.
     """
     state = durable(units.withColumn("shard", F.col("start")))
     # A shard is worth asking if it has room for any unit of the key.
     largest = durable(units.groupBy("key").agg(F.max("weight").alias("largest")))
-    for number in range(rounds):
+    for number in count():
         held = state.groupBy("key", "shard").agg(F.sum("weight").alias("held"))
         held = durable(held.withColumn("rank", F.struct("held", F.xxhash64("key", "shard", F.lit(number)).alias("tie"))))
         room = state.groupBy(F.col("shard").alias("to")).agg(F.sum("weight").alias("full"))
@@ -52,16 +57,19 @@ def propagate(units: DataFrame, capacity: float, shards: int = SHARDS, rounds: i
         asked = durable(state.join(held, ["key", "shard"]).join(wanted, "key").filter("shard <> to and there > rank")
                         .withColumn("step", _step(F.col("there.held") / F.col("held"), number)))
         if asked.isEmpty():
-            break
+            return state
         up_to = Window.partitionBy("to").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
         # At most STEPS rows for each shard.
-        steps = (asked.groupBy("to", "step").agg(F.sum("weight").alias("weight"))
-                 .withColumn("total", F.sum("weight").over(up_to)).join(room, "to", "left")
-                 .filter(F.col("total") + F.coalesce("full", F.lit(0)) <= capacity).select("to", "step"))
-        moves = asked.join(steps, ["to", "step"]).select("key", "start", "to")
+        steps = durable(asked.groupBy("to", "step").agg(F.sum("weight").alias("weight"))
+                        .withColumn("total", F.sum("weight").over(up_to)).join(room, "to", "left")
+                        .filter(F.col("total") + F.coalesce("full", F.lit(0)) <= capacity).select("to", "step"))
+        if steps.isEmpty():
+            moves = asked.groupBy("to").agg(F.min(F.struct("step", "key", "start")).alias("one")).select(
+                "one.key", "one.start", "to")
+        else:
+            moves = asked.join(steps, ["to", "step"]).select("key", "start", "to")
         state = durable(state.join(moves, ["key", "start"], "left").select(
             "key", "start", "weight", F.coalesce("to", "shard").alias("shard")))
-    return state
 
 
 def _step(gain: Column, number: int) -> Column:
@@ -107,7 +115,7 @@ def balanced(rows: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_RO
             F.col("_moved") - F.get(listed(starts), "_gap")).alias("slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document (law ``rows``)."""
     data = F.coalesce("text", F.lit("")).cast("binary")
     rows = durable(docs.select(
@@ -116,7 +124,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     linked = rows.filter("key is not null").groupBy("key", "start").agg(F.count(F.lit(1)).alias("weight"))
     whole = linked.groupBy("key").agg(F.sum("weight").alias("copies")).filter("copies > 1")
     units = linked.join(whole, "key")
-    state = propagate(units.select("key", "start", "weight"), rows.count() / shards, shards, rounds)
+    state = propagate(units.select("key", "start", "weight"), rows.count() / shards)
     found = state.join(whole, "key").select("key", "start", "copies", "shard")
     placed = rows.join(found, ["key", "start"], "left").select(
         "doc_id", "size", "text_crc32", "key", F.coalesce("copies", F.lit(1)).alias("copies"),
