@@ -14,7 +14,7 @@ import xxhash
 from tests.compare import compare, connection
 from tests.llm.helpers import PROSE, documents, odd_documents, shingle_set, smallest_reachable
 from visitweave.llm import near_dedup as N, order_minhash as O, sharding as S
-from visitweave.llm.common import sift
+from visitweave.llm.common import range_numbers, ranges_for, sift
 from visitweave.llm.components import components
 
 
@@ -278,7 +278,7 @@ def test_fingerprints_feel_the_order_of_text():
 
 def test_edited_texts_and_next_documents(spark):
     rows = [(10 * i, x) for i, x in enumerate([PROSE * 3, None, "abcde", "", "xy" * 50, "é😀" * 20, PROSE])]
-    got = {r.doc_id: r for r in O.fingerprints(documents(spark, rows[::-1]), range_docs=2).collect()}
+    got = {r.doc_id: r for r in O.fingerprints(documents(spark, rows[::-1]), range_bytes=50).collect()}
     texts = [t or "" for _, t in rows]
     for i, (doc_id, _) in enumerate(rows):
         text, after = texts[i], texts[(i + 1) % len(texts)]
@@ -289,8 +289,17 @@ def test_edited_texts_and_next_documents(spark):
         assert r.near_next == O.likeness(O.fingerprint(text), O.fingerprint(after))
 
 
+def test_ranges_follow_the_bytes_up_to_a_number(spark):
+    df = documents(spark, [(i, "x" * 84) for i in range(200)])
+    assert [ranges_for(df, size) for size in (1 << 24, 10_000, 100)] == [1, 2, 200]
+    assert ranges_for(df, 100, most=7) == 7 and ranges_for(df.limit(0)) == 1
+    assert ranges_for(documents(spark, [(i, None) for i in range(100)]), 100) == 16
+    dealt = range_numbers(df.select("doc_id", "text"), "doc_id", 7).groupBy("_range").count().collect()
+    assert len(dealt) == 7 and max(r["count"] for r in dealt) < 60
+
+
 def test_fingerprints_of_odd_documents(spark):
     df = odd_documents(spark)
-    got = O.fingerprints(df, range_docs=3).collect()
+    got = O.fingerprints(df, range_bytes=100).collect()
     assert len(got) == df.count() and len({r.fingerprint for r in got if r.doc_id in (1, 2)}) == 1
     assert O.fingerprints(df.limit(0)).count() == 0 and O.fingerprints(df.limit(1)).first().near_next == 1.0

@@ -230,7 +230,7 @@ def test_conversations_of_the_table_fill_their_sequences(spark):
 @pytest.mark.parametrize("kind", [B.BYTES, B.BITS])
 def test_planes_round_trip(spark, kind):
     df = odd_documents(spark)
-    manifest = B.write_ids(df, fresh_path(spark, "planes"), kind=kind, block=1000, file_docs=3)
+    manifest = B.write_ids(df, fresh_path(spark, "planes"), kind=kind, block=1000, range_bytes=2000)
     got = sorted(B.read_ids(manifest).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [1, 2, 3, 4, 5, 6, 6, 7, 8, 9, 10, None]
     start, texts = 0, {r.doc_id: r.text for r in df.collect()}
@@ -266,5 +266,22 @@ def test_any_chunk_can_be_read(tmp_path):
 
 def test_ids_of_documents_in_any_order(spark):
     df = documents(spark, [(i, f"text {i}") for i in (30, 10, 20, -5)])
-    got = B.read_ids(B.write_ids(df, fresh_path(spark, "planes"), file_docs=2)).orderBy("start").collect()
+    got = B.read_ids(B.write_ids(df, fresh_path(spark, "planes"), range_bytes=50)).orderBy("start").collect()
     assert [r.doc_id for r in got] == [-5, 10, 20, 30]
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 24, 3000])
+def test_a_range_fills_several_files(spark, range_bytes):
+    rows = [(i, " ".join(f"w{i}" for _ in range(1 + i % 7))) for i in range(300)]
+    manifest = B.write_ids(documents(spark, rows), fresh_path(spark, "planes"), range_bytes=range_bytes, file_ids=100)
+    files = manifest.orderBy("_range", "_file").collect()
+    sizes = [r.n_ids for r in files]
+    ranges = len({r._range for r in files})
+    assert all(100 <= n < 140 for f, n, g in zip(files, sizes, files[1:]) if f._range == g._range) and len(files) > 3 * ranges
+    assert (ranges == 1) == (range_bytes > 3000)
+    got, start = B.read_ids(manifest).orderBy("start").collect(), 0
+    assert [r.doc_id for r in got] == list(range(300)) and sum(sizes) == sum(r.n_tokens for r in got)
+    for r in got:
+        ids = plain_ids(LIBRARY, rows[r.doc_id][1], B.END_ID)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc32(ids.tobytes()))
+        start += len(ids)

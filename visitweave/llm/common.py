@@ -13,6 +13,8 @@ BATCH_ROWS = 256
 BATCH_BYTES = 1 << 22
 #: Keys that are broadcast as they are, and bits of the bitmap that stands for more of them.
 LISTED, BITMAP_BITS = 200_000, 1 << 28
+#: Text in a range of documents, and ranges at most: with more text than fits these, ranges grow and a task sorts more.
+RANGE_BYTES, MOST_RANGES = 1 << 24, 8_192
 #: Fixed value: the characters that separate words (space, tab to carriage return).
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -70,6 +72,12 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, sprea
             .withColumn(name, F.col("_start") + F.col("_own")).drop("_bucket", "_own", "_start"))
 
 
+def ranges_for(docs: DataFrame, size: int = RANGE_BYTES, most: int = MOST_RANGES) -> int:
+    """How many ranges of about ``size`` bytes of text ``docs`` make, ``most`` at most."""
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0]   # rows without text count too
+    return min(most, blocks_for(total or 0, size))
+
+
 def range_numbers(df: DataFrame, column: str, parts: int) -> DataFrame:
     """Add ``_range``, 0 to ``parts - 1`` at most: rows with smaller values get smaller numbers.
 

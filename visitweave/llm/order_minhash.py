@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitweave.llm.common import blocks_for, durable, range_numbers, small_batches, table
+from visitweave.llm.common import RANGE_BYTES, durable, range_numbers, ranges_for, small_batches, table
 from visitweave.llm.registry import query
 
 K, PICKED, ENTRIES = 8, 2, 64     # k is a power of two
-#: Documents of a range of doc_id, about.
-RANGE_DOCS = 4_096
 BLOCK = 4_096
 
 _draw = np.random.default_rng(20240717)
@@ -97,17 +95,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def in_order(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
+def in_order(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``doc_id, text, _range, _next`` sorted within partitions, a range of doc_id in each.
 
     After its documents every range holds the first one of the next range once more, marked
     ``_next`` (after the last range, that of the first).
     """
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = blocks_for(docs.count(), range_docs)
+    parts = ranges_for(own, range_bytes)
     dealt = range_numbers(own, "doc_id", parts).withColumn("_h", F.xxhash64("text")).withColumn("_null", F.col("doc_id").isNull())
     firsts = dealt.groupBy("_range").agg(F.min(F.struct("_null", "doc_id", "_h")).alias("first"))
-    # One row per range, so these windows stay small.
+    # One row per range, of which there are a few thousand at most.
     every, up = Window.partitionBy(), Window.orderBy("_range")
     firsts = durable(firsts.select(
         F.col("_range").alias("_at"), "first",
@@ -119,7 +117,7 @@ def in_order(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
             .sortWithinPartitions("_range", "_next", "_null", "doc_id", "_h").select("doc_id", "text", "_range", "_next"))
 
 
-def fingerprints(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
+def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to the next document's."""
     small_batches(docs.sparkSession)
 
@@ -140,7 +138,7 @@ def fingerprints(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
               " near_edited double, near_next double")
-    return in_order(docs, range_docs).mapInArrow(run, schema)
+    return in_order(docs, range_bytes).mapInArrow(run, schema)
 
 
 def _row(doc_id, text, mark, next_text, next_mark):

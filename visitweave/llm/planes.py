@@ -5,8 +5,8 @@ first bytes (or bits) lie together, then their second ones, and so on; each plan
 with zstandard.  A file ends with the documents' ids and lengths, laid out likewise, an index
 of all chunks, and the place of both, so a reader can go to any chunk.
 
-Documents are dealt to files by ranges of doc_id and lie in ascending order, so the files in
-order hold one sequence of ids.
+Documents are dealt to tasks by ranges of doc_id and lie in ascending order; a task starts a new file
+when one is full.  So the files in order hold one sequence of ids.
 
 Defined results: a null text counts as empty and still has its end id; rows that share a doc_id
 are ordered by a hash of their text; an empty table gives no file and an empty result; further
@@ -24,7 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitweave.llm.common import blocks_for, durable, fresh_path, range_numbers, small_batches, table
+from visitweave.llm.common import (
+    MOST_RANGES, RANGE_BYTES, durable, fresh_path, range_numbers, ranges_for, small_batches, table)
 from visitweave.llm.files import create, new_file, open_file
 from visitweave.llm.registry import query
 from visitweave.llm.token_ids import encoder, public_path
@@ -32,8 +33,8 @@ from visitweave.llm.token_ids import encoder, public_path
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Documents of a file, about.
-FILE_DOCS = 4_096
+#: Ids after which a file ends (256 MB before compression).
+FILE_IDS = 1 << 26
 LEVEL = 3
 MAGIC = b"IDPLANE1"
 BYTES, BITS = 0, 1
@@ -156,46 +157,59 @@ class PlaneReader:
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, kind: int = BYTES,
-              block: int = BLOCK_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
-    """Encode ``docs(doc_id, text)`` to files; returns the stored manifest ``(_range, path, n_docs, n_ids)``."""
+              block: int = BLOCK_IDS, range_bytes: int = RANGE_BYTES, file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode ``docs(doc_id, text)`` to files; returns the stored manifest ``(_range, _file, path, n_docs, n_ids)``.
+
+    A range holds about ``range_bytes`` of text (more if there were too many ranges), a file at most
+    ``file_ids`` ids and the last document's rest.
+    """
     path = path or public_path(TOKENIZER)
     small_batches(docs.sparkSession)
-    parts = blocks_for(docs.count(), file_docs)
+    parts = ranges_for(docs, range_bytes)
     dealt = range_numbers(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", parts)
     rows = (dealt.repartitionById(parts + 1, F.col("_range"))
             .sortWithinPartitions("_range", F.asc_nulls_last("doc_id"), F.xxhash64("text")))
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
-        encode, at, writer, name, n_docs, n_ids = encoder(path), None, None, None, 0, 0
-        done = []
+        encode, writer, at = encoder(path), None, None
         for batch in batches:
+            done = []
             coded = encode(batch.column(1).to_pylist())
             for doc_id, number, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), coded):
-                if number != at:
+                if at is None or number != at[0] or at[4] >= file_ids:
                     if writer:
                         writer.close()
-                        done.append((at, name, n_docs, n_ids))
-                    name, at, n_docs, n_ids = new_file(folder, ".planes"), number, 0, 0
-                    writer = PlaneWriter(create(name), kind, block)
+                        done.append(at)
+                    at = [number, at[1] + 1 if at and at[0] == number else 0, new_file(folder, ".planes"), 0, 0]
+                    writer = PlaneWriter(create(at[2]), kind, block)
                 writer.add(doc_id, ids + end)
-                n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4 + 1
+                at[3], at[4] = at[3] + 1, at[4] + len(ids) // 4 + 1
+            yield _manifest(done)
         if writer:
             writer.close()
-            done.append((at, name, n_docs, n_ids))
-        if done:
-            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), kinds)],
-                                             ["_range", "path", "n_docs", "n_ids"])
-    return durable(rows.mapInArrow(write, "_range int, path string, n_docs long, n_ids long"))
+            yield _manifest([at])
+    return durable(rows.mapInArrow(write, "_range int, _file int, path string, n_docs long, n_ids long"))
+
+
+def _manifest(files: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+    columns = zip(*files) if files else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds)],
+                                      ["_range", "_file", "path", "n_docs", "n_ids"])
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
-    # One row per file, so this window stays small.
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("_range", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    files = manifest.agg(F.max("_range")).first()[0]
+    # One row per range, of which there are a few thousand at most; then the files of each range by themselves.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_range").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
+    ranges = manifest.groupBy("_range").agg(F.sum("n_ids").alias("_ids"), F.count(F.lit(1)).alias("_files")).select(
+        "_range", before("_ids", earlier).alias("_ids"), before("_files", earlier).alias("_files"))
+    starts = manifest.join(ranges, "_range").select(
+        (F.col("_files") + F.col("_file")).alias("_number"), "path", (F.col("_ids") + before("n_ids", within)).alias("first"))
+    tasks = max(1, min(MOST_RANGES, manifest.count()))
 
     def read(batches):
         for batch in batches:
@@ -207,7 +221,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)],
                                                  ["doc_id", "start", "n_tokens", "ids_crc32"])
-    return starts.repartitionById((files or 0) + 1, F.col("_range")).mapInArrow(
+    return starts.repartitionById(tasks, (F.col("_number") % tasks).cast("int")).mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
