@@ -117,18 +117,19 @@ def single_visit(events: DataFrame, visit_rows: DataFrame, max_t: int = VISIT_MA
 
 def _visit_pairs(kept, max_t, hot):
     own = grouped.trailing(kept, ["user_id", "visit_rank"], ORDER, max_t - 1, F.col("event_id"), "_own", hot)
-    pairs = own.select("user_id", "event_id", "ts_ms", F.col("visit_rank").alias("event_visit"), "_own",
-                       F.element_at("_menu", F.col("visit_rank")).alias("_sender"),
-                       F.explode(F.sequence(F.lit(1), F.size("_menu"))).alias("visit_rank"))
-    mine = F.col("event_visit") == F.col("visit_rank")
-    seen = grouped.running(
-        pairs, ["user_id", "visit_rank"], ORDER,
-        {"_seen": Running("max", F.when(mine, F.struct("ts_ms", "event_id", "_own")), inclusive=False)}, hot)
-    before = F.coalesce(F.col("_seen._own"), F.array().cast("array<bigint>"))
-    label = F.when(mine, 0).when(F.col("_sender") == F.col("visit_rank"), 2).otherwise(1)
-    return seen.select("user_id", "visit_rank", "event_id", "ts_ms",
-                       pad_left(F.concat(before, F.array("event_id")), max_t, F.lit(-1).cast("long")).alias("sequence"),
-                       label.alias("label"))
+    # An event is sorted once and gets the latest state of all eight visits; only then it is repeated.
+    last = {f"_v{r}": Running("max", F.when(F.col("visit_rank") == r, F.struct("ts_ms", "event_id", "_own")), inclusive=False)
+            for r in range(1, MAX_VISITS + 1)}
+    seen = grouped.running(own, ["user_id"], ORDER, last, hot)
+    states = F.slice(F.array(*[F.col(f"{v}._own") for v in last]), 1, F.size("_menu"))
+    pairs = seen.select("user_id", "event_id", "ts_ms", F.col("visit_rank").alias("event_visit"), "_menu",
+                        F.posexplode(states).alias("_place", "_before"))
+    before = F.coalesce("_before", F.array().cast("array<bigint>"))
+    rank = F.col("_place") + 1
+    label = F.when(F.col("event_visit") == rank, 0).when(F.element_at("_menu", F.col("event_visit")) == rank, 2).otherwise(1)
+    return pairs.select("user_id", rank.alias("visit_rank"), "event_id", "ts_ms",
+                        pad_left(F.concat(before, F.array("event_id")), max_t, F.lit(-1).cast("long")).alias("sequence"),
+                        label.alias("label"))
 
 
 def learning_set(mode: str):
