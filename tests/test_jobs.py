@@ -1,12 +1,13 @@
 """Sources, embeddings, feed, classifier and the two jobs from end to end."""
 
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from queries import fixture as X
+from queries import fixture as X, jobs
 from queries.labelling import payloads
 from tests.suffix_extract import SUFFIXES
 from visitweave.config import NO_DOMAIN
@@ -293,6 +294,24 @@ def test_other_modes_train(spark, history, mode):
     assert scored.filter(F.size("scores") != 8).count() == 0 and classifier.losses(scored).first().loss > 0
 
 
+def test_shown_rows_and_schema(spark):
+    df = spark.createDataFrame([(2, [1], {"a": 1}, ([("x", 1)],)), (1, [], None, ([],))],
+                               "k int, l array<int>, m map<string,int>, s struct<inner: array<struct<p: string, q: int>>>")
+    got = combined.shown(df, ["k"], 1).orderBy("kind", "place").collect()
+    assert [r.text for r in got] == ['{"k":1,"l":[],"s":{"inner":[]}}', "k int", "l array", "l[] int", "m map<string,int>",
+                                     "s struct", "s.inner array", "s.inner[].p string", "s.inner[].q int"]
+    assert [r.kind for r in combined.shown(df.limit(0), ["k"]).collect()] == ["schema"] * 8
+
+
+def test_job_leaves_a_preview(spark, tmp_path):
+    root, done = jobs._prepared(spark, "/root/testdata/sf0.001")
+    first = spark.read.parquet(f"{root}/preview")
+    rows = [json.loads(r.text) for r in first.filter("kind = 'row'").orderBy("place").collect()]
+    want = [r.user_id for r in done.select("user_id", "part").orderBy("user_id", "part").limit(20).collect()]
+    assert [r["user_id"] for r in rows] == want and all(r["visits"] for r in rows)
+    assert first.filter("kind = 'schema' and text = 'visits[].timestamps[] double'").count() == 1
+
+
 def _double_first():
     return lambda x: np.stack([x[:, 0], 2 * x[:, 0], np.zeros(len(x))], axis=1)
 

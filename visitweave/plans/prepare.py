@@ -66,6 +66,16 @@ def prepare(spark: SparkSession, payloads: DataFrame, visits: DataFrame, rules:
     return combined.read_combined(spark, f"{root}/combined")
 
 
+def job(spark: SparkSession, events: str, visits: str, out: str, suffix_file: str, keep: str = "flagged",
+        mode: str = "drop", seed: int = 0) -> DataFrame:
+    """The whole preparation from files to files; schema and first rows of the records lie in ``preview``."""
+    rules = suffixes.read_suffixes(spark, suffix_file)
+    done = prepare(spark, E.read_sequence_file(spark, events), V.read_visits(spark, visits), rules, out, seed, keep, mode)
+    first = combined.shown(done.select("user_id", "part", "split", "visits"), ["user_id", "part"])
+    first.write.mode("overwrite").parquet(f"{out}/preview")
+    return done
+
+
 def main(argv: list[str] | None = None) -> None:
     args = argparse.ArgumentParser(description="prepare train and test records")
     args.add_argument("events")
@@ -77,9 +87,7 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("--seed", type=int, default=0)
     opt = args.parse_args(argv)
     spark = SparkSession.builder.appName("prepare-visits").getOrCreate()
-    rules = suffixes.read_suffixes(spark, opt.suffixes)
-    done = prepare(spark, E.read_sequence_file(spark, opt.events), V.read_visits(spark, opt.visits), rules,
-                   opt.out, opt.seed, opt.keep, opt.mode)
+    done = job(spark, opt.events, opt.visits, opt.out, opt.suffixes, opt.keep, opt.mode, opt.seed)
     spark.read.parquet(f"{opt.out}/line_counts").show()
     done.printSchema()
     combined.preview(done.select("user_id", "part", "visits")).show(truncate=False)

@@ -48,6 +48,21 @@ def evaluate_model(records: DataFrame, mode: str, model) -> tuple[DataFrame, Dat
     return evaluate.confusion(pairs), evaluate.accuracy(pairs)
 
 
+def train_job(spark: SparkSession, records: str, mode: str, model_path: str, log_path: str, n_epochs: int = 1,
+              seed: int = 0, iterations: int = 50):
+    """Train on the folder of combined records."""
+    learn, test = (combined.read_combined(spark, records, s) for s in ("train", "test"))
+    return train(spark, learn, test, mode, model_path, log_path, n_epochs, seed=seed, iterations=iterations)
+
+
+def evaluate_job(spark: SparkSession, records: str, mode: str, model_path: str, log_path: str) -> DataFrame:
+    """Test a saved model on the folder's test records: writes the confusion cells, returns (accuracy, samples)."""
+    model = models.load_classifier(spark, model_path)
+    cells, total = evaluate_model(combined.read_combined(spark, records, "test"), mode, model)
+    cells.write.mode("overwrite").option("header", True).csv(f"{log_path}.confusion")
+    return total
+
+
 def main(argv: list[str] | None = None) -> None:
     args = argparse.ArgumentParser(description="train or evaluate a window classifier")
     args.add_argument("job", choices=["train", "evaluate"])
@@ -59,14 +74,10 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("--seed", type=int, default=0)
     opt = args.parse_args(argv)
     spark = SparkSession.builder.appName("visit-model").getOrCreate()
-    test = combined.read_combined(spark, opt.records, "test")
     if opt.job == "train":
-        train(spark, combined.read_combined(spark, opt.records, "train"), test, opt.mode, opt.model_path,
-              opt.log_path, opt.epochs, seed=opt.seed)
-        return
-    cells, total = evaluate_model(test, opt.mode, models.load_classifier(spark, opt.model_path))
-    cells.write.mode("overwrite").option("header", True).csv(f"{opt.log_path}.confusion")
-    total.show()
+        train_job(spark, opt.records, opt.mode, opt.model_path, opt.log_path, opt.epochs, opt.seed)
+    else:
+        evaluate_job(spark, opt.records, opt.mode, opt.model_path, opt.log_path).show()
 
 
 if __name__ == "__main__":

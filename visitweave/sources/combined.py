@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def combine(bags: DataFrame, visit_lists: DataFrame) -> DataFrame:
@@ -45,6 +46,29 @@ def visits_of(combined: DataFrame) -> DataFrame:
         "visit_key", F.col("visit_rank"))
 
 
+def schema_rows(df: DataFrame) -> list[str]:
+    """A line for every column and every field inside it: path and type."""
+    def lines(path, kind):
+        yield f"{path} {kind.simpleString() if not isinstance(kind, (StructType, ArrayType)) else kind.typeName()}"
+        if isinstance(kind, ArrayType):
+            path, kind = f"{path}[]", kind.elementType
+            if not isinstance(kind, StructType):
+                yield from lines(path, kind)
+        if isinstance(kind, StructType):
+            for field in kind.fields:
+                yield from lines(f"{path}.{field.name}", field.dataType)
+    return [line for field in df.schema.fields for line in lines(field.name, field.dataType)]
+
+
+def shown(df: DataFrame, order: list[str], n: int = 20) -> DataFrame:
+    """``(kind, place, text)``: the lines of the schema, then the first ``n`` rows as JSON."""
+    columns = df.sparkSession.createDataFrame(
+        [("schema", i, line) for i, line in enumerate(schema_rows(df))], "kind string, place long, text string")
+    first = df.orderBy(*order).limit(n).select(*order, F.to_json(F.struct(*df.columns)).alias("text"))
+    place = F.row_number().over(Window.orderBy(*order)) - 1      # n rows
+    return columns.unionByName(first.select(F.lit("row").alias("kind"), place.cast("long").alias("place"), "text"))
+
+
 def preview(df: DataFrame) -> DataFrame:
     """First row as JSON."""
     return df.limit(1).select(F.to_json(F.struct("*")).alias("json"))
