@@ -196,14 +196,15 @@ o as (
   select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
   from f a, f b, f c, f d, f e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
 s as (
-  select filter_order, step, bits[step] as bit, list_sum(bits[1:step - 1]) as before
+  select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::bigint as before
   from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+g as (
+  select part, list(n order by s) as n, list(good order by s) as good, list(toxic order by s) as toxic from c group by part),
 r as (
-  select p.part, s.filter_order, s.step, s.bit, q.n as kept, p.n - q.n as removed, z.n - y.n - (p.n - q.n) as redundant,
-    u.n - v.n as unique_fails, p.good - q.good as good_lost, p.toxic - q.toxic as toxic_lost
-  from s join c p on p.s = coalesce(s.before, 0) join c q on q.part = p.part and q.s = coalesce(s.before, 0) + s.bit
-  join c z on z.part = p.part and z.s = 0 join c y on y.part = p.part and y.s = s.bit
-  join c u on u.part = p.part and u.s = 31 - s.bit join c v on v.part = p.part and v.s = 31)
+  select part, filter_order, step, bit, n[before + bit + 1] as kept, n[before + 1] - n[before + bit + 1] as removed,
+    n[1] - n[bit + 1] - removed as redundant, n[32 - bit] - n[32] as unique_fails,
+    good[before + 1] - good[before + bit + 1] as good_lost, toxic[before + 1] - toxic[before + bit + 1] as toxic_lost
+  from g, s)
 select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
   (sum(removed) over (partition by part, bit))::bigint as shapley
 from r
