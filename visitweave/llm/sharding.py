@@ -48,26 +48,28 @@ def propagate(units: DataFrame, capacity: float) -> DataFrame:
     largest = durable(units.groupBy("key").agg(F.max("weight").alias("largest")))
     for number in count():
         held = state.groupBy("key", "shard").agg(F.sum("weight").alias("held"))
-        held = durable(held.withColumn("rank", F.struct("held", F.xxhash64("key", "shard", F.lit(number)).alias("tie"))))
+        held = held.withColumn("rank", F.struct("held", F.xxhash64("key", "shard", F.lit(number)).alias("tie")))
         room = state.groupBy(F.col("shard").alias("to")).agg(F.sum("weight").alias("full"))
         wanted = (held.join(room, held["shard"] == room["to"]).join(largest, "key")
                   .filter(F.col("full") + F.col("largest") <= capacity)
                   .groupBy("key").agg(F.max(F.struct("rank", "to")).alias("best"))
                   .select("key", F.col("best.to").alias("to"), F.col("best.rank").alias("there")))
         asked = durable(state.join(held, ["key", "shard"]).join(wanted, "key").filter("shard <> to and there > rank")
-                        .withColumn("step", _step(F.col("there.held") / F.col("held"), number)))
+                        .select("key", "start", "weight", "to", _step(F.col("there.held") / F.col("held"), number).alias("step")))
         if asked.isEmpty():
             return state
         up_to = Window.partitionBy("to").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-        # At most STEPS rows for each shard.
-        steps = durable(asked.groupBy("to", "step").agg(F.sum("weight").alias("weight"))
-                        .withColumn("total", F.sum("weight").over(up_to)).join(room, "to", "left")
-                        .filter(F.col("total") + F.coalesce("full", F.lit(0)) <= capacity).select("to", "step"))
-        if steps.isEmpty():
+        # At most STEPS rows for each shard; totals grow with the step, so a shard admits all steps up to one.
+        steps = asked.groupBy("to", "step").agg(F.sum("weight").alias("weight"))
+        last = (steps.withColumn("total", F.sum("weight").over(up_to)).join(room, "to", "left")
+                .filter(F.col("total") + F.coalesce("full", F.lit(0)) <= capacity)
+                .groupBy("to").agg(F.max("step").alias("last")).collect())   # one row for each shard at most
+        if last:
+            admitted = F.try_element_at(F.create_map(*[F.lit(v) for r in last for v in r]), F.col("to"))
+            moves = asked.filter(F.col("step") <= admitted).select("key", "start", "to")
+        else:
             moves = asked.groupBy("to").agg(F.min(F.struct("step", "key", "start")).alias("one")).select(
                 "one.key", "one.start", "to")
-        else:
-            moves = asked.join(steps, ["to", "step"]).select("key", "start", "to")
         state = durable(state.join(moves, ["key", "start"], "left").select(
             "key", "start", "weight", F.coalesce("to", "shard").alias("shard")))
 
