@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from queries import fixture as X, jobs
 from queries.labelling import payloads
 from tests.suffix_extract import SUFFIXES
+from tests.test_storage import shared_names
 from visitweave.config import NO_DOMAIN
 from visitweave.operators import classifier, cooccurrence, domains, embeddings, evaluate, sequences, split, urls
 from visitweave.plans import prepare as P, train as T
@@ -303,8 +304,21 @@ def test_shown_rows_and_schema(spark):
     assert [r.kind for r in combined.shown(df.limit(0), ["k"]).collect()] == ["schema"] * 8
 
 
-def test_job_leaves_a_preview(spark, tmp_path):
+def test_jobs_leave_a_preview_and_no_intermediate_results(spark, monkeypatch):
+    stored, job = [], P.job
+
+    def watched(*args, **options):
+        stored.append(shared_names(spark))
+        out = job(*args, **options)
+        stored.append(shared_names(spark))
+        return out
+
+    monkeypatch.setattr(P, "job", watched)
     root, done = jobs._prepared(spark, "/root/testdata/sf0.001")
+    place = (f"{root}/combined", "multi-transfer", f"{root}/model", f"{root}/log")
+    T.train_job(spark, *place, iterations=2)
+    assert T.evaluate_job(spark, *place).first().n_samples > 0
+    assert stored == [shared_names(spark)] * 2
     first = spark.read.parquet(f"{root}/preview")
     rows = [json.loads(r.text) for r in first.filter("kind = 'row'").orderBy("place").collect()]
     want = [r.user_id for r in done.select("user_id", "part").orderBy("user_id", "part").limit(20).collect()]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from visitweave.operators import domains, embeddings, grouped, split, urls
 from visitweave.sources import combined, events as E, models, suffixes, visits as V
+from visitweave.storage import scratch
 
 
 def embed(events: DataFrame, rules: suffixes.SuffixRules, root: str, seed: int = 0, literal: bool = False) -> dict[str, str]:
@@ -68,11 +69,15 @@ def prepare(spark: SparkSession, payloads: DataFrame, visits: DataFrame, rules:
 
 def job(spark: SparkSession, events: str, visits: str, out: str, suffix_file: str, keep: str = "flagged",
         mode: str = "drop", seed: int = 0) -> DataFrame:
-    """The whole preparation from files to files; schema and first rows of the records lie in ``preview``."""
-    rules = suffixes.read_suffixes(spark, suffix_file)
-    done = prepare(spark, E.read_sequence_file(spark, events), V.read_visits(spark, visits), rules, out, seed, keep, mode)
-    first = combined.shown(done.select("user_id", "part", "split", "visits"), ["user_id", "part"])
-    first.write.mode("overwrite").parquet(f"{out}/preview")
+    """The whole preparation from files to files; schema and first rows of the records lie in ``preview``.
+
+    Intermediate results outside ``out`` are removed.
+    """
+    with scratch(spark):
+        rules = suffixes.read_suffixes(spark, suffix_file)
+        done = prepare(spark, E.read_sequence_file(spark, events), V.read_visits(spark, visits), rules, out, seed, keep, mode)
+        first = combined.shown(done.select("user_id", "part", "split", "visits"), ["user_id", "part"])
+        first.write.mode("overwrite").parquet(f"{out}/preview")
     return done
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from visitweave.config import TRAIN_FRACTION
 from visitweave.operators import classifier, evaluate, sequences, split
 from visitweave.sources import combined, models
+from visitweave.storage import scratch
 
 
 def samples_of(records: DataFrame, mode: str) -> DataFrame:
@@ -50,17 +51,20 @@ def evaluate_model(records: DataFrame, mode: str, model) -> tuple[DataFrame, Dat
 
 def train_job(spark: SparkSession, records: str, mode: str, model_path: str, log_path: str, n_epochs: int = 1,
               seed: int = 0, iterations: int = 50):
-    """Train on the folder of combined records."""
-    learn, test = (combined.read_combined(spark, records, s) for s in ("train", "test"))
-    return train(spark, learn, test, mode, model_path, log_path, n_epochs, seed=seed, iterations=iterations)
+    """Train on the folder of combined records; intermediate results are removed."""
+    with scratch(spark):
+        learn, test = (combined.read_combined(spark, records, s) for s in ("train", "test"))
+        return train(spark, learn, test, mode, model_path, log_path, n_epochs, seed=seed, iterations=iterations)
 
 
 def evaluate_job(spark: SparkSession, records: str, mode: str, model_path: str, log_path: str) -> DataFrame:
-    """Test a saved model on the folder's test records: writes the confusion cells, returns (accuracy, samples)."""
-    model = models.load_classifier(spark, model_path)
-    cells, total = evaluate_model(combined.read_combined(spark, records, "test"), mode, model)
-    cells.write.mode("overwrite").option("header", True).csv(f"{log_path}.confusion")
-    return total
+    """Test a saved model on the folder's test records: writes the confusion cells and (accuracy, samples), returns the latter."""
+    with scratch(spark):
+        model = models.load_classifier(spark, model_path)
+        cells, total = evaluate_model(combined.read_combined(spark, records, "test"), mode, model)
+        cells.write.mode("overwrite").option("header", True).csv(f"{log_path}.confusion")
+        total.write.mode("overwrite").parquet(f"{log_path}.accuracy")
+    return spark.read.parquet(f"{log_path}.accuracy")
 
 
 def main(argv: list[str] | None = None) -> None:
