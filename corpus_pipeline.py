@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from visitweave.llm import near_dedup, packing, quality_rules, weak_labels
-from visitweave.llm.common import durable, table
+from visitweave.llm.common import table
 from visitweave.llm.queries import ORACLES, QUERIES
+from visitweave.storage import fresh_path, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored as Parquet and read again."""
+    """All stages over ``documents``; each result is stored as Parquet and read again.
+
+    What a stage stored on its way is removed when its result is there.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir))
+        path = fresh_path(spark, "stage")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return docs
 
 
