@@ -1,5 +1,7 @@
 """WARC round trips with traps in payloads, and the pipeline stage by stage."""
 
+import os
+import random
 from base64 import b32encode
 from hashlib import sha1
 from zlib import crc32
@@ -11,7 +13,7 @@ import corpus_pipeline as C
 from tests.llm.helpers import PROSE, documents, odd_documents, shingle_set, smallest_reachable
 from tests.llm.test_tokens import LIBRARY, plain_ids
 from visitweave.llm import packing as P, quality_rules as Q, warc as W, weak_labels as L
-from visitweave.llm.common import fresh_path
+from visitweave.llm.common import fresh_path, shared_dir
 
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: {}\r\n\r\n"
 
@@ -109,7 +111,10 @@ def test_run_is_its_stages(spark):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, sf)
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
     assert sorted(C.run(spark, sf).select(*key).collect()) == sorted(docs.select(*key).collect())
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert len(left) == len(C.STAGES) and all(name.startswith("stage-") for name in left)
 
 
 def test_stages_on_odd_and_no_documents(spark):
@@ -119,6 +124,22 @@ def test_stages_on_odd_and_no_documents(spark):
             assert out.count() <= max(df.count(), 60) and (name == "packing" or out.columns == df.columns)
 
 
+def test_classifier_removes_what_the_rules_leave(spark):
+    """Strings of made-up words pass every rule; the scorer learns from the labellers that they are bad."""
+    draw = random.Random(5)
+    made_up = lambda: "".join(draw.choice("bcdfgklmnprst") + draw.choice("aeiou") for _ in range(draw.randint(2, 5)))
+    junk = [(1_000_000 + i, " ".join(made_up() for _ in range(draw.randint(80, 200)))) for i in range(200)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = docs.unionByName(documents(spark, junk), allowMissingColumns=True).select(docs.columns)
+    left = C.quality_stage(spark, both, "")
+    assert left.filter("doc_id >= 1000000").count() == 200
+    kept = C.classifier_stage(spark, left, "")
+    assert kept.filter("doc_id >= 1000000").count() == 0
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
+    clean = left.join(labels, "doc_id", "left_semi")
+    assert clean.count() > 0 and clean.join(kept, "doc_id", "left_anti").count() == 0
+
+
 def test_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
