@@ -70,10 +70,12 @@ def g3_dense(spark, sf):
     at = 2 * DIM + 1
     steps = F.sequence(F.lit(0), F.lit(MAX_T - 1))
     seconds = F.transform(steps, lambda t: F.floor(F.element_at("x", t * WIDTH + WIDTH - 1)).cast("string"))
-    rows = feed.read(spark, path).join(spark.read.parquet(f"{path}/keys"), ["shard", "place"])
-    return rows.select("user_id", "event_id", "shard", "place", "label", F.size("x").alias("n"),
-                       _slots(at - 1).alias("domains"), _slots(2 * at - 1).alias("hrefs"), _slots(WIDTH - 1).alias("labels"),
-                       F.array_join(seconds, ",").alias("whole_seconds"))
+    # Only what is shown of a window meets the keys.
+    rows = feed.read(spark, path).select(
+        "shard", "place", "label", F.size("x").alias("n"), _slots(at - 1).alias("domains"), _slots(2 * at - 1).alias("hrefs"),
+        _slots(WIDTH - 1).alias("labels"), F.array_join(seconds, ",").alias("whole_seconds"))
+    return feed.with_keys(spark, path, rows).select(
+        "user_id", "event_id", "shard", "place", "label", "n", "domains", "hrefs", "labels", "whole_seconds")
 
 
 @query("m6_saved_model_over_feed", _WINDOWS + f"""
@@ -94,8 +96,9 @@ def m6_saved(spark, sf):
     classifier.save_linear(model, weights.reshape(MAX_VISITS, -1), 0.5 * np.arange(MAX_VISITS))
     scored = classifier.score_feed(feed.read(spark, path), model, MAX_T * WIDTH)
     doubled = F.transform("scores", lambda x: F.round(x * 2).cast("long").cast("string"))
-    return scored.join(spark.read.parquet(f"{path}/keys"), ["shard", "place"]).select(
-        "user_id", "event_id", "label", F.array_join(doubled, ",").alias("scores"), F.col("predicted").cast("int").alias("predicted"))
+    shown = scored.select("shard", "place", "label", F.array_join(doubled, ",").alias("scores"),
+                          F.col("predicted").cast("int").alias("predicted"))
+    return feed.with_keys(spark, path, shown).select("user_id", "event_id", "label", "scores", "predicted")
 
 
 # -- inputs from URL vectors -------------------------------------------------------------

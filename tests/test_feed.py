@@ -100,3 +100,11 @@ def test_centroids_of_visits_by_brute_force(spark, limit):
                 norms = np.linalg.norm(want) * np.linalg.norm(v)
                 cosine = float(np.dot(want, v) / norms) if norms else 0.0
             assert near[user, event][visit - 1] == pytest.approx(cosine)
+
+
+def test_a_feed_meets_its_keys_without_a_broadcast(spark, written):
+    path, labels = written
+    rows = feed.with_keys(spark, path, feed.read(spark, path).select("shard", "place", "label", "x"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.user_id, r.event_id): r.label for r in rows.collect()} == labels

@@ -111,6 +111,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return index.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(load, ROW)
 
 
+def with_keys(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of the feed (``shard, place`` and what was made of ``x``) with the sample that stands there.
+
+    Spark takes what is read from the files for as small as their index and would broadcast all windows; the hint
+    keeps both sides in the shuffle.
+    """
+    return rows.hint("merge").join(spark.read.parquet(f"{path}/keys"), ["shard", "place"])
+
+
 class Feed:
     """The feed for a trainer, without Spark."""
 
