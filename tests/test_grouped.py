@@ -90,3 +90,16 @@ def test_strided_windows(rows, limit, size, step):
 def test_whole_table_as_group(rows, limit):
     out = grouped.position(rows, [], ORDER, "n", grouped.find_hot(rows, [], limit)).collect()
     assert [r.id for r in sorted(out, key=lambda r: r.n)] == [r.id for r in sorted(out, key=lambda r: (r.t, r.id))]
+
+
+def test_ordinary_groups_are_dealt_to_as_many_tasks_as_their_rows_need(spark, rows, monkeypatch):
+    hot = grouped.find_hot(rows, ["u"], 450)
+    assert hot.total == 527 and hot.rows == 0
+    want = {(r.id, r.n) for r in grouped.position(rows, ["u"], ORDER, "n", hot).collect()}
+    monkeypatch.setattr(grouped, "TASK_ROWS", 5)
+    few = grouped.find_hot(rows, ["u"], 450)._replace(limit=20)
+    once = grouped.position(rows, ["u"], ORDER, "n", few)
+    again = grouped.position(once, ["u", "x"], ORDER, "m", few)
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(u") == 1
+    assert once.rdd.getNumPartitions() == 106 and again.rdd.getNumPartitions() == 106
+    assert {(r.id, r.n) for r in again.collect()} == want
