@@ -350,3 +350,30 @@ def test_other_time_zone(spark, sf):
         assert X.page_views(spark, sf).agg(F.sum("ts_ms")).first()[0] == before
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_counted_sentences_are_those_of_every_occurrence(spark):
+    rows = [("u", i, u, v, None) for i, (u, v) in enumerate([("http://x.com/a/b", ""), ("http://x.com/a/b", "http://y.com/c"), ("-", "http://x.com/a/b")])]
+    ev = spark.createDataFrame(rows, "user_id string, event_id long, request_url string, referrer_url string, prev_url string")
+    rules = suffixes.suffixes(spark, SUFFIXES)
+    want = sorted(tuple(r.words) for r in embeddings.url_sentences(ev, rules).collect())
+    counted = embeddings.counted_sentences(ev, rules).collect()
+    assert len(counted) == 2 and sorted(tuple(r.words) for r in counted for _ in range(r.times)) == want
+
+
+def test_sentences_that_count_are_like_so_many(spark):
+    some = spark.createDataFrame([(["a", "b", "c"], 4), (["b", "a", "b"], 1), (["d"], 9)], "words array<string>, times long")
+    all_ = some.select("words", F.explode(F.sequence(F.lit(1), "times")).alias("t")).select("words")
+    pairs = lambda df, **k: sorted(map(tuple, cooccurrence.pair_counts(df, "words", **k).collect()))
+    assert pairs(some, times="times") == pairs(all_)
+    for method in ("word2vec", "cooccurrence"):
+        found = embeddings.vector_table(embeddings.fit(some, size=4, times="times", method=method)).collect()
+        assert {r.token for r in found} == {"a", "b", "d"}
+
+
+def test_more_sightings_than_can_be_trained_on_are_counted_instead(spark, monkeypatch):
+    df = spark.createDataFrame([(["a", "b", "c"], 1000)], "words array<string>, times long")
+    assert embeddings.suits_word2vec(df, "words", 5, 8, 4, "times")
+    monkeypatch.setattr(embeddings, "TRAINING_MOVES", 3000 * 8 * 4 - 1)
+    assert not embeddings.suits_word2vec(df, "words", 5, 8, 4, "times")
+    assert {r.token for r in embeddings.fit(df, size=4, times="times").collect()} == {"a", "b", "c"}
