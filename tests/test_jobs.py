@@ -377,3 +377,14 @@ def test_more_sightings_than_can_be_trained_on_are_counted_instead(spark, monkey
     monkeypatch.setattr(embeddings, "TRAINING_MOVES", 3000 * 8 * 4 - 1)
     assert not embeddings.suits_word2vec(df, "words", 5, 8, 4, "times")
     assert {r.token for r in embeddings.fit(df, size=4, times="times").collect()} == {"a", "b", "c"}
+
+
+def test_vectors_of_a_user_are_shuffled_once(spark):
+    feats = spark.createDataFrame([("a", [1.0]), ("", [0.0])], "url string, features array<float>")
+    ev = spark.createDataFrame([("u", 1, "a", "", "a"), ("u", 2, "a", "a", None)],
+                               "user_id string, event_id long, request_url string, referrer_url string, prev_url string")
+    bags = lambda **k: embeddings.event_features(ev, feats, **k).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", "request_vec", "href_vec", "prev_vec"))).alias("e"))
+    plans = [bags(**k)._jdf.queryExecution().executedPlan().toString() for k in ({}, {"near": "user_id"})]
+    assert plans[1].count("Exchange hashpartitioning(user_id") == 1 < plans[0].count("Exchange hashpartitioning(user_id")
+    assert bags(near="user_id").collect() == bags().collect()
