@@ -132,12 +132,9 @@ select user_id, event_id, of_visit::int of_visit, n_before::bigint n_before,
 from cs""")
 def m4_centroids(spark, sf):
     """The running centroid of every visit at every event, and the event's cosine to it."""
-    rows = durable(_centroids(spark, sf))
-    near = centroids.cosines(rows, DIM)
     whole = F.array_join(F.transform("centroid", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
-    return rows.join(near, ["user_id", "event_id"]).select(
-        "user_id", "event_id", "of_visit", "n_before", whole.alias("centroid"),
-        F.round(F.element_at("cosines", F.col("of_visit")), 6).alias("cosine"))
+    return centroids.with_cosines(_centroids(spark, sf), DIM).select(
+        "user_id", "event_id", "of_visit", "n_before", whole.alias("centroid"), F.round("cosine", 6).alias("cosine"))
 
 
 def samples_with_vectors(spark, sf):

@@ -108,3 +108,16 @@ def test_a_feed_meets_its_keys_without_a_broadcast(spark, written):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert {(r.user_id, r.event_id): r.label for r in rows.collect()} == labels
+
+
+@pytest.mark.parametrize("twice", [1, 2])
+def test_rows_take_their_cosine_from_the_list_of_the_event(spark, twice):
+    rows = [("u", i, i, 1 + i % 3, [float(i % 4), 1.0 - i % 2]) for i in range(20)] * twice
+    events = spark.createDataFrame(rows, "user_id string, event_id long, ts_ms long, visit_rank int, vector array<float>")
+    found = centroids.running_centroids(events, 2)
+    rows = centroids.with_cosines(found, 2)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    near = {r.event_id: r.cosines for r in centroids.cosines(found, 2).collect()}
+    got = rows.collect()
+    assert len(got) == 160 * twice and all(r.cosine == near[r.event_id][r.of_visit - 1] for r in got)
+    assert sorted(r.n_before for r in got) == sorted(r.n_before for r in found.collect())

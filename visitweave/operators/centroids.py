@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitweave.config import MAX_VISITS
@@ -30,13 +30,31 @@ def running_centroids(events: DataFrame, size: int, vector: str = "vector", hot:
                       F.when(F.col("_n") > 0, mean).alias("centroid"))
 
 
-def cosines(centroids: DataFrame, size: int, vector: str = "vector") -> DataFrame:
-    """``user_id, event_id, cosines``: an event's cosine to the centroid of each visit, 0 where one has no direction."""
+def _cosine(size: int, vector: str = "vector") -> Column:
+    """Cosine of an event's vector to the ``centroid`` in the same row, 0 where one has no direction."""
     a = [F.get(vector, F.lit(i)).cast("double") for i in range(size)]
     b = [F.get("centroid", F.lit(i)) for i in range(size)]
     dot = lambda x, y: sum((p * q for p, q in zip(x, y)), F.lit(0.0))
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    near = F.coalesce(F.when(norms > 0, dot(a, b) / norms), F.lit(0.0))
+    return F.coalesce(F.when(norms > 0, dot(a, b) / norms), F.lit(0.0))
+
+
+def cosines(centroids: DataFrame, size: int, vector: str = "vector") -> DataFrame:
+    """``user_id, event_id, cosines``: an event's cosine to the centroid of each visit."""
+    near = _cosine(size, vector)
     # Eight rows per event.
     return centroids.groupBy("user_id", "event_id").agg(
         F.array_sort(F.collect_list(F.struct("of_visit", near.alias("near"))))["near"].alias("cosines"))
+
+
+def with_cosines(centroids: DataFrame, size: int, vector: str = "vector") -> DataFrame:
+    """``user_id, event_id, of_visit, n_before, centroid, cosine``: the event's entry of ``cosines`` at the place of the visit.
+
+    The rows of an event are put together once and taken apart again, so nothing is stored or joined.
+    """
+    item = F.struct("of_visit", _cosine(size, vector).alias("near"), "n_before", "centroid")
+    lists = centroids.filter("user_id is not null and event_id is not null").groupBy("user_id", "event_id").agg(
+        F.array_sort(F.collect_list(item)).alias("_items"))
+    rows = lists.select("user_id", "event_id", F.col("_items.near").alias("_near"), F.inline("_items"))
+    return rows.select("user_id", "event_id", "of_visit", "n_before", "centroid",
+                       F.element_at("_near", F.col("of_visit")).alias("cosine"))
