@@ -388,3 +388,14 @@ def test_vectors_of_a_user_are_shuffled_once(spark):
     plans = [bags(**k)._jdf.queryExecution().executedPlan().toString() for k in ({}, {"near": "user_id"})]
     assert plans[1].count("Exchange hashpartitioning(user_id") == 1 < plans[0].count("Exchange hashpartitioning(user_id")
     assert bags(near="user_id").collect() == bags().collect()
+
+
+def test_an_embedding_without_a_model_is_loaded_as_its_table(spark, tmp_path):
+    df = spark.createDataFrame([(["a", "b", "c"],)] * 6, "words array<string>")
+    path, known = str(tmp_path / "v"), {"a", "b", "c"}
+    for method in ("cooccurrence", "word2vec", "cooccurrence"):
+        models.save_embedding(embeddings.fit(df, size=4, method=method), path)
+        back = models.load_embedding(path)
+        assert isinstance(back, embeddings.DataFrame) == (method == "cooccurrence")
+        assert {r.token for r in embeddings.vector_table(back).collect()} == known
+        assert {r.token for r in models.load_vectors(spark, path).collect()} == known
