@@ -15,6 +15,7 @@ from queries.labelling import _SPLIT
 from visitweave.config import MAX_T, MAX_VISITS, NO_DOMAIN
 from visitweave.operators import centroids, classifier, domains, embeddings, labels, sequences, split, stats
 from visitweave.sources import days, feed, visits as V
+from visitweave.sources.events import URL_COLUMNS
 from visitweave.storage import durable, fresh_path
 
 WIDTH = 2 * (2 * DIM + 1) + 2
@@ -39,12 +40,13 @@ def _write_feed(spark, sf):
     hot = X.hot_users(spark, sf)
     ranked = durable(V.first_visits(X.visit_rows(spark, sf, hot)))
     events = durable(X.events(spark, sf, hot))
-    marked = labels.label_events(_event_features(spark, events, sf), ranked, matched_only=False)
+    plain = events.select("user_id", "event_id", "ts_ms", *URL_COLUMNS)
+    marked = labels.label_events(_event_features(spark, plain, sf), ranked, matched_only=False).drop(*URL_COLUMNS)
     rows = sequences.since_start(marked, hot).filter("visit_rank > 0").withColumnRenamed("visit_rank", "label")
     samples = durable(sequences.multi_visit(events, ranked, hot=hot))
-    windows = embeddings.dense(samples, durable(embeddings.model_rows(rows)), MAX_T, WIDTH)
+    flat = durable(embeddings.model_rows(rows))
     path = fresh_path(spark, "feed")
-    feed.write(samples, windows, path, MAX_T, WIDTH, SHARDS, SEED, file_rows=500)
+    feed.write(samples, lambda placed: embeddings.dense(placed, flat, MAX_T, WIDTH, feed.NEAR), path, MAX_T, WIDTH, SHARDS, SEED, file_rows=500)
     return path
 
 

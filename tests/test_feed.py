@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from visitweave.operators import centroids, classifier, grouped
+from visitweave.operators import centroids, classifier, embeddings, grouped
 from visitweave.sources import feed
 
 SAMPLE = "user_id string, event_id long, ts_ms long, label int"
@@ -121,3 +121,61 @@ def test_rows_take_their_cosine_from_the_list_of_the_event(spark, twice):
     got = rows.collect()
     assert len(got) == 160 * twice and all(r.cosine == near[r.event_id][r.of_visit - 1] for r in got)
     assert sorted(r.n_before for r in got) == sorted(r.n_before for r in found.collect())
+
+
+def _sliding(spark, n_users=6, n_events=40, steps=4):
+    """Trailing windows of every event, the label of the newest hidden, and model rows of all but every ninth event."""
+    own = {f"u{u}": [100 * u + e for e in range(n_events + u)] for u in range(n_users)}
+    samples, rows = [], []
+    for u, events in own.items():
+        for i, e in enumerate(events):
+            seen = events[max(0, i - steps + 1):i + 1]
+            marks = [x % 8 for x in seen[:-1]] + [-1]
+            samples.append((u, e, e, e % 8, [(-1, -1)] * (steps - len(seen)) + [*zip(seen, marks)]))
+            rows += [] if e % 9 == 0 else [(u, e, [e / 3, float(u[1:]), -5.0])]
+    rows.append(("u0", 100_000, [1.0, 2.0, 3.0]))
+    return (spark.createDataFrame(samples, SAMPLE + ", sequence array<struct<event_id:long,label:int>>"),
+            spark.createDataFrame(rows, "user_id string, event_id long, model_row array<double>"))
+
+
+@pytest.mark.parametrize("file_rows, limit, batch", [(7, 1_000_000, 4 << 20), (300, 20, 100)])
+def test_windows_laid_out_where_they_stay_are_the_same(spark, tmp_path, monkeypatch, file_rows, limit, batch):
+    monkeypatch.setattr(grouped.find_hot, "__defaults__", (limit,))
+    monkeypatch.setattr(embeddings, "DENSE_BATCH", batch)
+    samples, rows = _sliding(spark)
+    feed.write(samples, embeddings.dense(samples, rows, 4, 3), f"{tmp_path}/a", 4, 3, 2, 5, file_rows)
+    feed.write(samples, lambda placed: embeddings.dense(placed, rows, 4, 3, feed.NEAR), f"{tmp_path}/b", 4, 3, 2, 5, file_rows)
+    one, two = ({(r.user_id, r.event_id): (r.shard, r.place, r.label, r.x) for r in
+                 feed.with_keys(spark, f"{tmp_path}/{p}", feed.read(spark, f"{tmp_path}/{p}")).collect()} for p in "ab")
+    assert one == two and len(one) == samples.count() and any(-1 not in v[3][:-1] for v in two.values())
+    kept = [{(r.shard, r.file): (r.first, r.rows, r.bytes, r.checksum) for r in spark.read.parquet(f"{tmp_path}/{p}/index").collect()} for p in "ab"]
+    assert kept[0] == kept[1]
+
+
+def test_no_window_is_shuffled_and_a_model_row_travels_once_to_a_group(spark):
+    samples, rows = _sliding(spark)
+    placed = feed._with_place(samples, 2, 5).selectExpr("*", "floor(place / 100) file")
+    made = embeddings.dense(placed, rows, 4, 3, feed.NEAR)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "x#" in plan.splitlines()[0] and not any("x#" in line for line in plan.splitlines()[1:])
+    assert "collect_list" not in plan and "Aggregate [shard" in plan
+
+
+def test_neighbouring_windows_are_packed_into_less(spark, tmp_path):
+    """Blocks of several windows that share all but one row; a trainer's batches begin and end inside them."""
+    wide = 50
+    numbers = np.random.default_rng(2).normal(size=(700 + 32, wide)).astype("f4").tolist()
+    samples = spark.createDataFrame([("u", i, i, i % 8) for i in range(700)], SAMPLE)
+    windows = spark.createDataFrame([("u", i, numbers[i:i + 32]) for i in range(700)], WINDOW)
+    path = str(tmp_path / "f")
+    feed.write(samples, windows, path, 32, wide, shards=1, seed=3)
+    size = sum(f.stat().st_size for f in tmp_path.glob("f/blocks/*/*") if not f.name.startswith("."))
+    assert size < 700 * 32 * wide * 4 / 10
+    entry, = spark.read.parquet(f"{path}/index").collect()
+    assert len(entry.ends) == 3 and entry.ends[-1] + 4 * 700 == size
+    open_ = feed.Feed(path)
+    for n in (100, 256, 699):
+        for number in range(-(-700 // n)):
+            x, y = open_.batch(0, number, n)
+            assert y.tolist() == [i % 8 for i in range(number * n, min(700, (number + 1) * n))]
+            assert all((x[i] == np.array(numbers[number * n + i:number * n + i + 32], "f4")).all() for i in range(len(x)))
