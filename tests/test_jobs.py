@@ -399,3 +399,29 @@ def test_an_embedding_without_a_model_is_loaded_as_its_table(spark, tmp_path):
         assert isinstance(back, embeddings.DataFrame) == (method == "cooccurrence")
         assert {r.token for r in embeddings.vector_table(back).collect()} == known
         assert {r.token for r in models.load_vectors(spark, path).collect()} == known
+
+
+def test_a_vector_travels_once_for_all_events_of_a_user(spark):
+    feats = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("c", None), ("", [0.0])], "url string, features array<float>")
+    names, urls_ = ("u", "v", None), ("a", "b", "c", "x", "", None)
+    rows = [(n, i, i / 2, urls_[i % 6], urls_[i * 5 % 6], urls_[(i + 2) % 3]) for n in names for i in range(60)]
+    ev = spark.createDataFrame(rows, "user_id string, event_id long, timestamp double, request_url string, referrer_url string, prev_url string")
+    near, plain = (embeddings.event_features(ev, feats, **k) for k in ({"near": "user_id"}, {}))
+    assert near.columns == plain.columns and sorted(map(str, near.collect())) == sorted(map(str, plain.collect()))
+    assert near.count() == len(rows)
+    bags = near.groupBy("user_id").agg(F.collect_list(F.struct("event_id", "request_vec")).alias("e"))
+    assert bags._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(user_id") == 1
+    assert embeddings.event_features(spark.createDataFrame([], ev.schema), feats, "user_id").collect() == []
+    for key in (("u", 7), (None, 7)):
+        twice = ev.union(spark.createDataFrame([(*key, 0.0, "a", "", "b")], ev.schema))
+        with pytest.raises(Exception, match="more than one event has the key"):
+            embeddings.event_features(twice, feats, "user_id").collect()
+
+
+def test_vectors_are_told_apart_by_user_before_they_are_shuffled(spark):
+    feats = spark.createDataFrame([("a", [1.0]), ("", [0.0])], "url string, features array<float>")
+    ev = spark.createDataFrame([("u", i, "a", "a", "a") for i in range(50)],
+                               "user_id string, event_id long, request_url string, referrer_url string, prev_url string")
+    plan = embeddings.event_features(ev, feats, "user_id")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join"):]
+    assert "Aggregate [url" in joined and "collect_list" not in joined
